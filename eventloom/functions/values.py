@@ -17,6 +17,8 @@ def promoted(df: DataFrame, key: str) -> bool:
 
 
 def raw(df: DataFrame, key: str) -> Column:
+    if "properties" not in df.columns:
+        return F.lit(None).cast("variant")
     return F.try_variant_get(F.col("properties"), _path(key), "variant")
 
 
@@ -32,6 +34,8 @@ def text(df: DataFrame, key: str) -> Column:
         if isinstance(df.schema[key].dataType, (T.DoubleType, T.FloatType)):
             return F.regexp_replace(c.cast("string"), r"\.0$", "")
         return c.cast("string")
+    if "properties" not in df.columns:
+        return F.lit(None).cast("string")
     return F.try_variant_get(F.col("properties"), _path(key), "string")
 
 
@@ -53,6 +57,8 @@ def num_strict(df: DataFrame, key: str) -> Column:
     if promoted(df, key):
         ok = isinstance(df.schema[key].dataType, _NUMERIC)
         return F.col(f"`{key}`").cast("double") if ok else F.lit(None).cast("double")
+    if "properties" not in df.columns:
+        return F.lit(None).cast("double")
     kind = _variant_kind(df, key)
     return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
                   F.try_variant_get(F.col("properties"), _path(key), "double"))
@@ -65,6 +71,8 @@ def num_lenient(df: DataFrame, key: str) -> Column:
         if isinstance(t, _NUMERIC):
             return F.col(f"`{key}`").cast("double")
         return parse_number(F.col(f"`{key}`")) if isinstance(t, T.StringType) else F.lit(None).cast("double")
+    if "properties" not in df.columns:
+        return F.lit(None).cast("double")
     kind = _variant_kind(df, key)
     return (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
                    F.try_variant_get(F.col("properties"), _path(key), "double"))
@@ -78,8 +86,8 @@ def host(url: Column) -> Column:
 
 
 def referrer_host(url: Column) -> Column:
-    """Referrer host for web reports: cut at / ? or #, lower case, empty reads 'direct'."""
-    s = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")
+    """Referrer host for web reports: cut at / ? or #; empty reads 'direct'."""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "^https://", ""), "^http://", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[/?#].*$", ""), r"^www\.", "")
     return F.when(s == "", F.lit("direct")).otherwise(s)
 
