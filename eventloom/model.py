@@ -38,3 +38,9 @@ def between(df: DataFrame, start=None, end=None, ts: str = "timestamp") -> DataF
     if end is not None:
         df = df.where(F.col(ts) < lit_ts(str(end)))
     return df
+
+
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row DataFrame to every row, as a scalar subquery."""
+    s = one.select(F.struct(*[F.col(f"`{c}`") for c in one.columns]).alias("_s")).scalar()
+    return df.withColumn("_s", s).select("*", "_s.*").drop("_s")

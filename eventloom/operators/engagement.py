@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
-from eventloom.model import lit_ts
+from eventloom.model import attach_row, lit_ts
 from eventloom.operators import filters as flt, identity
 from eventloom.operators.rollups import user_days
 from eventloom.operators.scope import drop_sampler
@@ -49,7 +49,7 @@ def account_rollup(df: DataFrame, prop: str, asof: str, limit: int = 50) -> Data
     active = lambda k: F.count(F.when(F.col("last") >= lit_ts(asof) - F.expr(f"interval {k} days"), 1))
     totals = g.agg(F.count("*").alias("groups"), active(7).alias("active_7d"), active(30).alias("active_30d"))
     top = g.orderBy(F.desc("events"), "value").limit(limit)
-    return top.crossJoin(F.broadcast(totals)).select("value", "events", "users", F.unix_micros("last").alias("last_us"),
+    return attach_row(top, totals).select("value", "events", "users", F.unix_micros("last").alias("last_us"),
                                                      "groups", "active_7d", "active_30d")
 
 
@@ -113,6 +113,6 @@ def site_pulse(df: DataFrame, prop: str, asof: str, days: int) -> DataFrame:
     s = pu.groupBy("site").agg(F.sum("c").alias("events"), F.count(F.when(F.col("c") > 0, 1)).alias("visitors"),
                                F.sum("p").alias("prior_events"), F.count(F.when(F.col("p") > 0, 1)).alias("prior_visitors"))
     t = s.agg(F.sum("events").alias("_all"), F.count(F.when(F.col("site") != "", 1)).alias("_named"))
-    s = s.crossJoin(F.broadcast(t)).where("_named >= 2 and (site <> '' or (events > 0 and events * 50 >= _all))")
+    s = attach_row(s, t).where("_named >= 2 and (site <> '' or (events > 0 and events * 50 >= _all))")
     return s.select(F.when(F.col("site") == "", "(no site)").otherwise(F.col("site")).alias("site"), "events", "visitors",
                     "prior_events", "prior_visitors")

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions import values as v
+from eventloom.model import attach_row
 from eventloom.operators.scope import scope_production
 
 OPS = ("eq", "neq", "contains", "ncontains", "gt", "lt", "in", "notin", "set", "notset", "regex")
@@ -142,4 +143,4 @@ def unknown_properties(df: DataFrame, filters) -> DataFrame:
     known = property_keys(df).select("key").distinct()
     listing = known.agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("known"))
     ask = df.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(wanted)] or [], "prop string")
-    return ask.join(known, ask["prop"] == known["key"], "left_anti").crossJoin(F.broadcast(listing))
+    return attach_row(ask.join(known, ask["prop"] == known["key"], "left_anti"), listing)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
 from eventloom.functions.quantiles import exact_quantiles
+from eventloom.model import attach_row
 
 # fixed values: page names that usually mean a decision
 INTENT_WORDS = ("checkout purchase payment subscribe upgrade billing signup sign-up register join trial get-started "
@@ -18,7 +19,7 @@ def detect(df: DataFrame, top: int = 4) -> DataFrame:
     offs = first.join(start, "distinct_id").select("name", ((F.col("us") - F.col("us0")) / 1e6).alias("secs"))
     q = exact_quantiles(offs, ["name"], "secs", {"median_secs": "upper_median"})
     total = start.agg(F.greatest(F.lit(3), F.floor(F.count("*") / 20)).alias("floor"))
-    c = q.crossJoin(F.broadcast(total)).where("n >= floor")
+    c = attach_row(q, total).where("n >= floor")
     c = c.orderBy(F.desc("n"), "name").limit(top)
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("median_secs", F.desc("n"), "name"))
     out = c.select(rank.cast("bigint").alias("step"), F.col("name").alias("event"), F.col("n").alias("coverage"),
@@ -42,7 +43,7 @@ def propose_page_funnel(df: DataFrame) -> DataFrame:
         (F.col("mid.n") > F.col("dest.n")), F.col("mid.path")).alias("p1"),
         F.when(F.col("dest.path") != F.col("entry.path"), F.col("dest.path")).alias("p2"))
     at = lambda c: F.min(F.when(F.col("path") == F.col(c), F.col("t"))).alias("t" + c)
-    t = first.crossJoin(F.broadcast(plan)).groupBy("distinct_id", "p0", "p1", "p2").agg(at("p0"), at("p1"), at("p2"))
+    t = attach_row(first, plan).groupBy("distinct_id", "p0", "p1", "p2").agg(at("p0"), at("p1"), at("p2"))
     via = F.when(F.col("p1").isNull(), F.col("tp0")).when(F.col("tp1") >= F.col("tp0"), F.col("tp1"))
     n = t.groupBy("p0", "p1", "p2").agg(
         F.count("*").alias("people"), F.count("tp0").alias("n0"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import scan, values as v
+from eventloom.model import attach_row
 from eventloom.operators.scope import drop_sampler
 
 
@@ -19,7 +20,7 @@ def _levels(steps: DataFrame, starters: DataFrame, depth: int) -> DataFrame:
     rn = F.row_number().over(W.partitionBy("distinct_id").orderBy("timestamp", "id"))
     top = steps.withColumn("depth", rn.cast("bigint")).where(F.col("depth") <= depth)
     n = starters.agg(F.count("*").alias("start_users"))
-    return top.groupBy("depth", "step").agg(F.count("*").alias("users")).crossJoin(F.broadcast(n))
+    return attach_row(top.groupBy("depth", "step").agg(F.count("*").alias("users")), n)
 
 
 def after(df: DataFrame, start: str, depth: int = 3) -> DataFrame:

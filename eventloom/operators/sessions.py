@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from eventloom.functions import scan, values as v
+from eventloom.model import attach_row
 from eventloom.operators.scope import drop_sampler
 
 GAP_US = 30 * 60 * 1_000_000
@@ -49,5 +50,5 @@ def timeline(df: DataFrame, distinct_id: str, start_unix: int) -> DataFrame:
     s = with_session(rows)
     handle = (s.where(F.floor(F.col("_us") / 1_000_000) == start_unix)
               .agg(F.min(F.struct("_us", "session_us")).alias("h")))
-    j = s.crossJoin(F.broadcast(handle)).where((F.col("session_us") == F.col("h.session_us")) & (F.col("_us") >= F.col("h._us")))
+    j = attach_row(s, handle).where((F.col("session_us") == F.col("h.session_us")) & (F.col("_us") >= F.col("h._us")))
     return j.select(F.floor((F.col("_us") - F.col("h._us")) / 1000).alias("t_ms"), "name", "path", "x", "y", "vw", "text")

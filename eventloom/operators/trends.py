@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
 from eventloom.functions.quantiles import exact_quantiles
-from eventloom.model import between, lit_ts
+from eventloom.model import attach_row, between, lit_ts
 from eventloom.operators.filters import property_keys
 from eventloom.operators.rollups import user_days
 from eventloom.operators.scope import drop_sampler
@@ -51,7 +51,7 @@ def trend(df: DataFrame, event: str = "", start=None, end=None, unique: bool = F
     total = (d.agg(F.count_distinct("distinct_id").alias("total")) if unique
              else counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     cal = calendar(df.sparkSession, counts, grain, start, end)
-    out = cal.join(counts, "bucket", "left").crossJoin(F.broadcast(total))
+    out = attach_row(cal.join(counts, "bucket", "left"), total)
     return out.select(label_bucket(grain), F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
@@ -60,8 +60,7 @@ def trend_multi(df: DataFrame, events, start, end, grain: str = "day") -> DataFr
     events = list(dict.fromkeys(events))[:8]
     d = between(df, start, end).where(F.col("name").isin(*events))
     counts = d.groupBy(_bucket(grain).alias("bucket"), "name").agg(F.count("*").alias("n"))
-    names = df.sparkSession.createDataFrame([(e,) for e in events], "name string")
-    cal = calendar(df.sparkSession, counts, grain, start, end).crossJoin(F.broadcast(names))
+    cal = calendar(df.sparkSession, counts, grain, start, end).withColumn("name", F.explode(F.array(*[F.lit(e) for e in events])))
     out = cal.join(counts, ["bucket", "name"], "left")
     return out.select(label_bucket(grain), "name", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -75,7 +74,9 @@ def trend_breakdown(df: DataFrame, event: str, prop: str, start=None, end=None,
     totals = (d if unique else counts).groupBy("value").agg(
         (F.count_distinct("distinct_id") if unique else F.sum("n")).alias("total"))
     cal = calendar(df.sparkSession, counts, "day", start, end)
-    out = totals.crossJoin(F.broadcast(cal)).join(counts, ["bucket", "value"], "left")   # calendar: at most 4201 rows
+    days = cal.agg(F.array_sort(F.collect_list("bucket")).alias("days"))      # at most 4201 entries
+    grid = attach_row(totals, days).select("value", "total", F.explode("days").alias("bucket"))
+    out = grid.join(counts, ["bucket", "value"], "left")
     return out.select("value", label_bucket("day"), F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
@@ -87,7 +88,9 @@ def _measures(d: DataFrame, keys: list[str]) -> DataFrame:
     simple = d.groupBy(*keys).agg(F.count("x").alias("n"), *[f("x").alias(m) for m, f in _SIMPLE.items()])
     q = exact_quantiles(d, keys, "x", QUANTILES).drop("n")
     on = [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
-    j = simple.alias("s").join(q.alias("q"), on, "left") if keys else simple.alias("s").crossJoin(q.alias("q"))
+    if not keys:
+        return attach_row(simple, q)
+    j = simple.alias("s").join(q.alias("q"), on, "left")
     return j.select("s.*", *[f"q.{c}" for c in QUANTILES])
 
 
