@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from eventloom.functions import values as v
 from eventloom.model import attach_row
@@ -120,20 +120,23 @@ def validate(filters) -> None:
 
 
 def property_keys(df: DataFrame, keep=()) -> DataFrame:
-    """(…keep, key, value): one row per property present on an event, promoted keys included."""
+    """(…keep, key, value, num, is_text): one row per property present on an event."""
     fixed = {"id", "name", "distinct_id", "timestamp", "properties", *keep}
     flat = [c for c in df.columns if c not in fixed and not c.startswith("_")]
     parts = []
     if flat:
-        kv = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), v.text(df, c).alias("value"),
-                                          v.num_lenient(df, c).alias("num")) for c in flat]))
+        kv = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), v.text(df, c).alias("value"), v.num_lenient(df, c).alias("num"),
+                                          F.lit(isinstance(df.schema[c].dataType, T.StringType)).alias("is_text")) for c in flat]))
         parts.append(df.select(*keep, kv.alias("kv")).select(*keep, "kv.*").where("value is not null"))
     if "properties" in df.columns:
-        vals = F.from_json(F.to_json("properties"), "map<string,string>")
-        ex = df.where("properties is not null").select(*keep, F.explode(vals).alias("key", "value"))
+        each = F.explode(F.try_variant_get("properties", "$", "map<string,variant>")).alias("key", "_val")
+        ex = df.where("properties is not null").select(*keep, each)
         if flat:
             ex = ex.where(~F.col("key").isin(*flat))
-        parts.append(ex.withColumn("num", v.parse_number(F.col("value"))))
+        kind, txt = F.schema_of_variant("_val"), F.try_variant_get("_val", "$", "string")
+        num = (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_val", "$", "double"))
+               .when(kind == "STRING", v.parse_number(txt)))
+        parts.append(ex.select(*keep, "key", txt.alias("value"), num.alias("num"), (kind == "STRING").alias("is_text")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
