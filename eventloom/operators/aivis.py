@@ -162,3 +162,15 @@ def shift(df: DataFrame, asof: str) -> DataFrame:
                  F.col("c_runs").alias("runs"), F.col("p_runs").alias("previous_runs"), "move")
     g = g.withColumn("severity", F.when(F.col("current_pct") < F.col("previous_pct"), "warn").otherwise("info"))
     return g.orderBy(F.desc("move"), F.desc("runs"), "engine").limit(1).drop("move")
+
+
+# fixed values: cited runs needed, and the share not recommended
+MIN_CITED, NOT_PICKED_PCT = 8, 70
+
+
+def cited_not_recommended(df: DataFrame, asof: str) -> DataFrame:
+    """Read by the assistants but not picked: one row when that is most of the cited runs."""
+    c = citation(df, 30, asof)
+    lost, runs = F.col("cited_not_recommended"), F.col("cited_runs")
+    return c.where((runs >= MIN_CITED) & (lost * 100 >= runs * NOT_PICKED_PCT)).select(
+        F.lit("warn").alias("severity"), F.lit("cited_not_recommended").alias("metric"), v.pct(lost, runs).alias("rate"), runs.alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventloom.functions import values as v
 from eventloom.operators import filters as flt
 from eventloom.operators.scope import drop_sampler
+from eventloom.session import checkpoint_dir
 
 # fixed values: visitor attributes that live on the landing event
 ACQUISITION_PROPS = ("referrer", "source", "utm_source", "utm_medium", "utm_campaign", "channel", "device", "os",
@@ -82,21 +83,23 @@ def alias_edges(df: DataFrame) -> DataFrame:
     return e.where("anon <> '' and canonical <> '' and anon <> canonical and anon <> '$anon'")
 
 
-def alias_map(edges: DataFrame, rounds: int = 4) -> DataFrame:
+def alias_map(edges: DataFrame) -> DataFrame:
     """(anon, canonical), one hop deep.
 
-    A canonical id that was itself aliased earlier is replaced by that alias's own result; pointer
-    jumping over the (small) edge table resolves chains of up to 2**rounds edges.
+    A canonical id that was itself aliased earlier is replaced by that alias's own result.  Pointer
+    jumping halves what is left of every chain per round; each round is checkpointed, so the plan
+    stays small and the loop ends when no edge points further.
     """
+    checkpoint_dir(edges.sparkSession)
     later = edges.alias("c").join(edges.alias("p"), (F.col("c.canonical") == F.col("p.anon")) & (
         F.struct(F.col("p.timestamp"), F.col("p.eid")) < F.struct(F.col("c.timestamp"), F.col("c.eid"))))
     parent = later.groupBy(F.col("c.eid").alias("eid")).agg(
         F.max(F.struct(F.col("p.timestamp"), F.col("p.eid").alias("eid")))["eid"].alias("up"))
-    jump = edges.join(parent, "eid", "left").select("eid", "anon", "timestamp", "canonical", "up")
-    for _ in range(rounds):
+    jump = edges.join(parent, "eid", "left").select("eid", "anon", "timestamp", "canonical", "up").checkpoint()
+    while not jump.where("up is not null").isEmpty():
         ref = jump.select(F.col("eid").alias("_e"), F.col("canonical").alias("_c"), F.col("up").alias("_u"))
         jump = (jump.join(ref, F.col("up") == F.col("_e"), "left")
-                .select("eid", "anon", "timestamp", F.coalesce("_c", "canonical").alias("canonical"), F.col("_u").alias("up")))
+                .select("eid", "anon", "timestamp", F.coalesce("_c", "canonical").alias("canonical"), F.col("_u").alias("up"))).checkpoint()
     return jump.groupBy("anon").agg(F.max(F.struct("timestamp", "eid", "canonical"))["canonical"].alias("canonical"))
 
 

@@ -1,6 +1,7 @@
 """The daily digest: anomalies, week over week, the worst drop-off and who to blame for it."""
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -149,6 +150,7 @@ def notable(df: DataFrame, asof: str, steps=None) -> DataFrame:
              row(aicrawl.site_readability(df, asof).withColumn("rate", F.col("words")).withColumn("n", F.lit(0)), "readable", 1),
              row(aicrawl.findings(df, asof).withColumnRenamed("subject", "metric"), "crawl", 2),
              row(aivis.shift(df, asof).select("severity", F.col("engine").alias("metric"), F.col("current_pct").alias("rate"), F.col("runs").alias("n")), "ai_visibility", 3),
+             row(aivis.cited_not_recommended(df, asof), "ai_visibility", 3),
              row(week_over_week(df, asof), "trend", 6), row(retention_read(prod, asof), "retention", 7)]
     if len(steps) >= 2:
         drop = worst_dropoff(df, steps)
@@ -169,7 +171,6 @@ def fix_evidence(df: DataFrame, steps, asof: str) -> DataFrame:
     t = funnel.funnel(df, steps, WEEK_S)
     ev = t.select(F.lit("evidence").alias("section"), F.concat(F.lpad(F.col("step").cast("string"), 2, "0"), F.lit(" "), "event").alias("label"),
                   F.floor(F.col("from_prev") * 100 + 0.5).cast("bigint").alias("value"), (F.col("users") + F.col("dropped")).alias("n"))
-    import datetime as dt
     start = str(dt.datetime.fromisoformat(asof) - dt.timedelta(days=30))
     exits = web.entry_exit(df, start, asof).where("dim = 'exit'").orderBy(F.desc("sessions"), "value").limit(5)
     where = exits.select(F.lit("where").alias("section"), F.col("value").alias("label"), F.col("sessions").alias("value"), F.col("recorded").alias("n"))

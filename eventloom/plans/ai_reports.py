@@ -192,3 +192,9 @@ def _(c):
 def _(c):
     k = F.col("k")
     return av.shift(geo_checks(c, F.when((F.col("timestamp") >= "2024-01-24") & (k % 3 == 0), k < 75).otherwise(k < 40)), ASOF)
+
+
+@plan("aivis_cited_not_recommended", GEO + """SELECT 'warn' AS severity, 'cited_not_recommended' AS metric, CAST(floor(count(*) FILTER (WHERE NOT recommended)/count(*)*100+0.5) AS BIGINT) AS rate, count(*) AS n FROM ck
+ WHERE engine LIKE '%-grounded' AND cited AND ts>=TIMESTAMP '2024-01-01' HAVING count(*)>=8 AND count(*) FILTER (WHERE NOT recommended)*100>=count(*)*70""")
+def _(c):
+    return av.cited_not_recommended(geo_checks(c), ASOF)
