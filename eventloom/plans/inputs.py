@@ -15,6 +15,26 @@ def pick(values: list, at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in values]), at.cast("int") + 1)
 
 
+def canonical(t: DataFrame) -> DataFrame:
+    """Fixture events to canonical events with promoted columns."""
+    k, u, e = F.col("k"), F.col("user_id"), F.col("event_id")
+    t = t.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return t.select(
+        F.concat(F.lit("e"), e).alias("id"), F.col("event_type").alias("name"),
+        F.concat(F.lit("u"), u).alias("distinct_id"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("value").alias("amount"),
+        F.when(k % 8 == 0, "/checkout").otherwise(F.concat(F.lit("/p"), k % 8)).alias("path"),
+        pick(["US", "GB", "DE", "IN", "ZZ"], u % 5).alias("country"),
+        pick(["desktop", "mobile"], u % 2).alias("device"),
+        pick(["Chrome", "Safari", "Firefox"], k % 3).alias("browser"),
+        pick(["https://www.google.com/x", "https://t.co/", None, "https://chatgpt.com/"], u % 4).alias("referrer"),
+        F.when(k % 10 == 0, "newsletter").alias("utm_source"),
+        pick(["free", "pro", None], u % 3).alias("plan"),
+        F.when(u % 7 != 0, F.concat(F.lit("a"), u % 20)).alias("account"),
+        F.when(e % 50 == 0, "development").alias("env"),
+        k.alias("k"), u.alias("uid"), e.alias("eid"))
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -26,24 +46,12 @@ class Inputs:
     @cached_property
     def events(self) -> DataFrame:
         """Canonical events with promoted columns; ``properties`` is pruned unless a query reads it."""
-        t = self.table("events")
-        k, u, e = F.col("k"), F.col("user_id"), F.col("event_id")
-        t = t.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-        flat = t.select(
-            F.concat(F.lit("e"), e).alias("id"), F.col("event_type").alias("name"),
-            F.concat(F.lit("u"), u).alias("distinct_id"), F.col("ts").cast("timestamp").alias("timestamp"),
-            F.col("value").alias("amount"),
-            F.when(k % 8 == 0, "/checkout").otherwise(F.concat(F.lit("/p"), k % 8)).alias("path"),
-            pick(["US", "GB", "DE", "IN", "ZZ"], u % 5).alias("country"),
-            pick(["desktop", "mobile"], u % 2).alias("device"),
-            pick(["Chrome", "Safari", "Firefox"], k % 3).alias("browser"),
-            pick(["https://www.google.com/x", "https://t.co/", None, "https://chatgpt.com/"], u % 4).alias("referrer"),
-            F.when(k % 10 == 0, "newsletter").alias("utm_source"),
-            pick(["free", "pro", None], u % 3).alias("plan"),
-            F.when(u % 7 != 0, F.concat(F.lit("a"), u % 20)).alias("account"),
-            F.when(e % 50 == 0, "development").alias("env"),
-            k.alias("k"), u.alias("uid"), e.alias("eid"))
-        return flat
+        return canonical(self.table("events"))
+
+    def stream(self) -> DataFrame:
+        """The same events as a file stream."""
+        t = (self.spark.readStream.schema(self.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(self.dir))
+        return canonical(t)
 
     @cached_property
     def prod(self) -> DataFrame:
