@@ -16,21 +16,19 @@ from eventloom.operators import experiments as ex
 MIN_PRE, MIN_COVERAGE, MIN_REDUCTION, LOOKBACK_DAYS = 100, 0.05, 0.01, 7
 
 
-def randomisation_unit(df: DataFrame, flags, start=None, end=None) -> DataFrame:
+def randomisation_unit(people: DataFrame) -> DataFrame:
     """(flag, unit_kind, mixed): exposures carrying both kinds of unit cannot be analysed."""
-    e = ex._exposures(df, flags, start, end)
-    g = e.groupBy("flag").agg(F.count("bucket").alias("with_bucket"), F.count(F.when(F.col("bucket").isNull(), 1)).alias("without_bucket"))
-    return g.select("flag", F.when(F.col("with_bucket") > 0, "bucket_id").otherwise("distinct_id").alias("unit_kind"),
-                    ((F.col("with_bucket") > 0) & (F.col("without_bucket") > 0)).alias("mixed"))
+    none = F.col("bucket").isNull()
+    g = people.groupBy("flag").agg(F.count(F.when(~none, 1)).alias("b"), F.count(F.when(none, 1)).alias("d"))
+    return g.select("flag", F.when(F.col("b") > 0, "bucket_id").otherwise("distinct_id").alias("unit_kind"), ((F.col("b") > 0) & (F.col("d") > 0)).alias("mixed"))
 
 
 def _units(df: DataFrame, flags, start, end) -> tuple[DataFrame, DataFrame]:
     """First exposures of unmixed flags, and the (flag, distinct_id, unit) map."""
-    e = ex._exposures(df, flags, start, end)
-    good = randomisation_unit(df, flags, start, end).where("not mixed").select("flag")
-    e = e.join(good, "flag", "left_semi")
-    who = ex.unit_map(e, latest=False)
-    first = e.join(who, ["flag", "distinct_id"]).groupBy("flag", "unit").agg(F.min(F.struct("timestamp", "id", "variant")).alias("f"))
+    people = ex.exposed_people(df, flags, start, end)
+    people = people.join(randomisation_unit(people).where("not mixed").select("flag"), "flag", "left_semi")
+    who = ex.unit_map(people, latest=False)
+    first = people.join(who, ["flag", "distinct_id"]).groupBy("flag", "unit").agg(F.min("first").alias("f"))
     return first.select("flag", "unit", "f.variant", F.col("f.timestamp").alias("exposed_at")).where("variant <> ''"), who
 
 

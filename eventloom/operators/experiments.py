@@ -105,27 +105,32 @@ def layer_overlaps(claims: DataFrame) -> DataFrame:
 
 
 # ---- exposure and measurement ------------------------------------------------------------------
-def _exposures(df: DataFrame, flags, start, end, extra=()) -> DataFrame:
+def exposed_people(df: DataFrame, flags, start=None, end=None, extra=()) -> DataFrame:
+    """(flag, distinct_id, bucket, first, last, n): one row per person and bucket id.
+
+    The only pass over the exposure events; everything about units is derived from this table.
+    """
     d = between(df.where(F.col("name") == EXPOSURE), start, end)
     d = d.select("id", "timestamp", "distinct_id", v.text(d, P_FLAG).alias("flag"), F.coalesce(v.text(d, P_VARIANT), F.lit("")).alias("variant"),
                  F.when(v.text(d, P_BUCKET) != "", v.text(d, P_BUCKET)).alias("bucket"), *[v.text(d, p).alias(p) for p in extra])
-    return d.where(F.col("flag").isin(*[f.key for f in flags]))
+    d = d.where(F.col("flag").isin(*[f.key for f in flags]))
+    return d.groupBy("flag", "distinct_id", "bucket").agg(F.min(F.struct("timestamp", "id", "variant", *extra)).alias("first"),
+                                                          F.max(F.struct("timestamp", "id")).alias("last"), F.count("*").alias("n"))
 
 
-def unit_map(exp: DataFrame, latest: bool = True) -> DataFrame:
+def unit_map(people: DataFrame, latest: bool = True) -> DataFrame:
     """(flag, distinct_id, unit): the bucket id of the person's exposures, else the distinct id."""
-    at = F.when(F.col("bucket").isNotNull(), F.struct("timestamp", "id", "bucket"))
-    pick = F.max(at) if latest else F.min(at)
-    return exp.groupBy("flag", "distinct_id").agg(F.coalesce(pick["bucket"], F.col("distinct_id")).alias("unit"))
+    has = F.col("bucket").isNotNull()
+    pick = (F.max(F.when(has, F.struct("last", "bucket"))) if latest else F.min(F.when(has, F.struct("first.timestamp", "bucket"))))["bucket"]
+    return people.groupBy("flag", "distinct_id").agg(F.coalesce(pick, F.col("distinct_id")).alias("unit"))
 
 
-def exposure(df: DataFrame, flags, start=None, end=None, extra=()) -> DataFrame:
+def exposure(df: DataFrame, flags, start=None, end=None, extra=(), people: DataFrame | None = None) -> DataFrame:
     """(flag, unit, variant, exposed_at, unit_kind): each unit's first exposure."""
-    exp = _exposures(df, flags, start, end, extra)
-    kind = exp.groupBy("flag").agg(F.when(F.count("bucket") > 0, "bucket_id").otherwise("distinct_id").alias("unit_kind"))
-    first = exp.join(unit_map(exp), ["flag", "distinct_id"]).groupBy("flag", "unit").agg(
-        F.min(F.struct("timestamp", "id", "variant", *extra)).alias("f"))
-    return first.join(kind, "flag").select("flag", "unit", "f.variant", F.col("f.timestamp").alias("exposed_at"), "unit_kind", *[f"f.{p}" for p in extra])
+    p = people if people is not None else exposed_people(df, flags, start, end, extra)
+    kind = p.groupBy("flag").agg(F.when(F.count("bucket") > 0, "bucket_id").otherwise("distinct_id").alias("unit_kind"))
+    first = p.join(unit_map(p), ["flag", "distinct_id"]).groupBy("flag", "unit").agg(F.min("first").alias("f"))
+    return first.join(kind, "flag").select("flag", "unit", "f.variant", F.col("f.timestamp").alias("exposed_at"), "unit_kind", *[f"f.{x}" for x in extra])
 
 
 def _arms(spark, flags) -> DataFrame:
@@ -140,9 +145,8 @@ def measure(df: DataFrame, flags, goals=None, start=None, end=None) -> DataFrame
     """
     spark = df.sparkSession
     pairs = spark.createDataFrame(goals or [(f.key, f.goal) for f in flags], "flag string, goal string")
-    exp = _exposures(df, flags, start, end)
-    who = unit_map(exp)
-    first = exposure(df, flags, start, end)
+    people = exposed_people(df, flags, start, end)
+    who, first = unit_map(people), exposure(df, flags, people=people)
     done = between(df, start, end).select("name", "distinct_id", "timestamp", v.text(df, P_BUCKET).alias("b"))
     done = done.join(pairs.select("goal").distinct(), F.col("name") == F.col("goal"), "left_semi")
     done = done.groupBy("name", "distinct_id", "b").agg(F.max("timestamp").alias("last"))      # shrink before joining
@@ -291,8 +295,8 @@ def srm(df: DataFrame, flags, start=None, end=None) -> DataFrame:
 
 
 def _first_by_person(df: DataFrame, flags, start, end, extra=()) -> DataFrame:
-    e = _exposures(df, flags, start, end, extra)
-    f = e.groupBy("flag", "distinct_id").agg(F.min(F.struct("timestamp", "id", "variant", *extra)).alias("f"))
+    p = exposed_people(df, flags, start, end, extra)
+    f = p.groupBy("flag", "distinct_id").agg(F.min("first").alias("f"))
     return f.select("flag", "distinct_id", "f.variant", *[f"f.{p}" for p in extra])
 
 

@@ -5,6 +5,7 @@ from eventloom.operators import experiment_units as eu, experiments as ex
 from eventloom.operators.filters import Filter
 from eventloom.plans.inputs import ASOF, pick
 from eventloom.plans.registry import plan
+from eventloom.session import materialize
 
 S = "2024-01-12 00:00:00"
 F1 = ex.Flag("f1", (("control", 1), ("test", 1)), "upgrade", started=S, guardrails=(
@@ -237,7 +238,7 @@ def _(c):
 
 @plan("cuped_adjust")
 def _(c):
-    return eu.cuped_adjust(eu.cuped_units(events(c), [F1, F3], OUT, S, ASOF), [F1, F3])
+    return eu.cuped_adjust(materialize(eu.cuped_units(events(c), [F1, F3], OUT, S, ASOF)), [F1, F3])
 
 
 RATIO = eu.Ratio("signup", "amount", denominator_prop="path")
@@ -268,7 +269,7 @@ RM = RV + f""", ru AS (SELECT flag, unit, variant, sum(value) AS s, count(*) AS
 
 def _ratio(c):
     e = events(c)
-    w = eu.winsorize(eu.ratio_analysis_units(e, [F1, F2], RATIO, S, ASOF))
+    w = eu.winsorize(materialize(eu.ratio_analysis_units(e, [F1, F2], RATIO, S, ASOF)))
     return eu.ratio_metric(eu.ratio_units(e, [F1, F2], RATIO, S, ASOF, values=w), [F1, F2], w)
 
 

@@ -108,7 +108,6 @@ def out_sql(reason, name, did, us, props, ids, src="ev"):
 
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-E_, K_ = F.col("eid"), F.col("k")
 
 
 def nz(x):
@@ -118,51 +117,51 @@ def nz(x):
 @plan("import_jsonl", out_sql("CASE WHEN eid%17=0 THEN 'invalid JSON' WHEN eid%7=0 THEN 'missing event name' WHEN eid%11=0 THEN 'missing distinct_id' WHEN eid%23=0 THEN 'unparseable timestamp' ELSE 'parsed' END", "CASE WHEN eid%17=0 OR eid%7=0 THEN '' ELSE name END",
                               "CASE WHEN eid%17=0 OR eid%11=0 THEN '' ELSE distinct_id END", "CASE WHEN eid%17=0 OR eid%23=0 THEN 0 ELSE us END", {"path": "CASE WHEN eid%17=0 THEN '' ELSE path END"}, "CASE WHEN eid%17<>0 THEN id END"), base="ev")
 def _(c):
-    js = F.to_json(F.struct("id", F.when(E_ % 7 != 0, F.col("name")).alias("name"), F.when(E_ % 11 != 0, F.col("distinct_id")).alias("distinct_id"),
-                            F.when(E_ % 23 == 0, "soon").otherwise(F.date_format("timestamp", ISO)).alias("timestamp"), F.struct("path").alias("properties")))
-    return rows_out(im.map_jsonl(c.events.select(F.when(E_ % 17 == 0, "{oops").otherwise(js).alias("value"))), "path")
+    js = F.to_json(F.struct("id", F.when(F.col("eid") % 7 != 0, F.col("name")).alias("name"), F.when(F.col("eid") % 11 != 0, F.col("distinct_id")).alias("distinct_id"),
+                            F.when(F.col("eid") % 23 == 0, "soon").otherwise(F.date_format("timestamp", ISO)).alias("timestamp"), F.struct("path").alias("properties")))
+    return rows_out(im.map_jsonl(c.events.select(F.when(F.col("eid") % 17 == 0, "{oops").otherwise(js).alias("value"))), "path")
 
 
 @plan("import_csv", out_sql("CASE WHEN eid%7=0 THEN 'missing event name' WHEN eid%11=0 THEN 'missing distinct_id' WHEN eid%23=0 THEN 'unparseable timestamp' ELSE 'parsed' END", "CASE WHEN eid%7=0 THEN '' ELSE name END", "CASE WHEN eid%11=0 THEN '' ELSE distinct_id END",
                             "CASE WHEN eid%23=0 OR eid%29=0 THEN 0 ELSE us//1000000*1000000 END", {"country": "country", "plan": "coalesce(plan,'')"}, "id"), base="ev")
 def _(c):
-    d = c.events.select(F.when(E_ % 7 != 0, F.concat(F.lit(" "), "name")).alias("event"), F.when(E_ % 11 != 0, F.col("distinct_id")).alias("user_id"),
-                        F.when(E_ % 23 == 0, "not a time").when(E_ % 29 == 0, "").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), F.col("id").alias("uuid"), "country", nz(F.col("plan")).alias("plan"))
+    d = c.events.select(F.when(F.col("eid") % 7 != 0, F.concat(F.lit(" "), "name")).alias("event"), F.when(F.col("eid") % 11 != 0, F.col("distinct_id")).alias("user_id"),
+                        F.when(F.col("eid") % 23 == 0, "not a time").when(F.col("eid") % 29 == 0, "").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), F.col("id").alias("uuid"), "country", nz(F.col("plan")).alias("plan"))
     return rows_out(im.map_csv(d), "country", "plan")
 
 
 @plan("import_posthog", out_sql("CASE WHEN eid%19=0 THEN 'unparseable properties JSON' ELSE 'parsed' END", "name", "distinct_id", "us", {"plan": "CASE WHEN eid%19=0 THEN coalesce(plan,'') WHEN eid%2=0 THEN 'json' ELSE coalesce(plan,'') END", "amount": "CASE WHEN eid%19<>0 THEN CAST(k AS VARCHAR) ELSE '' END"}, "id"), base="ev")
 def _(c):
-    pj = F.when(E_ % 19 == 0, "{nope").otherwise(F.to_json(F.struct(F.when(E_ % 2 == 0, "json").alias("plan"), K_.alias("amount"))))
+    pj = F.when(F.col("eid") % 19 == 0, "{nope").otherwise(F.to_json(F.struct(F.when(F.col("eid") % 2 == 0, "json").alias("plan"), F.col("k").alias("amount"))))
     d = c.events.select(F.col("name").alias("event"), "distinct_id", F.date_format("timestamp", ISO).alias("timestamp"), F.col("id").alias("uuid"), pj.alias("properties"), nz(F.col("plan")).alias("properties.plan"))
     return rows_out(im.map_posthog(d), "plan", "amount")
 
 
 @plan("import_posthog_api", out_sql("CASE WHEN eid%7=0 THEN 'missing event name' ELSE 'parsed' END", "CASE WHEN eid%7=0 THEN '' ELSE name END", "distinct_id", "us", {"path": "path"}, "id"), base="ev")
 def _(c):
-    js = F.to_json(F.struct(F.when(E_ % 2 == 0, F.col("id")).alias("id"), F.when(E_ % 2 == 1, F.col("id")).alias("uuid"), F.when(E_ % 7 != 0, F.col("name")).alias("event"), F.when(E_ % 3 != 0, F.col("distinct_id")).alias("distinct_id"),
-                            F.date_format("timestamp", ISO).alias("timestamp"), F.struct("path", F.when(E_ % 3 == 0, F.col("distinct_id")).alias("distinct_id")).alias("properties")))
+    js = F.to_json(F.struct(F.when(F.col("eid") % 2 == 0, F.col("id")).alias("id"), F.when(F.col("eid") % 2 == 1, F.col("id")).alias("uuid"), F.when(F.col("eid") % 7 != 0, F.col("name")).alias("event"), F.when(F.col("eid") % 3 != 0, F.col("distinct_id")).alias("distinct_id"),
+                            F.date_format("timestamp", ISO).alias("timestamp"), F.struct("path", F.when(F.col("eid") % 3 == 0, F.col("distinct_id")).alias("distinct_id")).alias("properties")))
     return rows_out(im.map_posthog_api(c.events.select(js.alias("value"))), "path")
 
 
 @plan("import_mixpanel", out_sql("CASE WHEN eid%11=0 THEN 'missing distinct_id' ELSE 'parsed' END", "name", "CASE WHEN eid%11=0 THEN '' ELSE CAST(uid AS VARCHAR) END", "CASE WHEN eid%2=0 THEN us//1000000*1000000 ELSE us//1000*1000 END", {"device": "device", "time": "''"}, "id"), base="ev")
 def _(c):
     ms = F.floor(F.unix_micros("timestamp") / 1000)
-    js = F.to_json(F.struct(F.col("name").alias("event"), F.struct(F.when(E_ % 11 != 0, F.col("uid")).alias("distinct_id"), F.when(E_ % 2 == 0, F.floor(ms / 1000)).otherwise(ms).alias("time"), F.col("id").alias("$insert_id"), "device").alias("properties")))
+    js = F.to_json(F.struct(F.col("name").alias("event"), F.struct(F.when(F.col("eid") % 11 != 0, F.col("uid")).alias("distinct_id"), F.when(F.col("eid") % 2 == 0, F.floor(ms / 1000)).otherwise(ms).alias("time"), F.col("id").alias("$insert_id"), "device").alias("properties")))
     return rows_out(im.map_mixpanel(c.events.select(js.alias("value"))), "device", "time")
 
 
 @plan("import_amplitude", out_sql("CASE WHEN eid%33=0 THEN 'missing user id' ELSE 'parsed' END", "name", "CASE WHEN eid%33=0 THEN '' WHEN eid%11=0 THEN 'd'||uid ELSE distinct_id END", "us//1000*1000", {"plan": "CASE WHEN eid%2=0 THEN 'event' ELSE coalesce(plan,'') END", "country": "country"}, "id"), base="ev")
 def _(c):
-    js = F.to_json(F.struct(F.col("name").alias("event_type"), F.when(E_ % 11 != 0, F.col("distinct_id")).alias("user_id"), F.when((E_ % 11 == 0) & (E_ % 33 != 0), F.concat(F.lit("d"), "uid")).alias("device_id"),
-                            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("event_time"), F.col("id").alias("$insert_id"), F.struct(F.when(E_ % 2 == 0, "event").alias("plan")).alias("event_properties"), F.struct("plan", "country").alias("user_properties")))
+    js = F.to_json(F.struct(F.col("name").alias("event_type"), F.when(F.col("eid") % 11 != 0, F.col("distinct_id")).alias("user_id"), F.when((F.col("eid") % 11 == 0) & (F.col("eid") % 33 != 0), F.concat(F.lit("d"), "uid")).alias("device_id"),
+                            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("event_time"), F.col("id").alias("$insert_id"), F.struct(F.when(F.col("eid") % 2 == 0, "event").alias("plan")).alias("event_properties"), F.struct("plan", "country").alias("user_properties")))
     return rows_out(im.map_amplitude(c.events.select(js.alias("value"))), "plan", "country")
 
 
 @plan("import_umami", out_sql("CASE WHEN eid%11=0 THEN 'missing session_id' ELSE 'parsed' END", "CASE WHEN name='view' THEN '$pageview' ELSE name END", "CASE WHEN eid%11=0 THEN '' ELSE distinct_id END", "us//1000000*1000000", {"path": "path", "referrer": "CASE WHEN referrer IS NULL THEN '' ELSE 'ref.example' END", "device": "device"}, "eid"), base="ev")
 def _(c):
-    d = c.events.select(F.when(E_ % 11 != 0, F.col("distinct_id")).alias("session_id"), F.when(F.col("name") != "view", F.col("name")).alias("event_name"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-                        F.col("path").alias("url_path"), F.when(F.col("referrer").isNotNull(), "ref.example").alias("referrer_domain"), "device", E_.cast("string").alias("n"))
+    d = c.events.select(F.when(F.col("eid") % 11 != 0, F.col("distinct_id")).alias("session_id"), F.when(F.col("name") != "view", F.col("name")).alias("event_name"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                        F.col("path").alias("url_path"), F.when(F.col("referrer").isNotNull(), "ref.example").alias("referrer_domain"), "device", F.col("eid").cast("string").alias("n"))
     return rows_out(im.map_umami(d), "path", "referrer", "device")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "eventloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +31,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table used several times to the shared checkpoint folder and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
