@@ -35,16 +35,18 @@ def block_window(key: str = "distinct_id", *order: str):
     return W.partitionBy(key, "_blk", "_hot").orderBy(*order)
 
 
-def after(w):
-    return w.rowsBetween(1, W.unboundedFollowing)
+def following(key: str = "distinct_id", *order: str):
+    """The rows after the current one, nearest last.
 
-
-def before(w):
-    return w.rowsBetween(W.unboundedPreceding, -1)
+    Read with F.last(x, ignorenulls=True).  The sort is descending so the frame only ever grows:
+    a frame that ends at UNBOUNDED FOLLOWING is recomputed for every row and costs n² per person.
+    """
+    return W.partitionBy(key, "_blk", "_hot").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
 
 
 def later_blocks(key: str = "distinct_id"):
-    return W.partitionBy(key).orderBy("_blk").rowsBetween(1, W.unboundedFollowing)
+    """The blocks after the current one, nearest last; read with F.last(x, ignorenulls=True)."""
+    return W.partitionBy(key).orderBy(F.desc("_blk")).rowsBetween(W.unboundedPreceding, -1)
 
 
 def earlier_blocks(key: str = "distinct_id"):

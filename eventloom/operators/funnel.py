@@ -1,7 +1,7 @@
 """Funnels: ordered, strict and unordered, with windows, exclusions and per-step filters.
 
 The per-person greedy match is a backward chain of windows: on a row matching step i the chain is
-that row plus the first following chain of step i+1.  All windows share one sort.  Hot people are cut
+that row plus the nearest following chain of step i+1.  All windows share one sort and grow-only frames.  Hot people are cut
 into time blocks (see functions.scan) and their chains are continued through the block table.
 """
 from __future__ import annotations
@@ -62,13 +62,13 @@ def prepare(df: DataFrame, steps: list[Step], exclude=(), every_event: bool = Fa
 
 def with_chains(rows: DataFrame, k: int, first: int = 0) -> DataFrame:
     """Adds ``_chain`` (positions matched from step ``first`` on) and ``_next_x`` to step rows."""
-    w = scan.after(scan.block_window("distinct_id", *ORDER))
+    w = scan.following("distinct_id", *ORDER)
     d = rows.withColumn("_pos", _pos())
     empty = F.array().cast("array<struct<_us:bigint,_rank:int,id:string,name:string>>")
     for i in range(k - 1, first - 1, -1):
-        rest = F.first(f"_c{i + 1}", True).over(w) if i < k - 1 else empty
+        rest = F.last(f"_c{i + 1}", True).over(w) if i < k - 1 else empty
         d = d.withColumn(f"_c{i}", F.when(F.col(f"_m{i}"), F.concat(F.array("_pos"), F.coalesce(rest, empty))))
-    d = d.withColumn("_nx", F.first(F.when(F.col("_x"), F.col("_pos")), True).over(w))
+    d = d.withColumn("_nx", F.last(F.when(F.col("_x"), F.col("_pos")), True).over(w))
 
     heads = [F.min(F.when(F.col(f"_m{i}"), F.struct(F.col("_pos").alias("p"), F.col(f"_c{i}").alias("c")))).alias(f"_e{i}")
              for i in range(first + 1, k)]
@@ -79,8 +79,8 @@ def with_chains(rows: DataFrame, k: int, first: int = 0) -> DataFrame:
         for j in range(k - 1, i, -1):
             tail = F.when(F.size(f"_e{i}.c") + i == j, F.coalesce(F.col(f"_n{j}"), empty)).otherwise(tail)
         blocks = blocks.withColumn(f"_f{i}", F.when(F.col(f"_e{i}").isNotNull(), F.concat(F.col(f"_e{i}.c"), tail)))
-        blocks = blocks.withColumn(f"_n{i}", F.first(f"_f{i}", True).over(later))
-    blocks = blocks.withColumn("_nx_later", F.first("_x0", True).over(later))
+        blocks = blocks.withColumn(f"_n{i}", F.last(f"_f{i}", True).over(later))
+    blocks = blocks.withColumn("_nx_later", F.last("_x0", True).over(later))
     carry = blocks.select("distinct_id", "_blk", "_nx_later", *[f"_n{i}" for i in range(first + 1, k)])
     a = scan.attach(d.where(F.col(f"_m{first}")), carry)
     more = empty
@@ -106,13 +106,13 @@ def _ordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int |
 
 def _unordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int | None) -> DataFrame:
     d = scan.with_blocks(rows, rows_per_block=block_rows).withColumn("_pos", _pos())
-    w = scan.after(scan.block_window("distinct_id", *ORDER))
+    w = scan.following("distinct_id", *ORDER)
     later = scan.later_blocks()
     sig = {f"_n{i}": F.col(f"_m{i}") for i in range(k)} | {"_nx": F.col("_x")}
     heads = scan.block_summary(d, *[F.min(F.when(m, F.col("_pos"))).alias(n + "h") for n, m in sig.items()])
-    carry = heads.select("distinct_id", "_blk", *[F.first(n + "h", True).over(later).alias(n + "l") for n in sig])
+    carry = heads.select("distinct_id", "_blk", *[F.last(n + "h", True).over(later).alias(n + "l") for n in sig])
     for n, m in sig.items():
-        d = d.withColumn(n, F.first(F.when(m, F.col("_pos")), True).over(w))
+        d = d.withColumn(n, F.last(F.when(m, F.col("_pos")), True).over(w))
     any_step = reduce(lambda a, b: a | b, [F.col(f"_m{i}") for i in range(k)])
     own = reduce(lambda acc, i: F.when(F.col(f"_m{i}"), F.lit(i)).otherwise(acc), range(k - 1, -1, -1), F.lit(-1))
     d = scan.attach(d.where(any_step), carry).withColumn("_own", own)
