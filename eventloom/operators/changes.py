@@ -12,7 +12,9 @@ from eventloom.model import attach_row, day_num, lit_ts
 from eventloom.operators.deploys import around
 from eventloom.operators.engagement import day_text
 from eventloom.operators.filters import property_keys
+from eventloom.operators.rollups import is_user_day, name_days
 from eventloom.operators.scope import drop_sampler
+from eventloom.session import materialize
 
 # fixed values: side length, relative move, daily floor, monthly floor
 MIN_SIDE, MIN_MOVE, MIN_DAILY, MIN_PEOPLE = 3, 0.25, 5, 20
@@ -28,7 +30,8 @@ def product_events(df: DataFrame) -> DataFrame:
 
 
 def daily_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("name", day_num().alias("day")).agg(F.count("*").alias("c"))
+    """(name, day, c), from events or from the user_day roll-up."""
+    return name_days(df)
 
 
 def dense(counts: DataFrame, last: Column, days: int, keys=("name",)) -> DataFrame:
@@ -63,7 +66,9 @@ def step_change(series: DataFrame, keys=("name",)) -> DataFrame:
 
 
 def detect(df: DataFrame, asof: str, days: int = 30) -> DataFrame:
-    d = product_events(df).where(F.col("timestamp") <= lit_ts(asof))
+    d = product_events(df)
+    if not is_user_day(df):
+        d = d.where(F.col("timestamp") <= lit_ts(asof))
     return step_change(dense(daily_counts(d), _d(asof), days))
 
 
@@ -150,19 +155,20 @@ def concentration(df: DataFrame, found: DataFrame) -> DataFrame:
     edge = names.groupBy("name").agg(F.min(F.unix_micros("timestamp")).alias("lo"), F.max(F.unix_micros("timestamp")).alias("hi"))
     at, dd = F.col("day") * 86_400_000_000, 86_400_000_000
     f = f.join(edge, "name").withColumn("span", F.least(F.floor((at - F.col("lo")) / dd), F.floor((F.col("hi") - at) / dd), F.lit(MAX_SPAN))).where("span > 0").select("name", "day", "span")
-    builtin = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(x).alias("dim"), dimension(names, x).alias("value")) for i, x in enumerate(CAUSE_DIMS)])
     us = F.unix_micros("timestamp")
-    inside = (F.col("us") >= (F.col("day") - F.col("span")) * dd) & (F.col("us") < (F.col("day") + F.col("span")) * dd)
-    b = names.select("name", us.alias("us"), F.explode(builtin).alias("x")).select("name", "us", "x.*").where("value is not null")
-    skip = [c for c in (*CAUSE_DIMS, *[a for al in CAUSE_DIMS.values() for a in al]) if c in names.columns]
-    own = property_keys(names.drop(*skip).withColumn("_us", us), keep=("name", "_us"))
+    inside = (us >= (F.col("day") - F.col("span")) * dd) & (us < (F.col("day") + F.col("span")) * dd)
+    rows = names.join(f, "name").where(inside)              # only the comparison windows go on
+    builtin = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(x).alias("dim"), dimension(rows, x).alias("value")) for i, x in enumerate(CAUSE_DIMS)])
+    b = rows.select("name", "day", us.alias("us"), F.explode(builtin).alias("x")).select("name", "day", "us", "x.*").where("value is not null")
+    skip = [c for c in (*CAUSE_DIMS, *[a for al in CAUSE_DIMS.values() for a in al], "span") if c in rows.columns]
+    own = property_keys(rows.drop(*skip).withColumn("us", us), keep=("name", "day", "us"))
     own = own.where(F.col("is_text") & (F.col("value") != "") & ~F.startswith("key", F.lit("$")) & ~F.col("key").isin(*CAUSE_DIMS))
-    own = own.select("name", F.col("_us").alias("us"), F.col("key").alias("dim"), "value").join(f, "name").where(inside)
-    rows = names.select("name", us.alias("us")).join(f, "name").where(inside).groupBy("name", "day").agg(F.count("*").alias("rows"))
-    cover = own.groupBy("name", "day", "dim").agg(F.count("*").alias("n")).join(rows, ["name", "day"]).where(F.col("n") >= F.col("rows") * COVERAGE)
+    own = own.select("name", "day", "us", F.col("key").alias("dim"), "value")
+    total = rows.groupBy("name", "day").agg(F.count("*").alias("rows"))
+    cover = own.groupBy("name", "day", "dim").agg(F.count("*").alias("n")).join(total, ["name", "day"]).where(F.col("n") >= F.col("rows") * COVERAGE)
     pick = cover.withColumn("_r", F.row_number().over(W.partitionBy("name", "day").orderBy(F.desc("n"), "dim"))).where(F.col("_r") <= MAX_DISCOVERED)
     own = own.join(pick.select("name", "day", "dim", (F.col("_r") + len(CAUSE_DIMS)).alias("prio")), ["name", "day", "dim"])
-    both = b.join(f, "name").where(inside).select("name", "day", "prio", "dim", "value", "us").unionByName(own.select("name", "day", "prio", "dim", "value", "us"))
+    both = b.select("name", "day", "prio", "dim", "value", "us").unionByName(own.select("name", "day", "prio", "dim", "value", "us"))
     c = both.groupBy("name", "day", "prio", "dim", "value").agg(F.sum(F.when(F.col("us") < at, 1).otherwise(-1)).alias("lost"))
     tot = c.groupBy("name", "day", "prio", "dim").agg(F.sum("lost").alias("net"), F.min(F.struct((-F.col("lost")).alias("l"), "value")).alias("w")).where("net > 0 and w.l < 0")
     tot = tot.withColumn("share", F.least(F.lit(1.0), -F.col("w.l") / F.col("net"))).where(F.col("share") >= MIN_SHARE)
@@ -250,7 +256,7 @@ def tracking_break(df: DataFrame, found: DataFrame, planned: DataFrame, asof: st
 # ---- ranked investigation and replay -----------------------------------------------------------
 def investigate(df: DataFrame, asof: str, days: int = 30) -> DataFrame:
     """Findings with money, recovery and cause, ranked: open first, then money, then urgency, then size."""
-    f = findings(df, asof, days)
+    f = materialize(findings(df, asof, days))        # a handful of rows, used four times
     prod = drop_sampler(df)
     j = f.join(revenue_per_person(df, asof, days).select("name", "per_person"), "name", "left").join(recovery(prod, asof, f).select("name", "day", "recovered"), ["name", "day"], "left")
     j = j.join(concentration(df, f), ["name", "day"], "left")
@@ -268,7 +274,8 @@ def backtest(df: DataFrame, asof: str, window_days: int = 90, step_days: int = 1
     As-of dates (day starts) multiply the daily counts, never the events; each as-of sees only
     earlier days, and a change is reported at the first as-of that finds it.
     """
-    c = daily_counts(product_events(df).where(F.col("timestamp") < lit_ts(asof)))
+    d = product_events(df)
+    c = daily_counts(d if is_user_day(df) else d.where(F.col("timestamp") < lit_ts(asof)))
     end = _d(asof)
     # each daily count is visible to the as-of dates of the following ``days`` days
     reach = F.sequence(F.greatest(F.col("day") + 1, end - window_days), F.least(F.col("day") + days - 1, end))

@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.functions import values as v
+from eventloom.functions import scan, values as v
 from eventloom.operators import filters as flt
 from eventloom.operators.scope import drop_sampler
-from eventloom.session import checkpoint_dir
+from eventloom.session import materialize
 
 # fixed values: visitor attributes that live on the landing event
 ACQUISITION_PROPS = ("referrer", "source", "utm_source", "utm_medium", "utm_campaign", "channel", "device", "os",
@@ -83,24 +83,29 @@ def alias_edges(df: DataFrame) -> DataFrame:
     return e.where("anon <> '' and canonical <> '' and anon <> canonical and anon <> '$anon'")
 
 
-def alias_map(edges: DataFrame) -> DataFrame:
+def alias_map(edges: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(anon, canonical), one hop deep.
 
-    A canonical id that was itself aliased earlier is replaced by that alias's own result.  Pointer
-    jumping halves what is left of every chain per round; each round is checkpointed, so the plan
-    stays small and the loop ends when no edge points further.
+    A canonical id that was itself aliased earlier is replaced by that alias's own result.  Starting
+    from each anon's newest edge, the edge in force at that moment for the canonical id is looked up
+    as-of (a running last value, no pairs), and so on until nothing is found.  The loop follows only
+    unfinished chains, runs once per level of aliasing, and each level is checkpointed.
     """
-    checkpoint_dir(edges.sparkSession)
-    later = edges.alias("c").join(edges.alias("p"), (F.col("c.canonical") == F.col("p.anon")) & (
-        F.struct(F.col("p.timestamp"), F.col("p.eid")) < F.struct(F.col("c.timestamp"), F.col("c.eid"))))
-    parent = later.groupBy(F.col("c.eid").alias("eid")).agg(
-        F.max(F.struct(F.col("p.timestamp"), F.col("p.eid").alias("eid")))["eid"].alias("up"))
-    jump = edges.join(parent, "eid", "left").select("eid", "anon", "timestamp", "canonical", "up").checkpoint()
-    while not jump.where("up is not null").isEmpty():
-        ref = jump.select(F.col("eid").alias("_e"), F.col("canonical").alias("_c"), F.col("up").alias("_u"))
-        jump = (jump.join(ref, F.col("up") == F.col("_e"), "left")
-                .select("eid", "anon", "timestamp", F.coalesce("_c", "canonical").alias("canonical"), F.col("_u").alias("up"))).checkpoint()
-    return jump.groupBy("anon").agg(F.max(F.struct("timestamp", "eid", "canonical"))["canonical"].alias("canonical"))
+    edges = materialize(edges.select("eid", "anon", "canonical", "timestamp"))
+    newest = edges.groupBy("anon").agg(F.max(F.struct("timestamp", "eid", "canonical")).alias("e"))
+    open_ = materialize(newest.select(F.col("anon").alias("root"), "e.timestamp", "e.eid", "e.canonical"))
+    steps = edges.select(F.col("anon").alias("key"), "timestamp", F.col("eid").alias("id"), F.lit(None).cast("string").alias("root"),
+                         F.lit(None).cast("string").alias("canonical"), F.struct("timestamp", "eid", "canonical").alias("edge"))
+    done = []
+    while True:
+        probes = open_.select(F.col("canonical").alias("key"), "timestamp", F.col("eid").alias("id"), "root", "canonical", F.lit(None).cast(steps.schema["edge"].dataType).alias("edge"))
+        look = scan.with_blocks(steps.join(probes.select("key").distinct(), "key", "left_semi").unionByName(probes), "key", rows_per_block=block_rows)
+        look = scan.last_value_so_far(look, F.col("edge"), "up", ["_us", "id"], key="key").where("root is not null")
+        look = materialize(look.select("root", "canonical", "up"))
+        done.append(look.where("up is null").select(F.col("root").alias("anon"), "canonical"))
+        open_ = look.where("up is not null").select("root", "up.timestamp", "up.eid", "up.canonical")
+        if open_.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame) -> DataFrame:

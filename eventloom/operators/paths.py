@@ -8,10 +8,13 @@ from eventloom.model import attach_row
 from eventloom.operators.scope import drop_sampler
 
 
-def _from_start(df: DataFrame, is_start, inclusive: bool) -> DataFrame:
+def _starts(df: DataFrame, is_start) -> DataFrame:
+    return df.where(is_start).groupBy("distinct_id").agg(F.min(F.struct("timestamp", "id")).alias("_start"))
+
+
+def _from_start(df: DataFrame, starts: DataFrame, inclusive: bool) -> DataFrame:
     at = F.struct("timestamp", "id")
-    first = df.where(is_start).groupBy("distinct_id").agg(F.min(at).alias("_start"))
-    j = df.join(first, "distinct_id")
+    j = df.join(starts, "distinct_id")
     return j.where(at >= F.col("_start") if inclusive else at > F.col("_start"))
 
 
@@ -25,8 +28,9 @@ def _levels(steps: DataFrame, starters: DataFrame, depth: int) -> DataFrame:
 
 def after(df: DataFrame, start: str, depth: int = 3) -> DataFrame:
     d = drop_sampler(df).select("distinct_id", "timestamp", "id", "name")
-    steps = _from_start(d, F.col("name") == start, inclusive=False).withColumnRenamed("name", "step")
-    return _levels(steps, d.where(F.col("name") == start).select("distinct_id").distinct(), depth)
+    starts = _starts(d, F.col("name") == start)
+    steps = _from_start(d, starts, inclusive=False).withColumnRenamed("name", "step")
+    return _levels(steps, starts, depth)
 
 
 def pages(df: DataFrame, start_path: str, depth: int = 3, block_rows: int | None = None) -> DataFrame:
@@ -34,8 +38,9 @@ def pages(df: DataFrame, start_path: str, depth: int = 3, block_rows: int | None
     p = F.coalesce(v.text(df, "path"), F.lit(""))
     d = (df.where((F.col("name") == "$pageview") & (p != ""))
          .select("distinct_id", "timestamp", "id", p.alias("step")))
-    rows = _from_start(d, F.col("step") == start_path, inclusive=True)
+    starts = _starts(d, F.col("step") == start_path)
+    rows = _from_start(d, starts, inclusive=True)
     rows = scan.with_blocks(rows.drop("_start"), rows_per_block=block_rows)
     rows = scan.previous_value(rows, "step", "_prev", ["_us", "id"])
     moved = rows.where("_prev is not null and step <> _prev")
-    return _levels(moved, d.where(F.col("step") == start_path).select("distinct_id").distinct(), depth)
+    return _levels(moved, starts, depth)

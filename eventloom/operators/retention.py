@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
+from eventloom.operators.rollups import is_user_day
 from eventloom.operators.scope import drop_sampler
 
 # fixed values: period lengths in seconds, and the summary periods per bucket
@@ -16,7 +17,8 @@ def activity(df: DataFrame, event: str = "", bucket: str = "day") -> DataFrame:
     d = drop_sampler(df)
     if event:
         d = d.where(F.col("name") == event)
-    p = F.floor(F.unix_seconds("timestamp") / BUCKET_SECONDS[bucket]).alias("period")
+    secs = F.col("day") * 86400 if is_user_day(df) else F.unix_seconds("timestamp")     # every period is whole days
+    p = F.floor(secs / BUCKET_SECONDS[bucket]).alias("period")
     return d.select("distinct_id", p).distinct()
 
 

@@ -18,9 +18,21 @@ def user_day(df: DataFrame) -> DataFrame:
         F.max(F.unix_micros("timestamp")).alias("last_us"))
 
 
+def is_user_day(df: DataFrame) -> bool:
+    """A user_day table may stand in for the events wherever only days, people and names matter."""
+    return "timestamp" not in df.columns and {"distinct_id", "day", "name", "n"} <= set(df.columns)
+
+
 def user_days(df: DataFrame, event: str = "") -> DataFrame:
-    """Distinct (distinct_id, day); bounded per person by the calendar."""
+    """Distinct (distinct_id, day) of events or of a user_day table; bounded per person by the calendar."""
     d = drop_sampler(df, event)
     if event:
         d = d.where(F.col("name") == event)
-    return d.select("distinct_id", day_num().alias("day")).distinct()
+    return d.select("distinct_id", F.col("day") if is_user_day(df) else day_num().alias("day")).distinct()
+
+
+def name_days(df: DataFrame) -> DataFrame:
+    """(name, day, c) of events or of a user_day table."""
+    if is_user_day(df):
+        return df.groupBy("name", "day").agg(F.sum("n").alias("c"))
+    return df.groupBy("name", day_num().alias("day")).agg(F.count("*").alias("c"))

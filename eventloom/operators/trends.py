@@ -9,7 +9,7 @@ from eventloom.functions import values as v
 from eventloom.functions.quantiles import exact_quantiles
 from eventloom.model import attach_row, between, lit_ts
 from eventloom.operators.filters import property_keys
-from eventloom.operators.rollups import user_days
+from eventloom.operators.rollups import is_user_day, user_days
 from eventloom.operators.scope import drop_sampler
 
 # fixed values: most buckets shown per grain, recent end kept
@@ -135,8 +135,8 @@ def active_users(df: DataFrame, window_days: int, start, end, event: str = "") -
     n = max(1, window_days)
     lo = F.unix_date(F.to_date(lit_ts(start))).cast("bigint")
     hi = F.unix_date(F.to_date(lit_ts(end) - F.expr("interval 1 microsecond"))).cast("bigint")
-    d = between(df, end=end)
-    ud = user_days(d, event).where(F.col("day") >= lo - (n - 1))
+    d = df if is_user_day(df) else between(df, end=end)
+    ud = user_days(d, event).where((F.col("day") >= lo - (n - 1)) & (F.col("day") <= hi))
     w = W.partitionBy("distinct_id").orderBy("day")      # one row per person and day
     ud = ud.withColumn("p", F.lag("day").over(w)).withColumn("q", F.lead("day").over(w))
     steps = F.array(F.struct(F.col("day").alias("day"), F.when(F.col("p") >= F.col("day") - (n - 1), 0).otherwise(1).alias("s")),

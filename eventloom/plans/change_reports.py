@@ -4,6 +4,7 @@ from eventloom.operators import changes as ch, insights as ins
 from eventloom.plans.ai_reports import DEPLOY_SQL, deploys
 from eventloom.plans.inputs import ASOF
 from eventloom.plans.registry import plan
+from eventloom.session import materialize
 
 # From the 16th, Safari purchases and a quarter of the rest are recorded under another name: a real step down.
 # From the 22nd, sign-ups stop being sent at all: lost tracking.
@@ -59,7 +60,7 @@ def _(c):
  19753-day>=4 AND count(*) FILTER (WHERE us>=(day-3)*86400000000 AND us<day*86400000000)>0 AND count(*) FILTER (WHERE us>=(19753-3)*86400000000)>=0.9*count(*) FILTER (WHERE us>=(day-3)*86400000000 AND us<day*86400000000) AS recovered FROM fd f JOIN rg USING (name) WHERE kind='regression' GROUP BY 1,2""")
 def _(c):
     d = regressed(c)
-    return ch.recovery(d, ASOF, ch.findings(d, ASOF))
+    return ch.recovery(d, ASOF, materialize(ch.findings(d, ASOF)))
 
 
 @plan("revenue_sizing", REG + "SELECT name, 'amount' AS prop, round(sum(CASE WHEN amount>0 THEN amount END)/count(DISTINCT distinct_id),6) AS per_person, count(*) AS events, count(DISTINCT distinct_id) AS people FROM rg WHERE ts>=TIMESTAMP '2024-01-01' AND NOT starts_with(name,'$') GROUP BY 1 HAVING count(*)>=20")
@@ -78,7 +79,7 @@ def _(c):
  SELECT name, day, dim, value, round(CAST(share AS DOUBLE),6) AS share FROM z WHERE r=1""")
 def _(c):
     d = regressed(c)
-    return ch.concentration(d, ch.findings(d, ASOF))
+    return ch.concentration(d, materialize(ch.findings(d, ASOF)))
 
 
 IMP = REG + f""", {DEPLOY_SQL}, sr AS (SELECT name, dn, count(*) AS c FROM rg GROUP BY 1,2),
@@ -114,7 +115,7 @@ def _(c):
   WHERE nb=3 AND na=3 AND abs((im.a-im.b)/im.b)>=0.25 AND abs(epoch_us(dat)-f.day*86400000000)<=48*3600000000) WHERE r=1""")
 def _(c):
     d = regressed(c)
-    return ch.ship_near(d, ch.findings(d, ASOF), deploys(c), ASOF)
+    return ch.ship_near(d, materialize(ch.findings(d, ASOF)), deploys(c), ASOF)
 
 
 @plan("tracking_break", CNT + """, o AS (SELECT f.name, f.day, count(*) FILTER (WHERE us<day*86400000000)/14 AS b, count(*) FILTER (WHERE us>=day*86400000000)/(19753-day) AS a FROM fd f JOIN rg USING (name) WHERE kind='regression' AND us>=(day-14)*86400000000 GROUP BY 1,2),
@@ -125,7 +126,7 @@ def _(c):
 def _(c):
     d = regressed(c)
     planned = c.spark.createDataFrame([("signup",), ("purchase",)], "event string")
-    return ch.tracking_break(d, ch.findings(d, ASOF), planned, ASOF)
+    return ch.tracking_break(d, materialize(ch.findings(d, ASOF)), planned, ASOF)
 
 
 BT = REG + """, base AS (SELECT name, dn, count(*) AS c FROM rg WHERE NOT starts_with(name,'$') GROUP BY 1,2), av AS (SELECT unnest(range(19753-20, 19754)) AS asof_day),
