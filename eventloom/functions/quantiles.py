@@ -33,14 +33,18 @@ def _ranks(n: Column, spec) -> list[tuple[Column, Column]]:
     return [(F.greatest(F.lit(1), F.floor((n * q + 999_999) / 1_000_000)), F.lit(1.0))]
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, stats: dict) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, _c): how often each number occurs."""
+    val = F.col(value).cast("double")
+    return df.where(val.isNotNull()).groupBy(*keys, val.alias("_v")).agg(F.count("*").alias("_c"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, stats: dict, counted: bool = False) -> DataFrame:
     """One row per group: keys, ``n`` and one column per entry of ``stats``.
 
-    A stat is a fraction (nearest rank), "median", "upper_median" or ("linear", fraction).
+    With ``counted`` the input already is a value_counts table.  A stat is a fraction (nearest rank), "median", "upper_median" or ("linear", fraction).
     """
-    val = F.col(value).cast("double")
-    base = df.where(val.isNotNull()).select(*keys, val.alias("_v"))
-    counts = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+    counts = (df if counted else value_counts(df, keys, value)).withColumn("_b", _bucket(F.col("_v")))
     buckets = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"))
     part = keys or [F.lit(0)]
     run = W.partitionBy(*part).orderBy("_b")

@@ -14,6 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+SMALL_INPUT = 64 << 20      # bytes by the optimizer's estimate: too little for any key to weigh on a task
+
+
+def estimated_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate; infinite where it cannot be asked."""
+    try:
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # a session type without a local plan
+        return float("inf")
 
 
 def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp",
@@ -21,6 +30,8 @@ def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp",
     """Adds ``_us`` (epoch micros), ``_hot`` and ``_blk``."""
     limit = rows_per_block or ROWS_PER_BLOCK
     df = df.withColumn("_us", F.unix_micros(ts))
+    if rows_per_block is None and estimated_bytes(df) < SMALL_INPUT:
+        return df.withColumn("_hot", F.lit(False)).withColumn("_blk", F.lit(0).cast("bigint"))
     hot = (df.groupBy(key).agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
            .where(F.col("_n") > limit)
            .select(F.col(key).alias("_hk"), "_lo",

@@ -6,7 +6,7 @@ import ast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
-from eventloom.functions.quantiles import exact_quantiles
+from eventloom.functions.quantiles import exact_quantiles, value_counts
 from eventloom.model import attach_row, between, lit_ts
 from eventloom.operators.filters import property_keys
 from eventloom.operators.rollups import is_user_day, user_days
@@ -25,7 +25,7 @@ def select_events(df: DataFrame, event: str = "", start=None, end=None) -> DataF
 
 def calendar(spark, counts: DataFrame, grain: str, start=None, end=None) -> DataFrame:
     """Every bucket of the window; open ends come from the data; only the recent end is kept when capped."""
-    seen = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    seen = spark.range(1) if start and end else counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
     lo = F.date_trunc(grain, lit_ts(start)) if start else F.col("a")
     hi = F.date_trunc(grain, lit_ts(end) - F.expr("interval 1 microsecond")) if end else F.col("b")
     ends = seen.select(lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
@@ -84,13 +84,16 @@ QUANTILES = {"median": "median", "p90": 0.90, "p95": 0.95, "p99": 0.99}
 _SIMPLE = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
-def _measures(d: DataFrame, keys: list[str]) -> DataFrame:
-    simple = d.groupBy(*keys).agg(F.count("x").alias("n"), *[f("x").alias(m) for m, f in _SIMPLE.items()])
-    q = exact_quantiles(d, keys, "x", QUANTILES).drop("n")
-    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
-    if not keys:
-        return attach_row(simple, q)
-    j = simple.alias("s").join(q.alias("q"), on, "left")
+def _measures(d: DataFrame, key: str, whole: str | None = None) -> DataFrame:
+    """Every measure of ``x`` per key; ``whole`` adds one more row, under that key, over everything."""
+    aggs = [F.count("x").alias("n"), *[f("x").alias(m) for m, f in _SIMPLE.items()]]
+    simple, counts = d.groupBy(key).agg(*aggs), value_counts(d, [key], "x")
+    if whole is not None:
+        w = F.lit(whole).cast(d.schema[key].dataType).alias(key)
+        simple = simple.unionByName(d.agg(*aggs).select(w, "n", *_SIMPLE))
+        counts = counts.unionByName(counts.groupBy("_v").agg(F.sum("_c").alias("_c")).select(w, "_v", "_c"))
+    q = exact_quantiles(counts, [key], "x", QUANTILES, counted=True).drop("n")
+    j = simple.alias("s").join(q.alias("q"), F.col(f"s.{key}").eqNullSafe(F.col(f"q.{key}")), "left")
     return j.select("s.*", *[f"q.{c}" for c in QUANTILES])
 
 
@@ -104,18 +107,18 @@ def _tidy() -> list[Column]:
 def measure(df: DataFrame, event: str, prop: str, start=None, end=None) -> DataFrame:
     """Per day and for the whole window ('total'): n and every measure of a numeric property."""
     d = select_events(df, event, start, end)
-    d = d.select(_bucket("day").alias("bucket"), v.num_lenient(d, prop).alias("x")).where("x is not null")
-    per_day = _measures(d, ["bucket"])
-    cal = calendar(df.sparkSession, per_day, "day", start, end)
-    days = cal.join(per_day, "bucket", "left").select(label_bucket("day"), F.coalesce("n", F.lit(0)).alias("n"), *_tidy())
-    whole = _measures(d, []).select(F.lit("total").alias("bucket"), "n", *_tidy())
-    return days.unionByName(whole)
+    d = d.select(F.date_format(_bucket("day"), _FMT["day"]).alias("bucket"), v.num_lenient(d, prop).alias("x")).where("x is not null")
+    m = _measures(d, "bucket", whole="total")
+    seen = d.select(F.to_timestamp("bucket").alias("bucket"))
+    cal = calendar(df.sparkSession, seen, "day", start, end).select(label_bucket("day"))
+    all_rows = cal.unionByName(df.sparkSession.range(1).select(F.lit("total").alias("bucket")))
+    return all_rows.join(m, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), *_tidy())
 
 
 def measure_breakdown(df: DataFrame, event: str, prop: str, by: str, start=None, end=None) -> DataFrame:
     d = select_events(df, event, start, end)
     d = d.select(v.label(d, by).alias("value"), v.num_lenient(d, prop).alias("x")).where("x is not null")
-    return _measures(d, ["value"]).select("value", "n", *_tidy())
+    return _measures(d, "value").select("value", "n", *_tidy())
 
 
 def numeric_properties(df: DataFrame) -> DataFrame:
