@@ -137,6 +137,9 @@ def property_keys(df: DataFrame, keep=()) -> DataFrame:
         num = (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_val", "$", "double"))
                .when(kind == "STRING", v.parse_number(txt)))
         parts.append(ex.select(*keep, "key", txt.alias("value"), num.alias("num"), (kind == "STRING").alias("is_text")))
+    if not parts:        # events without properties
+        none = F.lit(None).cast("string")
+        parts = [df.where(F.lit(False)).select(*keep, none.alias("key"), none.alias("value"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("is_text"))]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
