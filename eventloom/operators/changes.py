@@ -43,6 +43,18 @@ def dense(counts: DataFrame, last: Column, days: int, keys=("name",)) -> DataFra
     return grid.join(win.select(*keys, "day", "c"), [*keys, "day"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
 
 
+def filled(counts: DataFrame, last: Column, days: int) -> DataFrame:
+    """(name, day, c) for every day of the window, leading zeros included."""
+    win = counts.where((F.col("day") > last - days) & (F.col("day") <= last))
+    grid = win.select("name").distinct().select("name", F.explode(F.sequence(last - (days - 1), last)).alias("day"))
+    return grid.join(win.select("name", "day", "c"), ["name", "day"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+
+
+def impacts(df: DataFrame, deploys: DataFrame, asof: str, days: int = 30, window: int = 3) -> DataFrame:
+    """Every event's zero-filled daily series against every deploy."""
+    return deploy_impact(filled(daily_counts(drop_sampler(df).where(F.col("timestamp") <= lit_ts(asof))), _d(asof), days), deploys, window)
+
+
 def step_change(series: DataFrame, keys=("name",)) -> DataFrame:
     """Best single split per series: located by means, reported and judged by medians."""
     keys = list(keys)

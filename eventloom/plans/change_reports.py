@@ -82,19 +82,19 @@ def _(c):
     return ch.concentration(d, materialize(ch.findings(d, ASOF)))
 
 
-IMP = REG + f""", {DEPLOY_SQL}, sr AS (SELECT name, dn, count(*) AS c FROM rg GROUP BY 1,2),
+IMP = REG + f""", {DEPLOY_SQL}, sp AS (SELECT name, dn, count(*) AS c FROM rg WHERE dn>19753-30 GROUP BY 1,2), sr AS (SELECT n.name, g.dn, coalesce(sp.c,0) AS c FROM (SELECT DISTINCT name FROM sp) n CROSS JOIN (SELECT unnest(range(19753-29, 19754)) AS dn) g LEFT JOIN sp ON sp.name=n.name AND sp.dn=g.dn),
  im AS (SELECT s.name, deploy, dat, avg(p.c) FILTER (WHERE p.dn<s.d0) AS b, count(*) FILTER (WHERE p.dn<s.d0) AS nb, avg(p.c) FILTER (WHERE p.dn>=s.d0) AS a, count(*) FILTER (WHERE p.dn>=s.d0) AS na FROM (SELECT DISTINCT name, deploy, dat, epoch_us(dat)//86400000000 AS d0 FROM sr, dep) s
   JOIN sr x ON x.name=s.name AND x.dn=s.d0 JOIN sr p ON p.name=s.name AND p.dn BETWEEN s.d0-3 AND s.d0+2 GROUP BY 1,2,3),
- ip AS (SELECT name, deploy, dat, round(b,6) AS before, round(a,6) AS after, round((a-b)/b,6) AS delta, CASE WHEN abs((a-b)/b)<0.25 THEN 'flat' WHEN a<b THEN 'regression' ELSE 'improvement' END AS direction, nb=3 AND na=3 AND abs((a-b)/b)>=0.25 AS significant FROM im) """
+ ip AS (SELECT name, deploy, dat, round(b,6) AS before, round(a,6) AS after, round(CASE WHEN b>0 THEN (a-b)/b WHEN a=0 THEN 0 END,6) AS delta, CASE WHEN b=0 AND a>0 THEN 'improvement' WHEN b=0 OR abs((a-b)/b)<0.25 THEN 'flat' WHEN a<b THEN 'regression' ELSE 'improvement' END AS direction, nb=3 AND na=3 AND b>0 AND abs((a-b)/b)>=0.25 AS significant FROM im) """
 
 
 def _impacts(c):
-    return ch.deploy_impact(ch.daily_counts(regressed(c)), deploys(c))
+    return ch.impacts(regressed(c), deploys(c), ASOF)
 
 
-@plan("deploy_impact", IMP + "SELECT name, deploy, before, after, delta, direction, significant FROM ip WHERE before IS NOT NULL AND after IS NOT NULL")
+@plan("deploy_impact", IMP + "SELECT name, deploy, before, after, delta, direction, significant FROM ip")
 def _(c):
-    return _impacts(c).drop("at").where("before is not null and after is not null")
+    return _impacts(c).drop("at")
 
 
 @plan("interval_join_deploys", DEPLOY_SQL.replace("dep AS", "WITH dep AS") + """ SELECT deploy, name, count(*) FILTER (WHERE ts<dat) AS before, count(*) FILTER (WHERE ts>=dat) AS after FROM dep JOIN pev ON ts>=dat-INTERVAL 2 DAY AND ts<dat+INTERVAL 2 DAY GROUP BY 1,2""")

@@ -288,7 +288,7 @@ PB = """WITH w AS (SELECT * FROM pev WHERE ts>=TIMESTAMP '2024-01-03' AND ts<TIM
  dd AS (SELECT country AS segment, strftime(b,'%Y-%m-%d') AS d FROM (SELECT DISTINCT country FROM pev), range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-02-04', INTERVAL 1 DAY) t(b)),
  dm AS (SELECT segment, median(n) AS daily_units FROM (SELECT dd.segment, dd.d, count(DISTINCT distinct_id) AS n FROM dd LEFT JOIN w ON w.country=dd.segment AND w.d=dd.d GROUP BY 1,2) GROUP BY 1),
  mo AS (SELECT segment, avg(x) AS m FROM u GROUP BY 1),
- pb AS (SELECT segment, CAST(32 AS BIGINT) AS days, count(*) AS units, CAST(sum(c) AS BIGINT) AS converters, round(sum(c)/count(*),6) AS rate, any_value(daily_units) AS daily_units, round(avg((x-m)**3)/power(avg((x-m)**2),1.5),4) AS skewness FROM u JOIN mo USING (segment) JOIN dm USING (segment) GROUP BY 1) """
+ pb AS (SELECT segment, CAST(32 AS BIGINT) AS days, count(*) AS units, CAST(sum(c) AS BIGINT) AS converters, round(sum(c)/count(*),6) AS rate, any_value(daily_units) AS daily_units, coalesce(round(CASE WHEN avg((x-m)**2)>0 THEN avg((x-m)**3)/power(avg((x-m)**2),1.5) END,4),0) AS skewness FROM u JOIN mo USING (segment) JOIN dm USING (segment) GROUP BY 1) """
 
 
 def _baseline(c):

@@ -193,7 +193,7 @@ def _(c):
  r AS (SELECT a.distinct_id, a.t AS ta, b.t AS tb FROM f a LEFT JOIN f b ON a.distinct_id=b.distinct_id AND b.path='/checkout' WHERE a.path=(SELECT path FROM e)),
  k AS (SELECT count(*) AS n0, count(*) FILTER (WHERE tb>=ta) AS n2 FROM r)
  SELECT CAST(i AS BIGINT) AS step, CASE i WHEN 1 THEN (SELECT path FROM e) ELSE '/checkout' END AS path, CASE i WHEN 1 THEN n0 ELSE n2 END AS people,
-  n2<n0 AND n2*4<=n0 AND n2>=5 AS confident FROM k, range(1,3) t(i)""", base="web")
+  n2<n0 AND n2*4<=n0 AND n2>=5 AS confident FROM k, range(1,3) t(i) WHERE (SELECT path FROM e)<>'/checkout'""", base="web")
 def _(c):
     return journeys.propose_page_funnel(c.web)
 

@@ -203,7 +203,8 @@ def _(c):
     return sn.daily_counts(c.events, S, E).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "name", "count", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
-@plan("daily_segment_counts", "SELECT d AS day, name, 'browser' AS dim, browser AS value, count(*) AS count FROM pev GROUP BY 1,2,4 UNION ALL SELECT d, name, 'country', country, count(*) FROM pev GROUP BY 1,2,4")
+@plan("daily_segment_counts", """SELECT d AS day, name, 'browser' AS dim, browser AS value, count(*) AS count FROM pev GROUP BY 1,2,4 UNION ALL SELECT d, name, 'country', country, count(*) FROM pev GROUP BY 1,2,4
+ UNION ALL SELECT d, name, 'user', distinct_id, count(*) FROM pev WHERE name IN (SELECT name FROM pev GROUP BY 1 HAVING count(DISTINCT distinct_id)<=20) GROUP BY 1,2,4""")
 def _(c):
     return sn.segment_counts(dims_df(c), S, E, DIMS, max_values=20).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
