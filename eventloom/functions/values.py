@@ -104,3 +104,12 @@ def half_up(x: Column, places: int) -> Column:
 
 def ratio(num: Column, den: Column, places: int = 6) -> Column:
     return F.round(F.when(den > 0, num / den).otherwise(F.lit(0.0)), places)
+
+
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters must not re-evaluate.
+
+    A filter on a projected column is pushed below the projection with the expression inlined; a
+    one-row generator stops that, so costly expressions (JSON parsing) run once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

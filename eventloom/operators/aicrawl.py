@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import values as v
 from eventloom.model import attach_row, lit_ts
+from eventloom.session import materialize
 
 # fixed values: user-agent pattern, crawler, operator, purpose
 CRAWLERS = """\
@@ -87,12 +88,16 @@ def crawls(df: DataFrame, days: int, asof: str) -> DataFrame:
     return rows.where("crawler <> ''").withColumn("probe", is_probe(F.col("path")))
 
 
+def _rows(df: DataFrame, days: int, asof: str, rows: DataFrame | None) -> DataFrame:
+    return crawls(df, days, asof) if rows is None else rows
+
+
 def _split() -> list[Column]:
     return [F.count(F.when(F.col("purpose") == p, 1)).alias(p) for p in PURPOSES]
 
 
-def by_crawler(df: DataFrame, days: int, asof: str) -> DataFrame:
-    c = crawls(df, days, asof).where("not probe")
+def by_crawler(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -> DataFrame:
+    c = _rows(df, days, asof, rows).where("not probe")
     g = c.groupBy("crawler").agg(
         F.count("*").alias("hits"), F.count_distinct("path").alias("pages"), F.count(F.when(F.col("bad"), 1)).alias("errors"),
         F.min(F.struct("timestamp", "id", "operator", "purpose")).alias("f"), F.max(F.struct("timestamp", "id", "path")).alias("l"))
@@ -100,8 +105,8 @@ def by_crawler(df: DataFrame, days: int, asof: str) -> DataFrame:
                     F.unix_micros("l.timestamp").alias("last_us"), F.col("l.path").alias("last_path"))
 
 
-def by_operator(df: DataFrame, days: int, asof: str) -> DataFrame:
-    c = crawls(df, days, asof).where("not probe")
+def by_operator(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -> DataFrame:
+    c = _rows(df, days, asof, rows).where("not probe")
     return c.groupBy("operator").agg(F.count("*").alias("hits"), F.count_distinct("path").alias("pages"), *_split(),
                                      F.unix_micros(F.max("timestamp")).alias("last_us"))
 
@@ -113,9 +118,9 @@ def by_path(df: DataFrame, days: int, asof: str) -> DataFrame:
     return g.orderBy(F.desc("hits"), "path").limit(MAX_ROWS)
 
 
-def daily(df: DataFrame, days: int, asof: str) -> DataFrame:
+def daily(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -> DataFrame:
     """Every day of the window, zeros included."""
-    c = crawls(df, days, asof).where("not probe")
+    c = _rows(df, days, asof, rows).where("not probe")
     per = c.groupBy(F.to_date("timestamp").alias("_d")).agg(F.count("*").alias("hits"), *_split())
     last = F.to_date(lit_ts(asof))
     cal = df.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("_d"))
@@ -124,8 +129,8 @@ def daily(df: DataFrame, days: int, asof: str) -> DataFrame:
                                               *[F.coalesce(p, zero).alias(p) for p in PURPOSES])
 
 
-def totals(df: DataFrame, days: int, asof: str) -> DataFrame:
-    c = crawls(df, days, asof)
+def totals(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -> DataFrame:
+    c = _rows(df, days, asof, rows)
     ok = ~F.col("probe")
     return c.agg(F.count(F.when(ok, 1)).alias("hits"), F.count(F.when(ok & F.col("bad"), 1)).alias("errors"),
                  F.count(F.when(F.col("probe"), 1)).alias("probes"), F.count_distinct(F.when(ok, F.col("path"))).alias("pages"),
@@ -140,9 +145,9 @@ def disallowed_prefixes(df: DataFrame, asof: str) -> DataFrame:
     return s.agg(F.coalesce(parts, F.array().cast("array<string>")).alias("blocked"))
 
 
-def gaps(df: DataFrame, days: int, asof: str, limit: int | None = MAX_ROWS) -> DataFrame:
+def gaps(df: DataFrame, days: int, asof: str, limit: int | None = MAX_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """Pages at least two people read and no crawler fetched, minus disallowed and private ones."""
-    fetched = crawls(df, days, asof).where("not probe").select("path").distinct()
+    fetched = _rows(df, days, asof, rows).where("not probe").select("path").distinct()
     d = _window(df.where(F.col("name") == "$pageview"), days, asof)
     raw = F.coalesce(F.when(v.text(d, "path") != "", v.text(d, "path")), v.text(d, "url"), F.lit(""))
     d = d.where(raw != "").select(norm_path(raw).alias("path"), "distinct_id")
@@ -162,20 +167,21 @@ WATCHED_OPERATORS = ("OpenAI", "Anthropic", "Perplexity")
 
 def findings(df: DataFrame, asof: str, days: int = 30) -> DataFrame:
     """(kind, severity, subject, rate, n): errors, a silent crawler, an absent operator, the biggest gap."""
-    c = by_crawler(df, days, asof)
+    rows = materialize(crawls(df, days, asof))       # read once, used by every rule
+    c = by_crawler(df, days, asof, rows)
     rate = v.pct(F.col("errors"), F.col("hits"))
     row = lambda d, kind, sev, subject, r, n: d.select(F.lit(kind).alias("kind"), F.lit(sev).alias("severity"), subject.alias("subject"),
                                                        r.cast("bigint").alias("rate"), n.cast("bigint").alias("n"))
     err = c.where((F.col("hits") >= MIN_HITS) & (rate >= ERROR_PCT)).orderBy(F.desc("errors"), F.desc("hits"), "crawler").limit(1)
     quiet = F.floor((F.unix_micros(lit_ts(asof)) - F.col("last_us")) / 86_400_000_000)
     stop = c.withColumn("quiet", quiet).where((F.col("hits") >= MIN_HITS) & (F.col("quiet") >= SILENT_DAYS)).orderBy(F.desc("hits"), "crawler").limit(1)
-    o = by_operator(df, days, asof).agg(F.sum("hits").alias("hits"), F.count("*").alias("ops"),
+    o = by_operator(df, days, asof, rows).agg(F.sum("hits").alias("hits"), F.count("*").alias("ops"),
                                         F.count(F.when(F.col("operator") != "unknown", 1)).alias("named"),
                                         *[F.max(F.when(F.col("operator") == w, 1).otherwise(0)).alias(w) for w in WATCHED_OPERATORS])
     missing = F.coalesce(*[F.when(F.col(w) == 0, F.lit(w)) for w in WATCHED_OPERATORS])
     absent = o.withColumn("missing", missing).where((F.col("hits") >= 2 * MIN_HITS) & (F.col("ops") >= 2) & (F.col("named") >= 2) & F.col("missing").isNotNull())
-    t = totals(df, days, asof).select(F.col("hits").alias("_hits"), F.col("pages").alias("_pages"))
-    gap = attach_row(gaps(df, days, asof, limit=1), t).where((F.col("_hits") >= MIN_HITS) & (F.col("views") >= GAP_VIEWS))
+    t = totals(df, days, asof, rows).select(F.col("hits").alias("_hits"), F.col("pages").alias("_pages"))
+    gap = attach_row(gaps(df, days, asof, limit=1, rows=rows), t).where((F.col("_hits") >= MIN_HITS) & (F.col("views") >= GAP_VIEWS))
     return (row(err, "crawl_errors", "warn", F.col("crawler"), rate, F.col("hits"))
             .unionByName(row(stop, "crawl_stopped", "warn", F.col("crawler"), F.col("quiet"), F.col("hits")))
             .unionByName(row(absent, "crawl_absent", "info", F.col("missing"), F.lit(0), F.col("hits")))

@@ -123,24 +123,22 @@ def property_keys(df: DataFrame, keep=()) -> DataFrame:
     """(…keep, key, value, num, is_text): one row per property present on an event."""
     fixed = {"id", "name", "distinct_id", "timestamp", "properties", *keep}
     flat = [c for c in df.columns if c not in fixed and not c.startswith("_")]
-    parts = []
-    if flat:
-        kv = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), v.text(df, c).alias("value"), v.num_lenient(df, c).alias("num"),
-                                          F.lit(isinstance(df.schema[c].dataType, T.StringType)).alias("is_text")) for c in flat]))
-        parts.append(df.select(*keep, kv.alias("kv")).select(*keep, "kv.*").where("value is not null"))
+    cell = "struct<key:string,value:string,num:double,is_text:boolean>"
+    cells = F.array(*[F.struct(F.lit(c).alias("key"), v.text(df, c).alias("value"), v.num_lenient(df, c).alias("num"),
+                               F.lit(isinstance(df.schema[c].dataType, T.StringType)).alias("is_text")) for c in flat]).cast(f"array<{cell}>")
+    cells = F.filter(cells, lambda x: x["value"].isNotNull())
     if "properties" in df.columns:
-        each = F.explode(F.try_variant_get("properties", "$", "map<string,variant>")).alias("key", "_val")
-        ex = df.where("properties is not null").select(*keep, each)
+        def entry(e: Column) -> Column:
+            val, kind = e["value"], F.schema_of_variant(e["value"])
+            txt = F.try_variant_get(val, "$", "string")
+            num = (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(val, "$", "double"))
+                   .when(kind == "STRING", v.parse_number(txt)))
+            return F.struct(e["key"].alias("key"), txt.alias("value"), num.alias("num"), (kind == "STRING").alias("is_text"))
+        own = F.map_entries(F.try_variant_get("properties", "$", "map<string,variant>"))
         if flat:
-            ex = ex.where(~F.col("key").isin(*flat))
-        kind, txt = F.schema_of_variant("_val"), F.try_variant_get("_val", "$", "string")
-        num = (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_val", "$", "double"))
-               .when(kind == "STRING", v.parse_number(txt)))
-        parts.append(ex.select(*keep, "key", txt.alias("value"), num.alias("num"), (kind == "STRING").alias("is_text")))
-    if not parts:        # events without properties
-        none = F.lit(None).cast("string")
-        parts = [df.where(F.lit(False)).select(*keep, none.alias("key"), none.alias("value"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("is_text"))]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            own = F.filter(own, lambda e: ~e["key"].isin(*flat))
+        cells = F.concat(cells, F.coalesce(F.transform(own, entry).cast(f"array<{cell}>"), F.array().cast(f"array<{cell}>")))
+    return df.select(*keep, F.explode(cells).alias("kv")).select(*keep, "kv.*")
 
 
 def unknown_properties(df: DataFrame, filters) -> DataFrame:

@@ -159,9 +159,10 @@ def traits(df: DataFrame) -> DataFrame:
     as_map = lambda c: F.from_json(F.to_json(c), "map<string,string>")
     own = F.when(F.col("name") == "$identify", as_map("properties"))
     nested = as_map(v.raw(df, "$set"))
-    base = df.where(F.col("distinct_id") != "")
-    parts = [base.select("distinct_id", "timestamp", "id", F.explode(m).alias("trait", "value")) for m in (own, nested)]
-    kv = reduce(lambda a, b: a.unionByName(b), parts)
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    both = F.concat(F.coalesce(F.map_entries(own), none), F.coalesce(F.map_entries(nested), none))
+    kv = df.where(F.col("distinct_id") != "").select("distinct_id", "timestamp", "id", F.explode(both).alias("e"))
+    kv = kv.select("distinct_id", "timestamp", "id", F.col("e.key").alias("trait"), F.col("e.value").alias("value"))
     kv = kv.where(~F.col("trait").isin("", *RESERVED_TRAITS) & F.col("value").isNotNull())
     best = kv.groupBy("distinct_id", "trait").agg(
         F.min(F.struct((-F.unix_micros("timestamp")).alias("t"), "id", "value"))["value"].alias("value"))

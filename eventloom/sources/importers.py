@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from eventloom.functions.values import compute_once
 from eventloom.sources.ingest import parse_time
 
 
@@ -46,14 +47,15 @@ def _merge(base: Column, wins: Column) -> Column:
 
 
 def _event(df: DataFrame, eid: Column, name: Column, did: Column, when: Column, props: Column, seed: Column, no_id: str = "missing distinct_id", bad: Column | None = None) -> DataFrame:
+    invalid = F.col("_v").isNull() if "_v" in df.columns else F.lit(False)
     ts = parse_time(when)
     reason = F.lit(None).cast("string")
-    checks = [(name == "", "missing event name"), (did == "", no_id), ((when != "") & ts.isNull(), "unparseable timestamp")]
+    checks = [(invalid, "invalid JSON"), (name == "", "missing event name"), (did == "", no_id), ((when != "") & ts.isNull(), "unparseable timestamp")]
     if bad is not None:
         checks.append((bad, "unparseable properties JSON"))
     for cond, why in reversed(checks):
         reason = F.when(cond, why).otherwise(reason)
-    d = df.select(F.when(eid != "", eid).otherwise(F.substring(F.sha2(seed, 256), 1, 32)).alias("id"), name.alias("name"), did.alias("distinct_id"), ts.alias("timestamp"),
+    d = df.select(F.when(invalid, None).when(eid != "", eid).otherwise(F.substring(F.sha2(seed, 256), 1, 32)).alias("id"), name.alias("name"), did.alias("distinct_id"), ts.alias("timestamp"),
                   props.alias("_p"), reason.alias("reason"))
     return d.select("id", "name", "distinct_id", "timestamp", F.when(F.size("_p") > 0, F.to_variant_object("_p")).alias("properties"), "reason")
 
@@ -81,30 +83,22 @@ def map_posthog(df: DataFrame) -> DataFrame:
     return _event(df, _cell(df, eid), _cell(df, "event"), _cell(df, "distinct_id"), _cell(df, when), _merge(flat, parsed), _seed(df), bad=(pj != "") & parsed.isNull())
 
 
-def _json(df: DataFrame) -> tuple:
-    d = df.withColumn("_v", F.try_parse_json("value"))
+def _parsed(df: DataFrame, build) -> DataFrame:
+    """``build`` the events of JSON lines in one pass; unreadable lines keep only their reason."""
+    d = compute_once(df, _v=F.try_parse_json("value"))
     txt = lambda path: F.coalesce(F.try_variant_get("_v", path, "string"), F.lit(""))
     obj = lambda path: F.coalesce(F.try_variant_get("_v", path, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    return d, txt, obj
-
-
-def _mark_invalid(df: DataFrame, build) -> DataFrame:
-    """Apply ``build`` to the parsed lines; unreadable lines keep only their reason."""
-    d, txt, obj = _json(df)
-    good = build(d.where("_v is not null"), txt, obj)
-    bad = d.where("_v is null").select(F.lit(None).cast("string").alias("id"), F.lit("").alias("name"), F.lit("").alias("distinct_id"),
-                                       F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("variant").alias("properties"), F.lit("invalid JSON").alias("reason"))
-    return good.unionByName(bad)
+    return build(d, txt, obj)
 
 
 def map_jsonl(df: DataFrame) -> DataFrame:
-    return _mark_invalid(df, lambda d, txt, obj: _event(d, txt("$.id"), txt("$.name"), txt("$.distinct_id"), txt("$.timestamp"), obj("$.properties"), F.col("value")))
+    return _parsed(df, lambda d, txt, obj: _event(d, txt("$.id"), txt("$.name"), txt("$.distinct_id"), txt("$.timestamp"), obj("$.properties"), F.col("value")))
 
 
 def map_mixpanel(df: DataFrame) -> DataFrame:
     """{event, properties{distinct_id, time, $insert_id, …}}"""
     own = ("distinct_id", "time", "$insert_id")
-    return _mark_invalid(df, lambda d, txt, obj: _event(
+    return _parsed(df, lambda d, txt, obj: _event(
         d, txt("$.properties['$insert_id']"), txt("$.event"), txt("$.properties.distinct_id"), txt("$.properties.time"),
         F.map_filter(obj("$.properties"), lambda k, v: ~k.isin(*own)), F.col("value")))
 
@@ -114,7 +108,7 @@ def map_amplitude(df: DataFrame) -> DataFrame:
     def build(d, txt, obj):
         who = F.coalesce(*[F.when(txt(p) != "", txt(p)) for p in ("$.user_id", "$.device_id", "$.amplitude_id")], F.lit(""))
         return _event(d, txt("$['$insert_id']"), txt("$.event_type"), who, txt("$.event_time"), _merge(obj("$.user_properties"), obj("$.event_properties")), F.col("value"), "missing user id")
-    return _mark_invalid(df, build)
+    return _parsed(df, build)
 
 
 def map_posthog_api(df: DataFrame) -> DataFrame:
@@ -122,7 +116,7 @@ def map_posthog_api(df: DataFrame) -> DataFrame:
     def build(d, txt, obj):
         first = lambda *ps: F.coalesce(*[F.when(txt(p) != "", txt(p)) for p in ps], F.lit(""))
         return _event(d, first("$.id", "$.uuid"), txt("$.event"), first("$.distinct_id", "$.properties.distinct_id"), txt("$.timestamp"), obj("$.properties"), F.col("value"))
-    return _mark_invalid(df, build)
+    return _parsed(df, build)
 
 
 def map_umami(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventloom.functions.values import compute_once
 from eventloom.model import FIXED, lit_ts
 
 # fixed values: size limits, and the earliest believable timestamp
@@ -35,9 +36,8 @@ def normalize(lines: DataFrame, now: str) -> DataFrame:
     from the row's content, so a retried task or a re-sent batch produces the same id.
     """
     keep = [c for c in lines.columns if c != "value"]
-    v = F.try_parse_json("value")
     txt = lambda k: F.coalesce(F.try_variant_get("_v", f"$.{k}", "string"), F.lit(""))
-    d = lines.withColumn("_v", v)
+    d = compute_once(lines, _v=F.try_parse_json("value"))
     props = F.try_variant_get("_v", "$.properties", "variant")
     sizes = F.transform(F.map_values(F.try_variant_get("_v", "$.properties", "map<string,variant>")), lambda x: F.octet_length(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))))
     d = d.select(*keep, "value", "_v", txt("id").alias("id"), txt("name").alias("name"), txt("distinct_id").alias("distinct_id"),
