@@ -13,8 +13,9 @@ _SHIFT = 400_000  # keeps negative, zero and positive values in separate bucket
 
 
 def _bucket(x: Column) -> Column:
-    m = F.floor(F.log2(F.abs(x)) * 256) + _SHIFT
-    return F.when(x > 0, m).when(x < 0, -m).otherwise(F.lit(0)).cast("bigint")
+    size = F.log2(F.least(F.abs(x), F.lit(1.7e308)))          # infinities share the outermost buckets
+    m = F.floor(size * 256) + _SHIFT
+    return F.when(F.isnan(x), F.lit(10 * _SHIFT)).when(x > 0, m).when(x < 0, -m).otherwise(F.lit(0)).cast("bigint")
 
 
 def _ranks(n: Column, spec) -> list[tuple[Column, Column]]:

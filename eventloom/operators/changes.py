@@ -291,7 +291,7 @@ def backtest(df: DataFrame, asof: str, window_days: int = 90, step_days: int = 1
     end = _d(asof)
     # each daily count is visible to the as-of dates of the following ``days`` days
     reach = F.sequence(F.greatest(F.col("day") + 1, end - window_days), F.least(F.col("day") + days - 1, end))
-    c = c.where((F.col("day") + 1 <= end) & (F.col("day") + days - 1 >= end - window_days)).select("name", "day", "c", F.explode(reach).alias("asof_day")).where((end - F.col("asof_day")) % step_days == 0)
+    c = c.where((F.col("day") + 1 <= end) & (F.col("day") + days - 1 >= end - window_days)).select("name", "day", "c", F.explode(reach).alias("asof_day")).where((F.col("asof_day") - (end - window_days)) % step_days == 0)
     span = c.groupBy("asof_day", "name").agg(F.min("day").alias("a"))
     grid = span.select("asof_day", "name", F.explode(F.sequence("a", "asof_day")).alias("day"))
     s = grid.join(c, ["asof_day", "name", "day"], "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -58,6 +58,12 @@ def _delta_pct(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round((a - b) / b * 100, 0))
 
 
+def _visitors(w: str) -> Column:
+    """People with a pageview in the window; anyone active where nothing is web-tracked."""
+    n = lambda c: F.count(F.when(F.col(f"{w}_{c}") > 0, 1))
+    return F.when(F.sum(f"{w}_pv") > 0, n("pv")).otherwise(n("all"))
+
+
 def compare_windows(df: DataFrame, events, current: tuple[str, str], prior: tuple[str, str], filters=()) -> DataFrame:
     """Event count, pageviews and visitors of two windows, in one pass."""
     d = flt.apply(identity.stamp_for_filters(df, filters), filters) if filters else df
@@ -67,12 +73,12 @@ def compare_windows(df: DataFrame, events, current: tuple[str, str], prior: tupl
     per_user = d.groupBy("distinct_id").agg(
         *[F.count(F.when(F.col("_cur") & (F.col("name") == e), 1)).alias(f"c_{i}") for i, e in enumerate(events)],
         *[F.count(F.when(~F.col("_cur") & (F.col("name") == e), 1)).alias(f"p_{i}") for i, e in enumerate(events)],
-        F.count(F.when(F.col("_cur") & pv, 1)).alias("c_pv"), F.count(F.when(~F.col("_cur") & pv, 1)).alias("p_pv"))
+        F.count(F.when(F.col("_cur") & pv, 1)).alias("c_pv"), F.count(F.when(~F.col("_cur") & pv, 1)).alias("p_pv"),
+        F.count(F.when(F.col("_cur"), 1)).alias("c_all"), F.count(F.when(~F.col("_cur"), 1)).alias("p_all"))
     cells = [F.struct(F.lit(e).alias("metric"), F.sum(f"c_{i}").alias("current"), F.sum(f"p_{i}").alias("prior"))
              for i, e in enumerate(events)]
     cells += [F.struct(F.lit("pageviews").alias("metric"), F.sum("c_pv").alias("current"), F.sum("p_pv").alias("prior")),
-              F.struct(F.lit("visitors").alias("metric"), F.count(F.when(F.col("c_pv") > 0, 1)).alias("current"),
-                       F.count(F.when(F.col("p_pv") > 0, 1)).alias("prior"))]
+              F.struct(F.lit("visitors").alias("metric"), _visitors("c").alias("current"), _visitors("p").alias("prior"))]
     r = per_user.agg(F.array(*cells).alias("m")).select(F.explode("m").alias("m")).select("m.*")
     return r.select("metric", "current", "prior", _delta_pct(F.col("current"), F.col("prior")).alias("delta_pct"))
 

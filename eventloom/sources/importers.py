@@ -12,9 +12,13 @@ from eventloom.functions.values import compute_once
 from eventloom.sources.ingest import parse_time
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV as trimmed string columns with lower-case names."""
-    d = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Header CSV as trimmed string columns with lower-case names.
+
+    Quoted line breaks are allowed, which makes a file one task; pass ``multi_line=False`` to split
+    large files that have none.
+    """
+    d = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     return d.toDF(*[c.strip().lstrip("﻿").lower() for c in d.columns])
 
 
