@@ -17,22 +17,19 @@ def pick(values: list, at: Column) -> Column:
 
 def canonical(t: DataFrame) -> DataFrame:
     """Fixture events to canonical events with promoted columns."""
-    k, u, e = F.col("k"), F.col("user_id"), F.col("event_id")
-    t = t.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    return t.select(
-        F.concat(F.lit("e"), e).alias("id"), F.col("event_type").alias("name"),
-        F.concat(F.lit("u"), u).alias("distinct_id"), F.col("ts").cast("timestamp").alias("timestamp"),
-        F.col("value").alias("amount"),
-        F.when(k % 8 == 0, "/checkout").otherwise(F.concat(F.lit("/p"), k % 8)).alias("path"),
-        pick(["US", "GB", "DE", "IN", "ZZ"], u % 5).alias("country"),
-        pick(["desktop", "mobile"], u % 2).alias("device"),
-        pick(["Chrome", "Safari", "Firefox"], k % 3).alias("browser"),
-        pick(["https://www.google.com/x", "https://t.co/", None, "https://chatgpt.com/"], u % 4).alias("referrer"),
-        F.when(k % 10 == 0, "newsletter").alias("utm_source"),
-        pick(["free", "pro", None], u % 3).alias("plan"),
-        F.when(u % 7 != 0, F.concat(F.lit("a"), u % 20)).alias("account"),
-        F.when(e % 50 == 0, "development").alias("env"),
-        k.alias("k"), u.alias("uid"), e.alias("eid"))
+    return t.selectExpr("*", "cast(get_json_object(props, '$.k') as bigint) as k").selectExpr(
+        "concat('e', event_id) as id", "event_type as name", "concat('u', user_id) as distinct_id", "cast(ts as timestamp) as timestamp",
+        "value as amount", "case when k % 8 = 0 then '/checkout' else concat('/p', k % 8) end as path",
+        "element_at(array('US', 'GB', 'DE', 'IN', 'ZZ'), int(user_id % 5) + 1) as country",
+        "element_at(array('desktop', 'mobile'), int(user_id % 2) + 1) as device",
+        "element_at(array('Chrome', 'Safari', 'Firefox'), int(k % 3) + 1) as browser",
+        "element_at(array('https://www.google.com/x', 'https://t.co/', NULL, 'https://chatgpt.com/'), int(user_id % 4) + 1) as referrer",
+        "case when k % 10 = 0 then 'newsletter' end as utm_source", "element_at(array('free', 'pro', NULL), int(user_id % 3) + 1) as plan",
+        "case when user_id % 7 <> 0 then concat('a', user_id % 20) end as account", "case when event_id % 50 = 0 then 'development' end as env",
+        "k", "user_id as uid", "event_id as eid")
+
+
+_SCHEMAS: dict = {}      # path -> schema, so the footers are read once per table
 
 
 class Inputs:
@@ -41,7 +38,10 @@ class Inputs:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -60,14 +60,9 @@ class Inputs:
     @cached_property
     def web(self) -> DataFrame:
         """Production events under web names, with click and error properties."""
-        k = F.col("k")
-        name = (F.when(F.col("name") == "view", "$pageview").when(F.col("name") == "click", "$click")
-                .when(F.col("name") == "error", "$exception").otherwise(F.col("name")))
-        return self.prod.select(
-            "*", F.concat(F.lit("fail "), k, F.lit(" at "), k % 4).alias("message"),
-            F.concat(F.lit("app"), k % 3, F.lit(".js")).alias("source"), (k % 5).alias("lineno"),
-            (k * 10 % 1000).alias("x"), (k * 7).alias("y"), F.lit(0).cast("bigint").alias("sy"),
-            pick([390, 800, 1440], k % 3).cast("bigint").alias("vw")).withColumn("name", name)
+        named = self.prod.selectExpr("* except (name)", "case name when 'view' then '$pageview' when 'click' then '$click' when 'error' then '$exception' else name end as name")
+        return named.selectExpr("*", "concat('fail ', k, ' at ', k % 4) as message", "concat('app', k % 3, '.js') as source", "k % 5 as lineno", "k * 10 % 1000 as x", "k * 7 as y",
+                                "bigint(0) as sy", "bigint(element_at(array(390, 800, 1440), int(k % 3) + 1)) as vw")
 
     @cached_property
     def variant_events(self) -> DataFrame:

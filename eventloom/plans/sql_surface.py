@@ -12,7 +12,7 @@ def _(c):
 
 @plan("sql_project_filter_env", "SELECT name, count(*) AS n FROM ev WHERE env='development' GROUP BY 1", base="ev")
 def _(c):
-    return sql(c.events, "SELECT name, count(*) AS n FROM {events} WHERE env = 'development' GROUP BY name")
+    return sql(c.events, "SELECT name, count(*) AS n FROM {events} WHERE env = 'development' GROUP BY name", cap=None)
 
 
 @plan("sql_group_aggregate", """SELECT coalesce(plan,'') AS plan, count(*) AS n, count(utm_source) AS tagged, count(DISTINCT distinct_id) AS users, round(sum(amount),6) AS total, CAST(0 AS DOUBLE) AS text_sum, round(avg(amount),6) AS mean, round(min(amount),6) AS lo, round(max(amount),6) AS hi FROM pev GROUP BY 1
@@ -28,7 +28,7 @@ def _(c):
 
 @plan("sql_having", "SELECT distinct_id, count(*) AS n FROM pev GROUP BY 1 HAVING count(*)>70 AND sum(amount)>3000")
 def _(c):
-    return sql(c.events, "SELECT distinct_id, count(*) AS n FROM {events} GROUP BY distinct_id HAVING count(*) > 70 AND sum(amount) > 3000")
+    return sql(c.events, "SELECT distinct_id, count(*) AS n FROM {events} GROUP BY distinct_id HAVING count(*) > 70 AND sum(amount) > 3000", cap=None)
 
 
 @plan("sql_order_limit", """(SELECT 'asc' AS dir, id, coalesce(utm_source,'') AS utm, row_number() OVER (ORDER BY utm_source ASC NULLS LAST, amount DESC, id) AS pos FROM pev ORDER BY pos LIMIT 50)
