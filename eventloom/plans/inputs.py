@@ -49,8 +49,8 @@ class Inputs:
         return canonical(self.table("events"))
 
     def stream(self) -> DataFrame:
-        """The same events as a file stream."""
-        t = (self.spark.readStream.schema(self.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(self.dir))
+        """The same events as a file stream; as a glob the path may be one file or a folder of files."""
+        t = self.spark.readStream.schema(self.table("events").schema).parquet(f"{self.dir}/[e]vents.parquet")
         return canonical(t)
 
     @cached_property
