@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import stats, values as v
 from eventloom.model import attach_row, day_num, lit_ts
-from eventloom.operators.deploys import around
 from eventloom.operators.engagement import day_text
 from eventloom.operators.filters import property_keys
 from eventloom.operators.rollups import is_user_day, name_days

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions import values as v
 from eventloom.model import attach_row, lit_ts
-from eventloom.operators import aicrawl, aivis, funnel, identity, journeys, retention, web
+from eventloom.operators import aicrawl, aivis, funnel, journeys, retention, web
 from eventloom.operators.filters import property_keys
 from eventloom.operators.scope import drop_sampler
 

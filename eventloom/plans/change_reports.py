@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import changes as ch, insights as ins
 from eventloom.plans.ai_reports import DEPLOY_SQL, deploys
 from eventloom.plans.inputs import ASOF
+from eventloom.operators.deploys import around
 from eventloom.plans.registry import plan
 from eventloom.session import materialize
 
@@ -99,7 +100,7 @@ def _(c):
 
 @plan("interval_join_deploys", DEPLOY_SQL.replace("dep AS", "WITH dep AS") + """ SELECT deploy, name, count(*) FILTER (WHERE ts<dat) AS before, count(*) FILTER (WHERE ts>=dat) AS after FROM dep JOIN pev ON ts>=dat-INTERVAL 2 DAY AND ts<dat+INTERVAL 2 DAY GROUP BY 1,2""")
 def _(c):
-    j = ch.around(c.prod.select("name", "timestamp"), deploys(c), 2)
+    j = around(c.prod.select("name", "timestamp"), deploys(c), 2)
     return j.groupBy("deploy", "name").agg(F.count(F.when(~F.col("after"), 1)).alias("before"), F.count(F.when(F.col("after"), 1)).alias("after"))
 
 

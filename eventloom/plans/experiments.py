@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import stats
 from eventloom.operators import experiment_units as eu, experiments as ex
 from eventloom.operators.filters import Filter
-from eventloom.plans.inputs import ASOF, pick
+from eventloom.plans.inputs import ASOF
 from eventloom.plans.registry import plan
 from eventloom.session import materialize
 
@@ -309,7 +309,7 @@ def _designs(c):
 ZZ = (stats.z_at(0.975) + stats.z_at(0.8)) ** 2
 
 
-@plan("power_plan", PB + f""", ds AS (SELECT segment, units, daily_units, rate AS baseline, m AS mde_pct, rate*(1+m/100) AS target FROM pb, (VALUES (5.0::DOUBLE),(10),(20),(50)) t(m) WHERE abs(skewness)<=5 AND rate*(1+m/100)<1),
+@plan("power_plan", PB + f""", ds AS (SELECT segment, units, daily_units, rate AS baseline, m AS mde_pct, rate*(1+m/100) AS target FROM pb, (VALUES (5.0::DOUBLE),(10),(20),(50)) t(m) WHERE abs(skewness)<=5 AND rate>0 AND rate*(1+m/100)<1),
  n AS (SELECT *, {ZZ!r}*(baseline*(1-baseline)+target*(1-target))/((target-baseline)**2) AS nc FROM ds), t AS (SELECT *, CAST(ceil(nc*2*0.5) AS BIGINT) AS n_control, CAST(2*ceil(nc*2*0.5) AS BIGINT) AS n_planned FROM n)
  SELECT segment, units, daily_units, baseline, mde_pct, round(target,6) AS target, n_control, n_planned, CAST(ceil(n_planned/daily_units) AS BIGINT) AS duration_days, CAST(greatest(ceil(n_planned/daily_units),14) AS BIGINT) AS recommended_days FROM t""")
 def _(c):

@@ -1,9 +1,8 @@
 from pyspark.sql import functions as F
 
 from eventloom.functions import values as v
-from eventloom.operators import cohorts, engagement as en, filters as flt, identity as idn, scope
+from eventloom.operators import cohorts, filters as flt, identity as idn, scope
 from eventloom.operators.filters import Filter
-from eventloom.plans.inputs import ASOF, PEV
 from eventloom.plans.registry import plan
 
 # ---- the eleven filters, on VARIANT properties -------------------------------------------------

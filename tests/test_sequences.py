@@ -2,7 +2,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from eventloom.operators import cohorts, funnel as fn, paths, sessions as se
 from tests.conftest import make_events
