@@ -25,12 +25,17 @@ def estimated_bytes(df: DataFrame) -> float:
         return float("inf")
 
 
+def needs_blocks(df: DataFrame, rows_per_block: int | None = None) -> bool:
+    """Whether any key could outgrow a task; an explicit limit always asks for blocks."""
+    return rows_per_block is not None or estimated_bytes(df) >= SMALL_INPUT
+
+
 def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp",
-                rows_per_block: int | None = None) -> DataFrame:
-    """Adds ``_us`` (epoch micros), ``_hot`` and ``_blk``."""
+                rows_per_block: int | None = None, blocked: bool = True) -> DataFrame:
+    """Adds ``_us`` (epoch micros), ``_hot`` and ``_blk``; without ``blocked`` every key is one block."""
     limit = rows_per_block or ROWS_PER_BLOCK
     df = df.withColumn("_us", F.unix_micros(ts))
-    if rows_per_block is None and estimated_bytes(df) < SMALL_INPUT:
+    if not blocked:
         return df.withColumn("_hot", F.lit(False)).withColumn("_blk", F.lit(0).cast("bigint"))
     hot = (df.groupBy(key).agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
            .where(F.col("_n") > limit)
@@ -74,9 +79,11 @@ def attach(df: DataFrame, carry: DataFrame, key: str = "distinct_id") -> DataFra
     return df.join(F.broadcast(carry), [key, "_blk"], "left")
 
 
-def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: str = "distinct_id") -> DataFrame:
+def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: str = "distinct_id", blocked: bool = True) -> DataFrame:
     """lag(value, 1) in ``order`` over the whole key; ``df`` comes from with_blocks()."""
     w = block_window(key, *order)
+    if not blocked:
+        return df.withColumn(out, F.lag(value).over(w))
     d = df.withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     pos = F.struct(*order, F.col(value).alias("_v"))
     tails = block_summary(df, F.max(pos).alias("_last"), key=key)
@@ -85,9 +92,11 @@ def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: s
     return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out))).drop("_first", "_carry")
 
 
-def last_value_so_far(df: DataFrame, value: Column, out: str, order: list[str], key: str = "distinct_id") -> DataFrame:
+def last_value_so_far(df: DataFrame, value: Column, out: str, order: list[str], key: str = "distinct_id", blocked: bool = True) -> DataFrame:
     """Latest non-null ``value`` at or before each row, over the whole key."""
     w = block_window(key, *order).rowsBetween(W.unboundedPreceding, 0)
+    if not blocked:
+        return df.withColumn(out, F.last(value, True).over(w))
     d = df.withColumn("_v", value)
     tails = block_summary(d, F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_last"), key=key)
     carry = tails.select(key, "_blk", F.last("_last._v", True).over(earlier_blocks(key)).alias("_carry"))

@@ -53,8 +53,9 @@ def _turns(df: DataFrame, start, end) -> DataFrame:
 def conversations(df: DataFrame, start=None, end=None, block_rows: int | None = None) -> DataFrame:
     """One row: turns, medians, re-ask and abandon rates, first-token percentiles, resolution rate."""
     t = _turns(df, start, end)
-    s = scan.with_blocks(t, "conversation_id", rows_per_block=block_rows)
-    s = scan.previous_value(s, "role", "_prev", ["_us", "id"], key="conversation_id")
+    blocked = scan.needs_blocks(t, block_rows)
+    s = scan.with_blocks(t, "conversation_id", rows_per_block=block_rows, blocked=blocked)
+    s = scan.previous_value(s, "role", "_prev", ["_us", "id"], key="conversation_id", blocked=blocked)
     c = s.groupBy("conversation_id").agg(
         F.count("*").alias("turns"), F.max(((F.col("role") == "user") & (F.col("_prev") == "user")).cast("int")).alias("reask"),
         F.max(F.struct("_us", "id", "role"))["role"].alias("last"), F.max((F.coalesce("resolved", F.lit(False))).cast("int")).alias("res"),

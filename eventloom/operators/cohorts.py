@@ -40,7 +40,8 @@ def sequence(df: DataFrame, steps, within_ms: int = 0, within_first_ms: int = 0,
     match = lambda frame, s: (F.col("name") == s.event) & flt.matches(frame, s.filters)
     k = len(steps)
     rows = funnel.prepare(d, steps, exclude, matcher=match)
-    a = funnel.with_chains(scan.with_blocks(rows, rows_per_block=block_rows), k).where(F.size("_chain") == k)
+    blocked = scan.needs_blocks(rows, block_rows)
+    a = funnel.with_chains(scan.with_blocks(rows, rows_per_block=block_rows, blocked=blocked), k, blocked=blocked).where(F.size("_chain") == k)
     last = F.element_at("_chain", -1)["_us"]
     ok = ~F.col("_x") & F.coalesce(F.col("_next_x._us") > last, F.lit(True))
     if within_ms:

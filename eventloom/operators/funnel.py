@@ -60,7 +60,7 @@ def prepare(df: DataFrame, steps: list[Step], exclude=(), every_event: bool = Fa
                        (F.col("name").isin(*[x for x in exclude if x]) if any(exclude) else F.lit(False)).alias("_x"))
 
 
-def with_chains(rows: DataFrame, k: int, first: int = 0) -> DataFrame:
+def with_chains(rows: DataFrame, k: int, first: int = 0, blocked: bool = True) -> DataFrame:
     """Adds ``_chain`` (positions matched from step ``first`` on) and ``_next_x`` to step rows."""
     w = scan.following("distinct_id", *ORDER)
     d = rows.withColumn("_pos", _pos())
@@ -69,6 +69,8 @@ def with_chains(rows: DataFrame, k: int, first: int = 0) -> DataFrame:
         rest = F.last(f"_c{i + 1}", True).over(w) if i < k - 1 else empty
         d = d.withColumn(f"_c{i}", F.when(F.col(f"_m{i}"), F.concat(F.array("_pos"), F.coalesce(rest, empty))))
     d = d.withColumn("_nx", F.last(F.when(F.col("_x"), F.col("_pos")), True).over(w))
+    if not blocked:
+        return d.where(F.col(f"_m{first}")).withColumn("_chain", F.col(f"_c{first}")).withColumn("_next_x", F.col("_nx"))
 
     heads = [F.min(F.when(F.col(f"_m{i}"), F.struct(F.col("_pos").alias("p"), F.col(f"_c{i}").alias("c")))).alias(f"_e{i}")
              for i in range(first + 1, k)]
@@ -91,7 +93,8 @@ def with_chains(rows: DataFrame, k: int, first: int = 0) -> DataFrame:
 
 
 def _ordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int | None) -> DataFrame:
-    a = with_chains(scan.with_blocks(rows, rows_per_block=block_rows), k)
+    blocked = scan.needs_blocks(rows, block_rows)
+    a = with_chains(scan.with_blocks(rows, rows_per_block=block_rows, blocked=blocked), k, blocked=blocked)
     within = F.filter("_chain", lambda p: p["_us"] - F.col("_us") <= window_us) if window_us else F.col("_chain")
     a = a.withColumn("_in", within)
     full = F.size("_in") == k
@@ -105,19 +108,23 @@ def _ordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int |
 
 
 def _unordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int | None) -> DataFrame:
-    d = scan.with_blocks(rows, rows_per_block=block_rows).withColumn("_pos", _pos())
+    blocked = scan.needs_blocks(rows, block_rows)
+    d = scan.with_blocks(rows, rows_per_block=block_rows, blocked=blocked).withColumn("_pos", _pos())
     w = scan.following("distinct_id", *ORDER)
     later = scan.later_blocks()
     sig = {f"_n{i}": F.col(f"_m{i}") for i in range(k)} | {"_nx": F.col("_x")}
-    heads = scan.block_summary(d, *[F.min(F.when(m, F.col("_pos"))).alias(n + "h") for n, m in sig.items()])
-    carry = heads.select("distinct_id", "_blk", *[F.last(n + "h", True).over(later).alias(n + "l") for n in sig])
+    if blocked:
+        heads = scan.block_summary(d, *[F.min(F.when(m, F.col("_pos"))).alias(n + "h") for n, m in sig.items()])
+        carry = heads.select("distinct_id", "_blk", *[F.last(n + "h", True).over(later).alias(n + "l") for n in sig])
     for n, m in sig.items():
         d = d.withColumn(n, F.last(F.when(m, F.col("_pos")), True).over(w))
     any_step = reduce(lambda a, b: a | b, [F.col(f"_m{i}") for i in range(k)])
     own = reduce(lambda acc, i: F.when(F.col(f"_m{i}"), F.lit(i)).otherwise(acc), range(k - 1, -1, -1), F.lit(-1))
-    d = scan.attach(d.where(any_step), carry).withColumn("_own", own)
-    for n in sig:
-        d = d.withColumn(n, F.coalesce(n, n + "l"))
+    d = d.where(any_step).withColumn("_own", own)
+    if blocked:
+        d = scan.attach(d, carry)
+        for n in sig:
+            d = d.withColumn(n, F.coalesce(n, n + "l"))
     ok = {}
     for i in range(k):
         near = F.col(f"_n{i}").isNotNull()
@@ -136,7 +143,8 @@ def _unordered_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int
 
 
 def _strict_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int | None) -> DataFrame:
-    d = scan.with_blocks(rows, rows_per_block=block_rows)
+    blocked = scan.needs_blocks(rows, block_rows)
+    d = scan.with_blocks(rows, rows_per_block=block_rows, blocked=blocked)
     cell = F.struct("_us", "_x", F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("m"))
 
     def leads(frame: DataFrame, w) -> DataFrame:
@@ -161,6 +169,8 @@ def _strict_anchors(rows: DataFrame, k: int, window_us: int, block_rows: int | N
     if k == 1:
         return result(d)
     w = scan.block_window("distinct_id", *ORDER)
+    if not blocked:
+        return result(leads(d, w))
     d = (d.withColumn("_tail", F.col("_hot") & F.lead(F.lit(1), k - 1).over(w).isNull())
          .withColumn("_head", F.col("_hot") & F.lag(F.lit(1), k).over(w).isNull()))
     inner = leads(d, w).where("not _tail")

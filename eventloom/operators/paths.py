@@ -40,7 +40,8 @@ def pages(df: DataFrame, start_path: str, depth: int = 3, block_rows: int | None
          .select("distinct_id", "timestamp", "id", p.alias("step")))
     starts = _starts(d, F.col("step") == start_path)
     rows = _from_start(d, starts, inclusive=True)
-    rows = scan.with_blocks(rows.drop("_start"), rows_per_block=block_rows)
-    rows = scan.previous_value(rows, "step", "_prev", ["_us", "id"])
+    blocked = scan.needs_blocks(rows, block_rows)
+    rows = scan.with_blocks(rows.drop("_start"), rows_per_block=block_rows, blocked=blocked)
+    rows = scan.previous_value(rows, "step", "_prev", ["_us", "id"], blocked=blocked)
     moved = rows.where("_prev is not null and step <> _prev")
     return _levels(moved, starts, depth)

@@ -57,7 +57,7 @@ def rows_for(seed, users=12, n=40):
 
 @pytest.mark.parametrize("order", ["ordered", "strict", "unordered"])
 @pytest.mark.parametrize("steps,window,excl", [(["a", "b", "c"], 600, []), (["a", "b", "c"], 0, ["x"]), (["a", "b"], 300, ["x"]), (["a"], 0, ["x"])])
-@pytest.mark.parametrize("block", [None, 7])
+@pytest.mark.parametrize("block", [None, 7, 10 ** 6])
 def test_funnel_matches_loop(spark, order, steps, window, excl, block):
     rows = rows_for(len(steps) * 7 + window)
     df = make_events(spark, rows)
@@ -110,7 +110,7 @@ def test_counts_agree_with_people(spark, sf):
         assert t[1] == people.count() and t[3] == people.where("converted").count()
 
 
-@pytest.mark.parametrize("block", [None, 5])
+@pytest.mark.parametrize("block", [None, 5, 10 ** 6])
 def test_cohort_sequence(spark, block):
     rows = rows_for(3)
     df = make_events(spark, rows)
@@ -136,7 +136,7 @@ def test_cohort_sequence(spark, block):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [None, 4])
+@pytest.mark.parametrize("block", [None, 4, 10 ** 6])
 def test_sessions_split_after_thirty_minutes(spark, block):
     df = make_events(spark, [("a", "u", 0, {"path": "/x"}), ("a", "u", 1800), ("a", "u", 3600, {"path": "/y"}), ("a", "u", 5401), ("$rageclick", "u", 5500), ("a", "v", 10)])
     got = sorted((r["distinct_id"], r["events"], r["duration_s"], r["entry_path"], r["exit_path"], r["rage_clicks"]) for r in se.sessions(df, block_rows=block).collect())
