@@ -6,9 +6,9 @@ cost nothing further. Classes that agree in a band of the signature are candidat
 batch by batch; it is dropped once the posterior probability of the wanted similarity, under a uniform prior, is below
 ``miss``; pairs that survive are confirmed on their full sets.
 
-Links are wanted for the components they make. Within a bucket each class is first compared with one pivot only; buckets whose
-members are then one component are done, the others get further pivots, and what is still apart after ``ROUNDS`` pivots is
-compared pair by pair across components (of fitting sizes), so no link between components is left out.
+Links are wanted for the components they make. Each class is first compared with one pivot of its buckets, then, where a
+bucket's members are not yet one component, with a pivot of each bucket; what is still apart is compared pair by pair across
+components (of fitting sizes, and no pair twice), so no link between components is left out.
 
 Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row and stay or go together.
 Empty input gives no rows. The chance that a pair at exactly the threshold shares no band is below 3e-6.
@@ -29,7 +29,6 @@ from eventloom.session import materialize
 
 BANDS, ROWS = 42, 6
 BATCH = 36
-ROUNDS = 4
 SLOTS = BANDS * ROWS
 _A, _B = constants(SLOTS, 301), constants(SLOTS, 302)
 _BLOCK = 1 << 15
@@ -130,35 +129,26 @@ def _confirmed(percent: int):
     return confirmed
 
 
-class _Verifier:
-    """Pairs (x, y) of classes to links, by signatures first and then by full sets."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, miss: float):
-        self.docs, self.classes, self.k, self.percent, self.miss = docs, classes, k, percent, miss
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        sig = self.classes.select("node", "sig")
-        p = pairs.join(sig.select(F.col("node").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("node").alias("y"), F.col("sig").alias("sig_y")), "y")
-        likely = materialize(p.select("x", "y", "sig_x", "sig_y").mapInArrow(_likely(self.percent / 100, self.miss), "x long, y long"))
-        wanted = likely.select(F.col("x").alias("node")).unionByName(likely.select(F.col("y").alias("node"))).distinct()
-        of = wanted.join(self.classes.select("node", F.col("first_id").alias("doc_id")), "node")
-        sets = materialize(self._sets_of(self.docs.join(of, self.docs["doc_id"].eqNullSafe(of["doc_id"])).select(of["node"], self.docs["text"])).dropDuplicates(["node"]))
-        s = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-        return likely.join(s("x"), "x").join(s("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(_confirmed(self.percent), "a long, b long")
+def _sets_of(texts: DataFrame, k: int) -> DataFrame:
+    """``node, sig, text`` → ``node, sig, set``: the distinct shingles themselves, as 64-bit hashes in order."""
+    def sets(batches):
+        for b in batches:
+            data, at = buffers(b.column("text"))
+            node = b.column("node").to_numpy()
+            for lo, hi in slices(at):
+                s, begin = _sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)
+                own = np.flatnonzero(_names(s, begin) == node[lo:hi])     # a doc_id may stand for several texts
+                full = pa.array([s[begin[i]:begin[i + 1]].tobytes() for i in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][own]), b.column("sig").slice(lo, hi - lo).take(pa.array(own)), full], names=["node", "sig", "set"])
 
-    def _sets_of(self, texts: DataFrame) -> DataFrame:
-        k = self.k
+    return texts.mapInArrow(sets, "node long, sig binary, set binary")
 
-        def sets(batches):
-            for b in batches:
-                data, at = buffers(b.column("text"))
-                node = b.column("node").to_numpy()
-                for lo, hi in slices(at):
-                    s, begin = _sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)
-                    own = np.flatnonzero(_names(s, begin) == node[lo:hi])     # a doc_id may stand for several texts
-                    yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][own]), pa.array([s[begin[i]:begin[i + 1]].tobytes() for i in own], pa.binary())], names=["node", "set"])
 
-        return texts.mapInArrow(sets, "node long, set binary")
+def _links(pairs: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (x, y) of classes that are links: by signatures first, survivors by full sets."""
+    of = lambda c, v: known.select(F.col("node").alias(c), F.col(v).alias(f"{v}_{c}"))
+    likely = pairs.join(of("x", "sig"), "x").join(of("y", "sig"), "y").select("x", "y", "sig_x", "sig_y").mapInArrow(_likely(percent / 100, miss), "x long, y long")
+    return likely.join(of("x", "set"), "x").join(of("y", "set"), "y").select("x", "y", "set_x", "set_y").mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -177,27 +167,33 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -
     bands = classes.select("node", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("_i", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("bucket")
     members = materialize(bands.select("node", "n", "bucket").join(shared, "bucket", "left_semi"))
-    verifier = _Verifier(docs, classes, k, percent, miss)
+    # what comparing needs, for classes that share a bucket only: their texts move once
+    shares = members.select("node").distinct()
+    of = classes.join(shares, "node", "left_semi").select("node", "sig", F.col("first_id").alias("doc_id"))
+    known = materialize(_sets_of(docs.join(of, docs["doc_id"].eqNullSafe(of["doc_id"])).select(of["node"], of["sig"], docs["text"]), k).dropDuplicates(["node"]))
     links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
+    tried = spark.createDataFrame([], "x long, y long")
     fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    for turn in range(ROUNDS + 1):
-        known = _labels(members, comp) if turn else members.withColumn("comp", F.col("node"))
-        apart = known.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_o"), "node", "n", "comp")).alias("_p")).where("_lo < _hi")
-        if turn < ROUNDS:
-            star = known.join(apart.select("bucket", "_p"), "bucket").where((F.col("comp") != F.col("_p.comp")) & fits(F.col("n"), F.col("_p.n")))
+    for turn in range(3):
+        now = _labels(members, comp) if turn else members.withColumn("comp", F.col("node"))
+        apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_o"), "node", "n", "comp")).alias("_p")).where("_lo < _hi")
+        if turn < 2:
+            star = now.join(apart.select("bucket", "_p"), "bucket").where((F.col("comp") != F.col("_p.comp")) & fits(F.col("n"), F.col("_p.n")))
+            if not turn:      # to begin with one pivot for each class: of all its buckets' the one that comes first everywhere
+                star = star.groupBy("node").agg(F.min("_p").alias("_p"))
             pairs = star.select(F.col("node").alias("x"), F.col("_p.node").alias("y"))
-            if not turn:      # one pivot for each class to begin with: of all its buckets the one that is first everywhere
-                pairs = star.groupBy(F.col("node").alias("x")).agg(F.min("_p").alias("_p")).select("x", F.col("_p.node").alias("y"))
         else:
-            open_ = known.join(apart.select("bucket"), "bucket", "left_semi")
-            other = open_.select("bucket", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("comp").alias("_c"))
-            pairs = open_.join(other, "bucket").where((F.col("node") < F.col("y")) & (F.col("comp") != F.col("_c")) & fits(F.col("n"), F.col("_n"))).select(F.col("node").alias("x"), "y")
-        pairs = materialize(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+            left = now.join(apart.select("bucket"), "bucket", "left_semi")
+            other = left.select("bucket", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("comp").alias("_c"))
+            pairs = left.join(other, "bucket").where((F.col("node") < F.col("y")) & (F.col("comp") != F.col("_c")) & fits(F.col("n"), F.col("_n"))).select(F.col("node").alias("x"), "y")
+        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti") if turn else pairs)
         if pairs.isEmpty():
-            break
-        links = materialize(links.unionByName(verifier.links(pairs)))
+            continue
+        links = materialize(links.unionByName(_links(pairs, known, percent, miss)))
         comp = materialize(components(links))
+        tried = tried.unionByName(pairs)
     ids = _labels(classes.select("node", "first_id"), comp)
     smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "component_id")
