@@ -6,9 +6,9 @@ cost nothing further. Classes that agree in a band of the signature are candidat
 batch by batch; it is dropped once the posterior probability of the wanted similarity, under a uniform prior, is below
 ``miss``; pairs that survive are confirmed on their full sets.
 
-Links are wanted for the components they make. Each class is first compared with one pivot of its buckets, then, where a
-bucket's members are not yet one component, with a pivot of each bucket; what is still apart is compared pair by pair across
-components (of fitting sizes, and no pair twice), so no link between components is left out.
+Links are wanted for the components they make. Each class is first compared with one pivot of its buckets; where a bucket's
+members are then not yet one component, its classes are compared with one another across components, in blocks within tasks
+that emit links only, so no link between components is left out and no list of pairs is made.
 
 Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row and stay or go together.
 Empty input gives no rows. The chance that a pair at exactly the threshold shares no band is below 3e-6.
@@ -32,6 +32,8 @@ BATCH = 36
 SLOTS = BANDS * ROWS
 _A, _B = constants(SLOTS, 301), constants(SLOTS, 302)
 _BLOCK = 1 << 15
+#: Classes and shingles of a block of the second comparison.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 
 
 def signatures(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -157,9 +159,87 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(c, F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
 
 
+def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links between classes that share a bucket and are not yet in one component.
+
+    The classes with a common pivot are a cell. Two cells that meet in such a bucket are compared block by block, inside a task;
+    only links leave it. A block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles.
+    """
+    now = _labels(members.select("node", "bucket"), comp).join(cells.select("node", "n", "cell"), "node")
+    apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
+    active = materialize(now.join(apart, "bucket", "left_semi"))
+    met = active.select("bucket", "cell").distinct()
+    met = met.select("bucket", F.col("cell").alias("c")).join(met.select("bucket", F.col("cell").alias("d")), "bucket").where("c <= d").select("c", "d").distinct()
+    nodes = active.select("node", "n", "cell", "comp").distinct()
+    sizes = nodes.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = nodes.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    of = lambda c: sizes.select(F.col("cell").alias(c), F.col("blocks").alias(f"_{c}"))
+    units = met.join(of("c"), "c").join(of("d"), "d").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
+    units = units.withColumn("j", F.explode(F.sequence(F.when(F.col("c") == F.col("d"), F.col("i")).otherwise(0), F.col("_d") - 1)))
+    units = materialize(units.select("c", "i", "d", "j", F.xxhash64("c", "i", "d", "j").alias("unit")))
+    row = ("node", "n", "comp")
+    left = placed.join(units.select(F.col("c").alias("cell"), F.col("i").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(True).alias("left"), *row)
+    right = placed.join(units.where("c <> d or i <> j").select(F.col("d").alias("cell"), F.col("j").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(False).alias("left"), *row)
+    sent = left.unionByName(right).join(known, "node").select("unit", "left", *row, "sig", "set")
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_compare(percent, miss), "a long, b long").distinct()
+
+
+def _compare(percent: int, miss: float):
+    """Rows in the order of ``unit``: the left ones of a unit with its right ones, or with one another if it has no right ones."""
+    needed = least_matches(percent / 100, miss)
+
+    def links(t: pa.Table):
+        t = t.combine_chunks()
+        node, n, comp, left = (t.column(c).to_numpy() for c in ("node", "n", "comp", "left"))
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        y = y if len(y) else x
+        if not len(x) or (comp[x].min() == comp[x].max() == comp[y].min() == comp[y].max()):
+            return
+        sig = np.frombuffer(buffers(t.column("sig"))[0], np.uint16).reshape(-1, SLOTS)
+        data, at = buffers(t.column("set"))
+        at = at // 8
+        _, ids = np.unique(data.view(np.uint64) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)
+        has = np.zeros(int(ids.max()) + 1, bool)
+        for i in x.tolist():
+            ok = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
+            matches, done = np.zeros(len(ok), np.int64), 0
+            for upto, least in needed:
+                matches += (sig[ok, done:upto] == sig[i, done:upto]).sum(1)
+                ok, matches, done = ok[matches >= least], matches[matches >= least], upto
+            if not len(ok):
+                continue
+            has[ids[at[i]:at[i + 1]]] = True
+            for j in ok.tolist():
+                both = int(np.count_nonzero(has[ids[at[j]:at[j + 1]]]))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    yield node[i], node[j]
+            has[ids[at[i]:at[i + 1]]] = False
+
+    def compared(batches):
+        held, unit = [], None
+        out = lambda t: list(links(t))
+
+        def pairs(found):
+            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            u = b.column("unit").to_numpy()
+            edges = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if held and u[lo] != unit:
+                    yield pairs(out(pa.Table.from_batches(held)))
+                    held = []
+                unit = u[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield pairs(out(pa.Table.from_batches(held)))
+
+    return compared
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(_signed(docs, k))
     some = signed.where("n_shingles > 0")
@@ -171,29 +251,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -
     shares = members.select("node").distinct()
     of = classes.join(shares, "node", "left_semi").select("node", "sig", F.col("first_id").alias("doc_id"))
     known = materialize(_sets_of(docs.join(of, docs["doc_id"].eqNullSafe(of["doc_id"])).select(of["node"], of["sig"], docs["text"]), k).dropDuplicates(["node"]))
-    links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "node long, component long")
-    tried = spark.createDataFrame([], "x long, y long")
-    fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    for turn in range(3):
-        now = _labels(members, comp) if turn else members.withColumn("comp", F.col("node"))
-        apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_o"), "node", "n", "comp")).alias("_p")).where("_lo < _hi")
-        if turn < 2:
-            star = now.join(apart.select("bucket", "_p"), "bucket").where((F.col("comp") != F.col("_p.comp")) & fits(F.col("n"), F.col("_p.n")))
-            if not turn:      # to begin with one pivot for each class: of all its buckets' the one that comes first everywhere
-                star = star.groupBy("node").agg(F.min("_p").alias("_p"))
-            pairs = star.select(F.col("node").alias("x"), F.col("_p.node").alias("y"))
-        else:
-            left = now.join(apart.select("bucket"), "bucket", "left_semi")
-            other = left.select("bucket", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("comp").alias("_c"))
-            pairs = left.join(other, "bucket").where((F.col("node") < F.col("y")) & (F.col("comp") != F.col("_c")) & fits(F.col("n"), F.col("_n"))).select(F.col("node").alias("x"), "y")
-        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti") if turn else pairs)
-        if pairs.isEmpty():
-            continue
-        links = materialize(links.unionByName(_links(pairs, known, percent, miss)))
-        comp = materialize(components(links))
-        tried = tried.unionByName(pairs)
+    # first each class with one pivot: of its buckets' first classes by a hash, the one that comes first
+    order = F.struct(F.xxhash64("node").alias("_o"), "node", "n")
+    pivots = members.groupBy("bucket").agg(F.min(order).alias("_p"))
+    cells = materialize(members.join(pivots, "bucket").groupBy("node", "n").agg(F.min("_p").alias("_p")).select("node", "n", F.col("_p.node").alias("cell"), F.col("_p.n").alias("_n")))
+    fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    links = materialize(_links(cells.where((F.col("node") != F.col("cell")) & fits).select(F.col("node").alias("x"), F.col("cell").alias("y")), known, percent, miss))
+    comp = materialize(components(links))
+    more = materialize(_apart(members, cells, comp, known, percent, miss))
+    if not more.isEmpty():
+        comp = materialize(components(links.unionByName(more)))
     ids = _labels(classes.select("node", "first_id"), comp)
     smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "component_id")
