@@ -8,7 +8,7 @@ batch by batch; it is dropped once the posterior probability of the wanted simil
 
 Links are wanted for the components they make. Each class is first compared with one pivot of its buckets; where a bucket's
 members are then not yet one component, its classes are compared with one another across components, in blocks within tasks
-that emit links only, so no link between components is left out and no list of pairs is made.
+that emit the links that join components, so no component is left apart and no list of pairs is made.
 
 Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row and stay or go together.
 Empty input gives no rows. The chance that a pair at exactly the threshold shares no band is below 3e-6.
@@ -160,7 +160,7 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links between classes that share a bucket and are not yet in one component.
+    """Links that join components of classes that share a bucket.
 
     The classes with a common pivot are a cell. Two cells that meet in such a bucket are compared block by block, inside a task;
     only links leave it. A block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles.
@@ -201,6 +201,7 @@ def _compare(percent: int, miss: float):
         at = at // 8
         _, ids = np.unique(data.view(np.uint64) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)
         has = np.zeros(int(ids.max()) + 1, bool)
+        comp = comp.copy()             # joined here as links are found: one link says enough about two components
         for i in x.tolist():
             ok = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
             matches, done = np.zeros(len(ok), np.int64), 0
@@ -211,9 +212,12 @@ def _compare(percent: int, miss: float):
                 continue
             has[ids[at[i]:at[i + 1]]] = True
             for j in ok.tolist():
+                if comp[j] == comp[i]:
+                    continue
                 both = int(np.count_nonzero(has[ids[at[j]:at[j + 1]]]))
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     yield node[i], node[j]
+                    comp[comp == comp[j]] = comp[i]
             has[ids[at[i]:at[i + 1]]] = False
 
     def compared(batches):
