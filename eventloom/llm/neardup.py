@@ -162,10 +162,14 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links that join components of classes that share a bucket.
 
-    The classes with a common pivot are a cell. Two cells that meet in such a bucket are compared block by block, inside a task;
+    The classes with a common pivot are a cell, pivots going with their own pivots twice over, so that a large group has few
+    cells. Two cells that meet in such a bucket are compared block by block, inside a task;
     only links leave it. A block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles.
     """
-    now = _labels(members.select("node", "bucket"), comp).join(cells.select("node", "n", "cell"), "node")
+    cells = cells.select("node", "n", "cell")
+    for _ in range(2):
+        cells = cells.join(cells.select(F.col("node").alias("cell"), F.col("cell").alias("_next")), "cell").select("node", "n", F.col("_next").alias("cell"))
+    now = _labels(members.select("node", "bucket"), comp).join(materialize(cells), "node")
     apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
     active = materialize(now.join(apart, "bucket", "left_semi"))
     met = active.select("bucket", "cell").distinct()
