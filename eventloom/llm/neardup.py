@@ -8,7 +8,7 @@ batch by batch; it is dropped once the posterior probability of the wanted simil
 
 Links are wanted for the components they make. Each class is first compared with one pivot of its buckets; where a bucket's
 members are then not yet one component, its classes are compared with one another across components, in blocks within tasks
-that emit the links that join components, so no component is left apart and no list of pairs is made.
+that emit what joins components, so no component is left apart and no list of pairs is made.
 
 Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row and stay or go together.
 Empty input gives no rows. The chance that a pair at exactly the threshold shares no band is below 3e-6.
@@ -159,17 +159,24 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(c, F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
 
 
+def _jumped(to: DataFrame) -> DataFrame:
+    """``node, component`` with each component replaced by its own, twice over."""
+    for _ in range(2):
+        on = to.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        to = to.join(on, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return to
+
+
 def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links that join components of classes that share a bucket.
+    """Pairs of components that a link joins, over classes that share a bucket.
 
     The classes with a common pivot are a cell, pivots going with their own pivots twice over, so that a large group has few
     cells. Two cells that meet in such a bucket are compared block by block, inside a task;
     only links leave it. A block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles.
     """
-    cells = cells.select("node", "n", "cell")
-    for _ in range(2):
-        cells = cells.join(cells.select(F.col("node").alias("cell"), F.col("cell").alias("_next")), "cell").select("node", "n", F.col("_next").alias("cell"))
-    now = _labels(members.select("node", "bucket"), comp).join(materialize(cells), "node")
+    cell = _jumped(cells.select("node", F.col("cell").alias("component"))).select("node", F.col("component").alias("cell"))
+    cells = materialize(cells.select("node", "n").join(cell, "node"))
+    now = _labels(members.select("node", "bucket"), comp).join(cells, "node")
     apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
     active = materialize(now.join(apart, "bucket", "left_semi"))
     met = active.select("bucket", "cell").distinct()
@@ -180,7 +187,7 @@ def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFra
     of = lambda c: sizes.select(F.col("cell").alias(c), F.col("blocks").alias(f"_{c}"))
     units = met.join(of("c"), "c").join(of("d"), "d").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
     units = units.withColumn("j", F.explode(F.sequence(F.when(F.col("c") == F.col("d"), F.col("i")).otherwise(0), F.col("_d") - 1)))
-    units = materialize(units.select("c", "i", "d", "j", F.xxhash64("c", "i", "d", "j").alias("unit")))
+    units = units.select("c", "i", "d", "j", F.xxhash64("c", "i", "d", "j").alias("unit"))
     row = ("node", "n", "comp")
     left = placed.join(units.select(F.col("c").alias("cell"), F.col("i").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(True).alias("left"), *row)
     right = placed.join(units.where("c <> d or i <> j").select(F.col("d").alias("cell"), F.col("j").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(False).alias("left"), *row)
@@ -195,7 +202,7 @@ def _compare(percent: int, miss: float):
 
     def links(t: pa.Table):
         t = t.combine_chunks()
-        node, n, comp, left = (t.column(c).to_numpy() for c in ("node", "n", "comp", "left"))
+        n, comp, left = (t.column(c).to_numpy() for c in ("n", "comp", "left"))
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
         y = y if len(y) else x
         if not len(x) or (comp[x].min() == comp[x].max() == comp[y].min() == comp[y].max()):
@@ -205,7 +212,7 @@ def _compare(percent: int, miss: float):
         at = at // 8
         _, ids = np.unique(data.view(np.uint64) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)
         has = np.zeros(int(ids.max()) + 1, bool)
-        comp = comp.copy()             # joined here as links are found: one link says enough about two components
+        label, comp = comp, comp.copy()   # joined here as links are found: one link says enough about two components
         for i in x.tolist():
             ok = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
             matches, done = np.zeros(len(ok), np.int64), 0
@@ -220,7 +227,7 @@ def _compare(percent: int, miss: float):
                     continue
                 both = int(np.count_nonzero(has[ids[at[j]:at[j + 1]]]))
                 if 100 * both >= percent * (n[i] + n[j] - both):
-                    yield node[i], node[j]
+                    yield label[i], label[j]
                     comp[comp == comp[j]] = comp[i]
             has[ids[at[i]:at[i + 1]]] = False
 
@@ -264,11 +271,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -
     pivots = members.groupBy("bucket").agg(F.min(order).alias("_p"))
     cells = materialize(members.join(pivots, "bucket").groupBy("node", "n").agg(F.min("_p").alias("_p")).select("node", "n", F.col("_p.node").alias("cell"), F.col("_p.n").alias("_n")))
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    links = materialize(_links(cells.where((F.col("node") != F.col("cell")) & fits).select(F.col("node").alias("x"), F.col("cell").alias("y")), known, percent, miss))
-    comp = materialize(components(links))
+    links = _links(cells.where((F.col("node") != F.col("cell")) & fits).select(F.col("node").alias("x"), F.col("cell").alias("y")), known, percent, miss)
+    # a class with a confirmed link takes its pivot's place; pivots may have taken another's
+    comp = materialize(_jumped(links.select(F.col("a").alias("node"), F.col("b").alias("component"))))
     more = materialize(_apart(members, cells, comp, known, percent, miss))
     if not more.isEmpty():
-        comp = materialize(components(links.unionByName(more)))
+        joined = components(more).select(F.col("node").alias("_m"), F.col("component").alias("_c"))
+        comp = _labels(classes.select("node"), comp).join(joined, F.col("comp") == F.col("_m"), "left").select("node", F.coalesce("_c", "comp").alias("component"))
     ids = _labels(classes.select("node", "first_id"), comp)
     smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "component_id")
