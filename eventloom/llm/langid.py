@@ -27,7 +27,7 @@ UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Labels that a model may have; more are refused, as each takes a column of the tables.
 MAX_LANGUAGES = 1000
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 STEP_DOWN = math.log(0.4)
 
 
