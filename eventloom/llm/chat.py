@@ -4,6 +4,8 @@ The log has one row per event: ``conv_id``, ``turn``, ``seq`` (order within a tu
 columns are ignored. Kinds: ``message`` (or null) opens a message, ``delta`` appends to it, ``edit`` replaces its text,
 ``regenerate`` empties it for the deltas that follow. Events before a turn's first ``message`` form a message of their own.
 
+A message's role is the first that its events name.
+
 Nulls: text and role count as empty, a null turn comes first, null ``conv_id`` is a conversation like any other. Ties in
 ``seq`` go by kind (message, regenerate, edit, delta), role, text. Repeated ``message`` rows are repeated messages. A log
 without rows gives no conversations. Events are folded per (conversation, turn), so a conversation with a large part of all
@@ -40,11 +42,13 @@ def fold(log: DataFrame) -> DataFrame:
     w = W.partitionBy("conv_id", "turn").orderBy("seq", "_kind", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
     e = e.select("*", F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).over(w).alias("message"), F.count(F.lit(1)).over(w).alias("_pos"))
     # what came before the last replacement of a message's text is gone
-    since = F.max(F.when(F.col("_kind") < 3, F.col("_pos"))).over(W.partitionBy("conv_id", "turn", "message"))
-    e = e.withColumn("_since", since).where(F.col("_since").isNull() | (F.col("_pos") >= F.col("_since")))
+    all_of = W.partitionBy("conv_id", "turn", "message")
+    since = F.max(F.when(F.col("_kind") < 3, F.col("_pos"))).over(all_of)
+    role = F.coalesce(F.min(F.when(F.col("role") != "", F.struct("_pos", "role"))).over(all_of)["role"], F.lit(""))
+    e = e.withColumns({"_since": since, "role": role}).where(F.col("_since").isNull() | (F.col("_pos") >= F.col("_since")))
     said = F.when(F.col("_kind") == 1, F.lit("")).otherwise(F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("_pos", said.alias("text"))))
-    return e.groupBy("conv_id", "turn", "message").agg(F.min_by("role", "_pos").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    return e.groupBy("conv_id", "turn", "message").agg(F.first("role").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.arrays import buffers, shingles, slices, words
+from eventloom.llm.columns import hidden
 
 BLOCK_BYTES = 8 << 20
 OWN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())])
@@ -144,4 +145,5 @@ def _judge(sent, kept: list[str]):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
     """The documents that are not contaminated, in their own columns."""
-    return annotate(docs, benchmark, least, coverage).where(~F.col("contaminated")).select(*docs.columns)
+    docs, back = hidden(docs, (*OWN.names, "contaminated"))
+    return back(annotate(docs, benchmark, least, coverage).where(~F.col("contaminated")))

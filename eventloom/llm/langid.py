@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from eventloom.llm.arrays import buffers, slices
+from eventloom.llm.columns import hidden
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -43,13 +44,13 @@ class Model:
         k = len(languages)
         total = np.asarray(n_words, float)
         self.row = {w: i for i, w in enumerate(words)}
-        c = np.asarray(list(words.values()), float).reshape(-1, k)
+        c = np.asarray(list(words.values()), float).reshape(len(words), k)
         self.words = np.log((c + 0.1) / (total + 0.1 * (len(c) + 1)))
         # one table per order, so that frequencies of an order are shares of that order
         self.grams = {}
         for n in ORDERS:
             own = {g: v for g, v in grams.items() if len(g) == n}
-            c = np.asarray(list(own.values()), float).reshape(-1, k)
+            c = np.asarray(list(own.values()), float).reshape(len(own), k)
             self.grams[n] = ({g: i for i, g in enumerate(own)}, np.log((c + 0.1) / (c.sum(0) + 0.1 * (len(c) + 1))))
         self.never = np.log(0.1 / (total + 0.1 * (len(words) + 1)))
         self.seen: dict[str, np.ndarray] = {}
@@ -154,6 +155,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def keep_known(docs: DataFrame, learn: Column | None = None, sure: float = 0.5, **fitting: int) -> DataFrame:
+    """The rows, in their own columns, whose language is recognised with a score of ``sure`` or more."""
+    docs, back = hidden(docs, ("lang_pred", "score"))
+    return back(identify(docs, learn, **fitting).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= sure)))
+
+
 def identify(docs: DataFrame, learn: Column | None = None, **fitting: int) -> DataFrame:
     """Fits on the labelled rows (those for which ``learn`` holds) and predicts all rows."""
     return predict(docs, fit(docs, F.lit(True) if learn is None else learn, **fitting))

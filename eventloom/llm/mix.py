@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import order
+from eventloom.llm.columns import hidden
 from eventloom.session import materialize
 
 #: Source names of a plan that is broadcast take at most so many bytes together; a larger plan is joined by shuffling.
@@ -78,6 +79,7 @@ def repetitions(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: f
 
 def mix(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: float = 3.0, total: float | None = None, seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as often as drawn, in its own columns."""
+    docs, back = hidden(docs, ("size", "source_size", "target", "rate", "copies"))
     r = repetitions(docs, weights, most, total, seed)
     copy = r.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return copy.select(*(F.col(c) for c in docs.columns))
+    return back(copy)

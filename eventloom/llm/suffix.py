@@ -80,21 +80,27 @@ def sparse(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return p, n[p]
 
 
-_SPARSE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("names", T.ArrayType(T.LongType()))])
+_SPARSE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("names", T.ArrayType(T.LongType())), T.StructField("twice", T.ArrayType(T.BooleanType()))])
 
 
 def _sparse_rows(length: int):
     def rows(batches):
         for b in batches:
             data, at = buffers(b.column("text"))
-            found, ends = [], [np.zeros(1, np.int64)]
+            found, twice, ends = [], [], [np.zeros(1, np.int64)]
             for lo, hi in slices(at):
                 own = at[lo:hi + 1] - at[lo]
                 p, n = sparse(data[at[lo]:at[hi]], own, length)
-                ends.append(np.searchsorted(p, own[1:]) + ends[-1][-1])
-                found.append(n.view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x1"), b.column("x2"), b.column("whole"), pa.array(np.diff(at)), lists], names=_SPARSE.names)
+                row = np.searchsorted(own, p, "right") - 1
+                order = np.lexsort((n, row))
+                row, n = row[order], n[order]
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (n[1:] != n[:-1]))[:len(n)])
+                found.append(n[new].view(np.int64))
+                twice.append(np.diff(np.append(new, len(n))) > 1)
+                ends.append(np.searchsorted(row[new], np.arange(1, len(own))) + ends[-1][-1])
+            places = pa.array(np.concatenate(ends).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(places, pa.array(np.concatenate(v) if v else np.zeros(0, kind))) for v, kind in ((found, np.int64), (twice, bool))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x1"), b.column("x2"), b.column("whole"), pa.array(np.diff(at)), *lists], names=_SPARSE.names)
     return rows
 
 
@@ -196,11 +202,11 @@ def repeated(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     d = d.select("*", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), F.col("text")).alias("x2"))
     found = materialize(d.withColumn("whole", F.sha2("text", 256)).mapInArrow(_sparse_rows(length), _SPARSE))
     long = found.where(F.col("n_bytes") >= length)
-    texts = long.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.first("names").alias("names"), F.first("n_bytes").alias("n_bytes"))
+    texts = long.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.first("names").alias("names"), F.first("twice").alias("twice"), F.first("n_bytes").alias("n_bytes"))
     texts = materialize(texts)
-    at = texts.select("x1", "x2", "doc_id", "times", F.explode("names").alias("name"))
-    twice = at.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name")
-    some = at.join(twice, "name", "left_semi").groupBy("x1", "x2", "doc_id").agg(F.collect_set("name").alias("names"))
+    at = texts.select("x1", "x2", "doc_id", "times", F.explode(F.arrays_zip("names", "twice")).alias("_z")).select("x1", "x2", "doc_id", "times", F.col("_z.names").alias("name"), F.col("_z.twice").alias("twice"))
+    twice = at.groupBy("name").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("_n")).where("_n > 1").select("name")
+    some = at.join(twice, "name", "left_semi").groupBy("x1", "x2", "doc_id").agg(F.collect_list("name").alias("names"))
     s = some.select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("doc_id").alias("_id"), "names")
     left = d.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2"))).select("x1", "x2", "text", "names")
     packs = materialize(left.mapInArrow(_pack_rows(length), _PACKS))
@@ -211,4 +217,4 @@ def repeated(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     copies = texts.where("times > 1").select("x1", "x2", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"), F.lit(b"").alias("kept"))
     single = texts.where("times = 1").select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"))
     cut = cut.join(single, (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left_semi")
-    return found.drop("names"), cut.unionByName(copies)
+    return found.drop("names", "twice"), cut.unionByName(copies)
