@@ -17,8 +17,7 @@ SURE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language; those without letters, or that no language explains better than half, go."""
-    found = langid.identify(docs, ~langid.held_out(F.col("doc_id")))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    return langid.keep_known(docs, ~langid.held_out(F.col("doc_id")), SURE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
