@@ -1,50 +1,65 @@
 """Ordered per-key work that survives hot keys.
 
 A window partitioned by person puts every row of one person into one task.  Here a key with more
-rows than ``rows_per_block`` is cut into time slices ("blocks"), windows run per (key, block), and
-what a block needs from its neighbours travels through a table with one row per block of a hot key.
-A block is a function of the timestamp, so equal timestamps never straddle a boundary and the block
-order is the time order.
-
-The list of hot keys has at most rows/rows_per_block entries and the block table at most twice
-that many, which is the size bound that lets both be broadcast.
+rows than a block may hold is cut into runs of its rows in time ("blocks"), windows run per (key,
+block), and what a block needs from its neighbours travels through a table with one row per block of
+a hot key.  Blocks are cut by row counts, from a histogram per hour, refined per second and per
+microsecond where a cell alone is too large, so a burst is cut as well.  A block is a function of
+the timestamp: equal timestamps never straddle a boundary and the block order is the time order.
+Only rows of one key within one microsecond cannot be parted.
+
+A block holds ``rows_per_block`` rows at most, or one part in ``MAX_BLOCKS`` of all rows if that is
+more, so the hot keys and their blocks are at most a few hundred thousand rows at any table size,
+which is the bound that lets both be broadcast.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-ROWS_PER_BLOCK = 1_000_000
-SMALL_INPUT = 64 << 20      # bytes by the optimizer's estimate: too little for any key to weigh on a task
-
-
-def estimated_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate; infinite where it cannot be asked."""
-    try:
-        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a session type without a local plan
-        return float("inf")
+from eventloom.model import attach_row
 
-
-def needs_blocks(df: DataFrame, rows_per_block: int | None = None) -> bool:
-    """Whether any key could outgrow a task; an explicit limit always asks for blocks."""
-    return rows_per_block is not None or estimated_bytes(df) >= SMALL_INPUT
-
-
-def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp",
-                rows_per_block: int | None = None, blocked: bool = True) -> DataFrame:
-    """Adds ``_us`` (epoch micros), ``_hot`` and ``_blk``; without ``blocked`` every key is one block."""
-    limit = rows_per_block or ROWS_PER_BLOCK
+ROWS_PER_BLOCK = 1_000_000
+MAX_BLOCKS = 100_000
+CELLS = (3_600_000_000, 1_000_000, 1)      # microseconds of an hour, a second and an instant
+
+
+def _starts(hot_rows: DataFrame) -> DataFrame:
+    """(_hk, _at): where the blocks of the hot keys begin; ``hot_rows`` has _hk, _us, _half."""
+    found, rows, outer = None, hot_rows, ["_hk"]
+    for level, width in enumerate(CELLS):
+        cell = f"_cell{level}"
+        rows = rows.withColumn(cell, F.floor(F.col("_us") / width))
+        c = rows.groupBy(*outer, "_half", cell).agg(F.count("*").alias("_n"), F.min("_us").alias("_at"))
+        w = W.partitionBy(*outer).orderBy(cell)
+        before = F.floor((F.sum("_n").over(w) - F.col("_n")) / F.col("_half"))
+        c = c.withColumn("_part", before)
+        c = c.withColumn("_new", (F.col("_part") != F.lag("_part", 1, -1).over(w)) | (F.col("_n") > F.col("_half")))
+        own = c.where("_new").select("_hk", "_at")
+        found = own if found is None else found.unionByName(own)
+        outer = ["_hk", cell]
+        rows = rows.join(c.where("_n > _half").select("_hk", cell), outer, "left_semi")
+    return found
+
+
+def _block(starts: Column, us: Column) -> Column:
+    """The last start at or before ``us``, by bisection of the sorted array."""
+    n = F.size(starts)
+    step = lambda at, size: F.when((at + size <= n) & (F.get(starts, F.least(at + size, n) - 1) <= us), at + size).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(20))]), F.lit(0), step)
+
+
+def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp", rows_per_block: int | None = None) -> DataFrame:
+    """Adds ``_us`` (epoch micros), ``_hot`` and ``_blk``, the number of the block within its key."""
     df = df.withColumn("_us", F.unix_micros(ts))
-    if not blocked:
-        return df.withColumn("_hot", F.lit(False)).withColumn("_blk", F.lit(0).cast("bigint"))
-    hot = (df.groupBy(key).agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-           .where(F.col("_n") > limit)
-           .select(F.col(key).alias("_hk"), "_lo",
-                   F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / limit)).alias("_width")))
-    j = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = F.greatest(F.lit(rows_per_block or ROWS_PER_BLOCK), F.ceil(F.col("_all") / MAX_BLOCKS))
+    hot = attach_row(counts, df.agg(F.count("*").alias("_all"))).where(F.col("_n") > limit).select(F.col(key).alias("_hk"), F.greatest(F.lit(1), F.floor(limit / 2)).alias("_half"))
+    starts = _starts(df.select(key, "_us").join(F.broadcast(hot), F.col(key) == F.col("_hk")).select("_hk", "_us", "_half"))
+    starts = starts.groupBy("_hk").agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
+    j = df.join(F.broadcast(starts), F.col(key) == F.col("_hk"), "left")
     return (j.withColumn("_hot", F.col("_hk").isNotNull())
-            .withColumn("_blk", F.coalesce(F.floor((F.col("_us") - F.col("_lo")) / F.col("_width")), F.lit(0)))
-            .drop("_hk", "_lo", "_width"))
+            .withColumn("_blk", F.when(F.col("_hot"), _block(F.col("_starts"), F.col("_us"))).otherwise(0).cast("bigint"))
+            .drop("_hk", "_starts"))
 
 
 def block_window(key: str = "distinct_id", *order: str):
@@ -79,11 +94,9 @@ def attach(df: DataFrame, carry: DataFrame, key: str = "distinct_id") -> DataFra
     return df.join(F.broadcast(carry), [key, "_blk"], "left")
 
 
-def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: str = "distinct_id", blocked: bool = True) -> DataFrame:
+def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: str = "distinct_id") -> DataFrame:
     """lag(value, 1) in ``order`` over the whole key; ``df`` comes from with_blocks()."""
     w = block_window(key, *order)
-    if not blocked:
-        return df.withColumn(out, F.lag(value).over(w))
     d = df.withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     pos = F.struct(*order, F.col(value).alias("_v"))
     tails = block_summary(df, F.max(pos).alias("_last"), key=key)
@@ -92,11 +105,9 @@ def previous_value(df: DataFrame, value: str, out: str, order: list[str], key: s
     return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out))).drop("_first", "_carry")
 
 
-def last_value_so_far(df: DataFrame, value: Column, out: str, order: list[str], key: str = "distinct_id", blocked: bool = True) -> DataFrame:
+def last_value_so_far(df: DataFrame, value: Column, out: str, order: list[str], key: str = "distinct_id") -> DataFrame:
     """Latest non-null ``value`` at or before each row, over the whole key."""
     w = block_window(key, *order).rowsBetween(W.unboundedPreceding, 0)
-    if not blocked:
-        return df.withColumn(out, F.last(value, True).over(w))
     d = df.withColumn("_v", value)
     tails = block_summary(d, F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_last"), key=key)
     carry = tails.select(key, "_blk", F.last("_last._v", True).over(earlier_blocks(key)).alias("_carry"))

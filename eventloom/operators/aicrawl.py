@@ -10,31 +10,32 @@ from eventloom.model import attach_row, lit_ts
 from eventloom.session import materialize
 
 # fixed values: user-agent pattern, crawler, operator, purpose
-CRAWLERS = """\
-chatgpt-user|ChatGPT-User|OpenAI|user
-oai-searchbot|OAI-SearchBot|OpenAI|search
-gptbot|GPTBot|OpenAI|training
-claude-user|Claude-User|Anthropic|user
-claude-searchbot|Claude-SearchBot|Anthropic|search
-claudebot|ClaudeBot|Anthropic|training
-claude-web|Claude-Web|Anthropic|search
-anthropic-ai|Anthropic-AI|Anthropic|training
-perplexity-user|Perplexity-User|Perplexity|user
-perplexitybot|PerplexityBot|Perplexity|search
-google-extended|Google-Extended|Google|training
-bingbot|Bingbot|Microsoft|search
-applebot-extended|Applebot-Extended|Apple|training
-applebot|Applebot|Apple|search
-meta-externalagent|Meta-ExternalAgent|Meta|training
-bytespider|Bytespider|ByteDance|training
-amazonbot|Amazonbot|Amazon|search
-ccbot|CCBot|Common Crawl|training
-cohere-ai|Cohere-AI|Cohere|training
-mistralai-user|MistralAI-User|Mistral|user
-diffbot|Diffbot|Diffbot|training
-timpibot|Timpibot|Timpi|training
-youbot|YouBot|You.com|search
-duckassistbot|DuckAssistBot|DuckDuckGo|search"""
+CRAWLERS = (
+    ("chatgpt-user", "ChatGPT-User", "OpenAI", "user"),
+    ("oai-searchbot", "OAI-SearchBot", "OpenAI", "search"),
+    ("gptbot", "GPTBot", "OpenAI", "training"),
+    ("claude-user", "Claude-User", "Anthropic", "user"),
+    ("claude-searchbot", "Claude-SearchBot", "Anthropic", "search"),
+    ("claudebot", "ClaudeBot", "Anthropic", "training"),
+    ("claude-web", "Claude-Web", "Anthropic", "search"),
+    ("anthropic-ai", "Anthropic-AI", "Anthropic", "training"),
+    ("perplexity-user", "Perplexity-User", "Perplexity", "user"),
+    ("perplexitybot", "PerplexityBot", "Perplexity", "search"),
+    ("google-extended", "Google-Extended", "Google", "training"),
+    ("bingbot", "Bingbot", "Microsoft", "search"),
+    ("applebot-extended", "Applebot-Extended", "Apple", "training"),
+    ("applebot", "Applebot", "Apple", "search"),
+    ("meta-externalagent", "Meta-ExternalAgent", "Meta", "training"),
+    ("bytespider", "Bytespider", "ByteDance", "training"),
+    ("amazonbot", "Amazonbot", "Amazon", "search"),
+    ("ccbot", "CCBot", "Common Crawl", "training"),
+    ("cohere-ai", "Cohere-AI", "Cohere", "training"),
+    ("mistralai-user", "MistralAI-User", "Mistral", "user"),
+    ("diffbot", "Diffbot", "Diffbot", "training"),
+    ("timpibot", "Timpibot", "Timpi", "training"),
+    ("youbot", "YouBot", "You.com", "search"),
+    ("duckassistbot", "DuckAssistBot", "DuckDuckGo", "search"),
+)
 # fixed values: fragments only a vulnerability scanner asks for
 PROBES = ("/.env", "/.git", "/.aws", "/.ssh", "/@fs/", "/etc/passwd", "/wp-admin", "/wp-login", "/phpmyadmin",
           "/.well-known/security", "/config.json", "/credentials", "/id_rsa", "/actuator", "/.svn",
@@ -48,8 +49,8 @@ MAX_ROWS = 25
 CRAWL, SCAN = "$ai_crawl", "$site_readable"
 
 
-def crawler_table() -> list[list[str]]:
-    return sorted((line.split("|") for line in CRAWLERS.splitlines()), key=lambda r: -len(r[0]))
+def crawler_table() -> list[tuple[str, str, str, str]]:
+    return sorted(CRAWLERS, key=lambda r: -len(r[0]))
 
 
 def identify(ua: Column) -> Column:

@@ -42,7 +42,10 @@ class Outcome:
 
 
 def cuped_units(df: DataFrame, flags, outcomes, start=None, end=None) -> DataFrame:
-    """(flag, unit, variant, y, x, has_pre): outcome after exposure, covariate count just before it."""
+    """(flag, goal, covariate, unit, variant, y, x, has_pre): outcome after exposure, covariate count just before it.
+
+    A flag may have several outcomes; each is a row per unit of its own.
+    """
     first, who = _units(df, flags, start, end)
     spec = df.sparkSession.createDataFrame([(o.flag, o.goal, o.covariate or o.goal, o.lookback_days, o.count) for o in outcomes],
                                            "flag string, goal string, cov string, lookback int, as_count boolean")
@@ -61,11 +64,12 @@ def cuped_units(df: DataFrame, flags, outcomes, start=None, end=None) -> DataFra
         goal = goal & (t < F.lit(end).cast("timestamp"))
     back = F.col("exposed_at") - F.make_dt_interval(F.col("lookback"))
     pre = (F.col("name") == F.col("cov")) & (t >= back) & (t < F.col("exposed_at"))
-    n = j.groupBy("flag", "unit").agg(F.count(F.when(goal, 1)).alias("goals"), F.count(F.when(pre, 1)).alias("pre"))
-    out = units.join(n, ["flag", "unit"], "left").join(born, ["flag", "unit"], "left")
+    own = ["flag", "goal", "cov", "lookback", "as_count", "unit"]
+    n = j.groupBy(*own).agg(F.count(F.when(goal, 1)).alias("goals"), F.count(F.when(pre, 1)).alias("pre"))
+    out = units.join(n, own, "left").join(born, ["flag", "unit"], "left")
     goals = F.coalesce("goals", F.lit(0))
     y = F.when(F.col("as_count"), goals).otherwise(F.when(goals > 0, 1).otherwise(0)).cast("double")
-    return out.select("flag", "unit", "variant", y.alias("y"), F.coalesce("pre", F.lit(0)).cast("double").alias("x"),
+    return out.select("flag", "goal", F.col("cov").alias("covariate"), "unit", "variant", y.alias("y"), F.coalesce("pre", F.lit(0)).cast("double").alias("x"),
                       F.coalesce(F.col("first_seen") <= back, F.lit(False)).alias("has_pre"))
 
 
@@ -80,7 +84,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         sx, sxx, sxt, sxy = r.sx + n0 * mean, r.sxx + n0 * mean ** 2, r.sxt + t0 * mean, r.sxy + y0 * mean
         full = np.array([[n, st, sx, n0], [st, st, sxt, t0], [sx, sxt, sxx, n0 * mean], [n0, t0, n0 * mean, n0]], float)
         k = 4 if n0 else 3
-        row = dict(flag=r.flag, treatment=r.treatment, mean=mean, k=k, raw=[], raw_inv=[], adj=[], adj_inv=[])
+        row = dict(flag=r.flag, goal=r.goal, covariate=r.covariate, treatment=r.treatment, mean=mean, k=k, raw=[], raw_inv=[], adj=[], adj_inv=[])
         for name, m, xy in (("raw", raw, [sy, sty]), ("adj", full[:k, :k], [sy, sty, sxy, y0][:k])):
             try:
                 if np.linalg.matrix_rank(m) == m.shape[0]:
@@ -89,7 +93,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
             except np.linalg.LinAlgError:
                 pass
         out.append(row)
-    return pd.DataFrame(out, columns=["flag", "treatment", "mean", "k", "raw", "raw_inv", "adj", "adj_inv"])
+    return pd.DataFrame(out, columns=["flag", "goal", "covariate", "treatment", "mean", "k", "raw", "raw_inv", "adj", "adj_inv"])
 
 
 def _robust(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +110,7 @@ def _robust(pdf: pd.DataFrame) -> pd.DataFrame:
         sr, sa = se(r.raw_inv, r.meat_raw, 2), se(r.adj_inv, r.meat_adj, int(r.k))
         d = r.n1 * r.sxx - r.sx ** 2, r.n1 * r.syy1 - r.sy1 ** 2
         rho = (r.n1 * r.sxy - r.sx * r.sy1) / np.sqrt(d[0] * d[1]) if d[0] > 0 and d[1] > 0 else 0.0
-        row = dict(flag=r.flag, treatment=r.treatment, units=int(r.n), with_pre=int(r.n1), rho=float(rho), applied=False, reason="",
+        row = dict(flag=r.flag, goal=r.goal, covariate=r.covariate, treatment=r.treatment, units=int(r.n), with_pre=int(r.n1), rho=float(rho), applied=False, reason="",
                    raw_diff=0.0, raw_se=0.0, adj_diff=0.0, adj_se=0.0, theta=0.0, variance_reduction_pct=0.0, extra_units=0)
         if r.n - r.st < 2 or r.st < 2:
             row["reason"] = "arm_too_small"
@@ -138,26 +142,28 @@ def _robust(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-_SOLVED = "flag string, treatment string, mean double, k int, raw array<double>, raw_inv array<double>, adj array<double>, adj_inv array<double>"
-_RESULT = ("flag string, treatment string, units bigint, with_pre bigint, rho double, applied boolean, reason string, raw_diff double, raw_se double, "
+_SOLVED = "flag string, goal string, covariate string, treatment string, mean double, k int, raw array<double>, raw_inv array<double>, adj array<double>, adj_inv array<double>"
+_RESULT = ("flag string, goal string, covariate string, treatment string, units bigint, with_pre bigint, rho double, applied boolean, reason string, raw_diff double, raw_se double, "
            "adj_diff double, adj_se double, theta double, variance_reduction_pct double, extra_units bigint")
 
 
 def cuped_adjust(units: DataFrame, flags) -> DataFrame:
-    """Regression adjustment with robust errors per flag and treatment arm.
+    """Regression adjustment with robust errors per flag, outcome and treatment arm.
 
     Two passes of plain sums over the units; only the one-row-per-arm tables meet Python.
     """
     pairs = [(f.key, f.arms[0][0], k) for f in flags for k, _ in f.arms[1:]]
     arms = units.sparkSession.createDataFrame(pairs, "flag string, control string, treatment string")
-    u = units.join(arms, "flag").where("variant = control or variant = treatment").withColumn("t", (F.col("variant") == F.col("treatment")).cast("double"))
+    own = ["flag", "goal", "covariate", "treatment"]
+    units = units.withColumns({c: F.lit("") for c in ("goal", "covariate") if c not in units.columns})
+    u = units.join(F.broadcast(arms), "flag").where("variant = control or variant = treatment").withColumn("t", (F.col("variant") == F.col("treatment")).cast("double"))
     x, y, t, p = F.col("x"), F.col("y"), F.col("t"), F.col("has_pre").cast("double")
     s = lambda e, n: F.sum(e).alias(n)
-    sums = u.groupBy("flag", "treatment").agg(
+    sums = u.groupBy(*own).agg(
         F.count("*").cast("double").alias("n"), s(t, "st"), s(y, "sy"), s(t * y, "sty"), s(p, "n1"), s(p * x, "sx"), s(p * x * x, "sxx"), s(p * x * t, "sxt"),
         s(p * x * y, "sxy"), s(p * t, "st1"), s(p * y, "sy1"), s(p * y * y, "syy1"))
     solved = sums.mapInPandas(lambda it: (_solve(b) for b in it), _SOLVED)
-    j = u.join(solved, ["flag", "treatment"])
+    j = u.join(F.broadcast(solved), own)     # a row per declared outcome and arm
     xi = F.when(F.col("has_pre"), x).otherwise(F.col("mean"))
     feats = [F.lit(1.0), t, xi, 1 - p]
     # coalesce: a side that could not be solved has no coefficients
@@ -166,8 +172,8 @@ def cuped_adjust(units: DataFrame, flags) -> DataFrame:
     meats = []
     for name, r in (("meat_raw", r_raw), ("meat_adj", r_adj)):
         meats.append(F.array(*[F.sum(r * r * feats[a] * feats[b]) for a in range(4) for b in range(4)]).alias(name))
-    m = j.groupBy("flag", "treatment").agg(*meats)
-    table = sums.join(solved, ["flag", "treatment"]).join(m, ["flag", "treatment"])
+    m = j.groupBy(*own).agg(*meats)
+    table = sums.join(solved, own).join(m, own)
     return table.mapInPandas(lambda it: (_robust(b) for b in it), _RESULT)
 
 

@@ -8,8 +8,8 @@ from eventloom.functions.quantiles import exact_quantiles
 from eventloom.model import attach_row
 
 # fixed values: page names that usually mean a decision
-INTENT_WORDS = ("checkout purchase payment subscribe upgrade billing signup sign-up register join trial get-started "
-                "welcome onboard install connect invite book demo contact").split()
+INTENT_WORDS = ("checkout", "purchase", "payment", "subscribe", "upgrade", "billing", "signup", "sign-up", "register", "join", "trial",
+                "get-started", "welcome", "onboard", "install", "connect", "invite", "book", "demo", "contact")
 
 
 def detect(df: DataFrame, top: int = 4) -> DataFrame:

@@ -98,8 +98,7 @@ NON_PRODUCT = (r"(?i)^\.github/", r"(?i)(^|/)(docs?|examples?|fixtures?|testdata
                r"(?i)(^|/)(Dockerfile|Makefile|\.gitignore|\.editorconfig)$", r"(?i)\.(yml|yaml|toml|ini|cfg)$")
 CHORE_TITLE = r"(?i)^\s*(chore|build|ci|docs|test|refactor|style|revert|deps|bump)(\(|:|\s)"
 CHORE_WORDS = r"(?i)\b(bump|upgrade|downgrade|dependabot|renovate|typo|lint|format|rename|move|extract|cleanup|clean up|dead code)\b"
-USER_FACING = (r"(?i)\b(onboard|signup|sign-up|checkout|paywall|pricing|upgrade|trial|cta|button|banner|modal|flow|funnel|conversion|"
-               r"activation|retention|nudge|prompt|empty state|landing)\b")
+USER_FACING = r"(?i)\b(onboard|signup|sign-up|checkout|paywall|pricing|upgrade|trial|cta|button|banner|modal|flow|funnel|conversion|activation|retention|nudge|prompt|empty state|landing)\b"
 
 
 def claim_verdicts(prs: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ GAP_US = 30 * 60 * 1_000_000
 def with_session(df: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Adds ``session_us``, the start of the session each row belongs to (epoch micros)."""
     d = df.where("distinct_id <> ''")
-    blocked = scan.needs_blocks(d, block_rows)
-    d = scan.with_blocks(d, rows_per_block=block_rows, blocked=blocked)
-    d = scan.previous_value(d, "_us", "_prev", ["_us", "id"], blocked=blocked)
+    d = scan.with_blocks(d, rows_per_block=block_rows)
+    d = scan.previous_value(d, "_us", "_prev", ["_us", "id"])
     opens = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > GAP_US)
-    return scan.last_value_so_far(d, F.when(opens, F.col("_us")), "session_us", ["_us", "id"], blocked=blocked).drop("_prev")
+    return scan.last_value_so_far(d, F.when(opens, F.col("_us")), "session_us", ["_us", "id"]).drop("_prev")
 
 
 def sessions(df: DataFrame, start=None, block_rows: int | None = None) -> DataFrame:

@@ -1,20 +1,49 @@
-"""Ad-hoc SQL over the events: Spark SQL on a production-scoped relation."""
-from __future__ import annotations
+"""Ad-hoc SQL over the events: Spark SQL on a production-scoped relation.
 
-import re
+The dialect is Spark's own.  What a query may do is decided on its parsed plan, not on its text.
+"""
+from __future__ import annotations
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame
 
 from eventloom.operators.scope import scope_production
 
-# fixed values: rows returned at most, and groups at most
-ROW_CAP, GROUP_CAP = 1000, 50_000
 
+CATALYST = "org.apache.spark.sql.catalyst"
+
+
+def _check(df: DataFrame, query: str) -> bool:
+    """Refuses all but queries over {events} and their own WITH names; says whether an ``env`` column is named."""
+    spark = df.sparkSession
+    gateway = spark.sparkContext._gateway
+    of = lambda n, kind: is_instance_of(gateway, n, f"{CATALYST}.{kind}")
+    items = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    names, relations, env = {"__events"}, set(), False
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query.replace("{events}", "__events"))]
+    while todo:
+        n = todo.pop()
+        todo += items(n.children())
+        if of(n, "plans.logical.LogicalPlan"):
+            todo += items(n.innerChildren()) + items(n.expressions())
+        if of(n, "plans.logical.Command") or of(n, "plans.logical.ParsedStatement") or of(n, "plans.logical.ScriptTransformation"):
+            raise ValueError("only SELECT is supported")
+        if of(n, "plans.logical.UnresolvedWith"):
+            names |= {c._1().lower() for c in items(n.cteRelations())}
+        elif of(n, "analysis.UnresolvedRelation"):
+            relations.add(".".join(items(n.multipartIdentifier())).lower())
+        elif of(n, "analysis.UnresolvedAttribute"):
+            env |= items(n.nameParts())[-1].lower() == "env"
+    if stray := sorted(relations - names):
+        raise ValueError(f"only {{events}} can be read, not {', '.join(stray)}")
+    return env
+
+
+def sql(df: DataFrame, query: str, cap: int | None = None) -> DataFrame:
+    """Run ``query`` over {events}; non-production rows are hidden unless the query names the column ``env``.
 
-def sql(df: DataFrame, query: str, cap: int | None = ROW_CAP) -> DataFrame:
-    """Run ``query`` over {events}; non-production rows are hidden unless the query names ``env``."""
-    if not re.match(r"^\s*(select|with)\b", query, re.I):
-        raise ValueError("only SELECT is supported")
-    rel = df if re.search(r"\benv\b", query) else scope_production(df)
+    ``cap``: rows returned at most; all by default.
+    """
+    rel = df if _check(df, query) else scope_production(df)
     out = df.sparkSession.sql(query, events=rel)
     return out.limit(cap) if cap else out

@@ -56,8 +56,8 @@ def trend(df: DataFrame, event: str = "", start=None, end=None, unique: bool = F
 
 
 def trend_multi(df: DataFrame, events, start, end, grain: str = "day") -> DataFrame:
-    """Up to eight events side by side from one scan."""
-    events = list(dict.fromkeys(events))[:8]
+    """Any number of events side by side from one scan."""
+    events = list(dict.fromkeys(events))
     d = between(df, start, end).where(F.col("name").isin(*events))
     counts = d.groupBy(_bucket(grain).alias("bucket"), "name").agg(F.count("*").alias("n"))
     cal = calendar(df.sparkSession, counts, grain, start, end).withColumn("name", F.explode(F.array(*[F.lit(e) for e in events])))

@@ -224,13 +224,13 @@ def _(c):
 
 
 # ---- variance reduction and ratios --------------------------------------------------------------------
-OUT = [eu.Outcome("f1", "signup", count=True), eu.Outcome("f3", "purchase", "click", 5)]
+OUT = [eu.Outcome("f1", "signup", count=True), eu.Outcome("f3", "purchase", "click", 5), eu.Outcome("f1", "purchase", "click", 5)]
 
 
-@plan("cuped_units", XP + """, o AS (SELECT * FROM (VALUES ('f1','signup','signup',7,true),('f3','purchase','click',5,false)) t(flag,goal,cov,lb,cnt)),
+@plan("cuped_units", XP + """, o AS (SELECT * FROM (VALUES ('f1','signup','signup',7,true),('f3','purchase','click',5,false),('f1','purchase','click',5,false)) t(flag,goal,cov,lb,cnt)),
  al AS (SELECT distinct_id, min(us) AS seen FROM (SELECT distinct_id, us FROM pev WHERE name<>'view' OR ts>=TIMESTAMP '2024-01-12') GROUP BY 1)
- SELECT flag, unit, variant, CAST(CASE WHEN cnt THEN gs ELSE least(gs,1) END AS DOUBLE) AS y, CAST(px AS DOUBLE) AS x, seen<=xus-lb*86400000000 AS has_pre FROM
- (SELECT fe.flag, fe.unit, fe.variant, fe.xus, o.lb, o.cnt, al.seen, count(*) FILTER (WHERE g.nm=o.goal AND g.us>=fe.xus) AS gs, count(*) FILTER (WHERE g.nm=o.cov AND g.us<fe.xus AND g.us>=fe.xus-o.lb*86400000000) AS px
+ SELECT flag, goal, cov AS covariate, unit, variant, CAST(CASE WHEN cnt THEN gs ELSE least(gs,1) END AS DOUBLE) AS y, CAST(px AS DOUBLE) AS x, seen<=xus-lb*86400000000 AS has_pre FROM
+ (SELECT fe.flag, o.goal, o.cov, fe.unit, fe.variant, fe.xus, o.lb, o.cnt, al.seen, count(*) FILTER (WHERE g.nm=o.goal AND g.us>=fe.xus) AS gs, count(*) FILTER (WHERE g.nm=o.cov AND g.us<fe.xus AND g.us>=fe.xus-o.lb*86400000000) AS px
   FROM fe JOIN o USING (flag) JOIN al ON al.distinct_id=fe.unit LEFT JOIN g ON g.distinct_id=fe.unit GROUP BY ALL)""")
 def _(c):
     return eu.cuped_units(events(c), [F1, F3], OUT, S, ASOF)

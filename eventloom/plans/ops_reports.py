@@ -188,11 +188,9 @@ def pull_requests(c):
     return d.select(i.alias("pr"), title.alias("title"), body.alias("body"), files.alias("files"), inst.alias("instrumented"), named.alias("events"))
 
 
-_CW = "(?i)\\b(bump|upgrade|downgrade|dependabot|renovate|typo|lint|format|rename|move|extract|cleanup|clean up|dead code)\\b"
-_UF = "(?i)\\b(onboard|signup|sign-up|checkout|paywall|pricing|upgrade|trial|cta|button|banner|modal|flow|funnel|conversion|activation|retention|nudge|prompt|empty state|landing)\\b"
 CLAIM = f"""WITH q AS (SELECT doc_id, text, (['feat: add thing','chore: tidy','Fix the flow','rename stuff','work'])[doc_id%5+1]||' '||doc_id AS title, regexp_matches(text,'\\b(click|error|purchase|signup|view)\\b') AS ev FROM documents),
- v AS (SELECT doc_id, text, CASE WHEN doc_id%5=1 OR doc_id%7=0 THEN 'no_measurable_intent' WHEN ev THEN 'claimable' WHEN doc_id%11=0 THEN 'touches_instrumented' WHEN regexp_matches(title||chr(10)||text,'{_CW}') THEN 'no_measurable_intent'
-  WHEN regexp_matches(title||chr(10)||text,'{_UF}') THEN 'unclear' ELSE 'no_measurable_intent' END AS verdict FROM q) """
+ v AS (SELECT doc_id, text, CASE WHEN doc_id%5=1 OR doc_id%7=0 THEN 'no_measurable_intent' WHEN ev THEN 'claimable' WHEN doc_id%11=0 THEN 'touches_instrumented' WHEN regexp_matches(title||chr(10)||text,'{ops.CHORE_WORDS}') THEN 'no_measurable_intent'
+  WHEN regexp_matches(title||chr(10)||text,'{ops.USER_FACING}') THEN 'unclear' ELSE 'no_measurable_intent' END AS verdict FROM q) """
 
 
 @plan("pr_claim_yield", CLAIM + """, a AS (SELECT count(*) AS total, count(*) FILTER (WHERE verdict='claimable') AS claimable, count(*) FILTER (WHERE verdict='touches_instrumented') AS touches_instrumented,

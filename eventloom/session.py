@@ -23,11 +23,16 @@ def get_session(app: str = "eventloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder; a local one only in local mode and where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="eventloom-ckpt-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            path = tempfile.mkdtemp(prefix="eventloom-ckpt-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path

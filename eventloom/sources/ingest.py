@@ -11,10 +11,12 @@ from eventloom.model import FIXED, lit_ts
 # fixed values: size limits, and the earliest believable timestamp
 MAX_PROPS, MAX_PROP_BYTES, MAX_EVENT_BYTES, MIN_TIME = 250, 8 << 10, 32 << 10, "2000-01-01 00:00:00"
 # fixed values: user-agent fragments of automated agents
-BOT_PATTERNS = ("googlebot bingbot yandexbot baiduspider duckduckbot applebot gptbot claudebot claude-web perplexitybot google-extended ccbot "
-                "bytespider amazonbot meta-externalagent oai-searchbot ahrefsbot semrushbot mj12bot dotbot petalbot uptimerobot pingdom "
-                "statuscake site24x7 betteruptime facebookexternalhit twitterbot linkedinbot slackbot discordbot telegrambot whatsapp "
-                "skypeuripreview headlesschrome lighthouse phantomjs selenium playwright puppeteer crawler spider scraper bot/ bot;").split() + ["screaming frog"]
+BOT_PATTERNS = (
+    "googlebot", "bingbot", "yandexbot", "baiduspider", "duckduckbot", "applebot", "gptbot", "claudebot", "claude-web", "perplexitybot", "google-extended",
+    "ccbot", "bytespider", "amazonbot", "meta-externalagent", "oai-searchbot", "ahrefsbot", "semrushbot", "mj12bot", "dotbot", "petalbot", "screaming frog",
+    "uptimerobot", "pingdom", "statuscake", "site24x7", "betteruptime", "facebookexternalhit", "twitterbot", "linkedinbot", "slackbot", "discordbot",
+    "telegrambot", "whatsapp", "skypeuripreview", "headlesschrome", "lighthouse", "phantomjs", "selenium", "playwright", "puppeteer", "crawler", "spider",
+    "scraper", "bot/", "bot;")
 
 
 def parse_time(s: Column) -> Column:

@@ -123,34 +123,49 @@ def experiment_tally(events: DataFrame, flags) -> DataFrame:
 def funnel_state(events: DataFrame, steps, window_s: float, delay: str = "1 hour") -> DataFrame:
     """(distinct_id, reached) whenever a person gets further in an ordered funnel.
 
-    State per person is, for each step, the latest entry time of a chain that got there: a later
-    entry can only help the window, so one number per step decides the reach.  State expires one
-    window after the last event.
+    Events are taken in the order of the batch funnel (time, step, id), whatever micro-batch brought
+    them, and each step must come after the one before in that order: events the watermark has not
+    passed stay in the state and are walked again with what arrives late.  More events can only get a
+    person further, so what is emitted early holds.  State per person is those events and, for each
+    step, the latest entry time of a chain that got there with the time it did (a later entry can only
+    help the window).  It expires one window after the last event.
     """
     names, w = list(steps), int(window_s * 1_000_000)
 
-    def advance(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, reached = state.get if state.exists else ([], 0)
-        best = list(best) or [-1] * len(names)
-        rows = pd.concat(list(batches)).sort_values(["us", "rank", "id"])
-        before = reached
-        for us, name in zip(rows["us"], rows["name"]):
+    def walk(events, best, at, reached):
+        best, at = list(best), list(at)
+        for e in events:
+            us = e["us"]
             for i in range(len(names) - 1, -1, -1):
-                if name != names[i]:
+                if e["name"] != names[i]:
                     continue
                 start = us if i == 0 else best[i - 1]
-                if i == 0 or (start >= 0 and us - start <= w):
-                    best[i] = max(best[i], int(start))
+                if i == 0 or (start >= 0 and us >= at[i - 1] and us - start <= w):
+                    if start >= best[i]:
+                        best[i], at[i] = start, us
                     reached = max(reached, i + 1)
-        state.update((best, reached))
-        state.setTimeoutTimestamp(max(int(rows["us"].max() // 1000) + w // 1000, state.getCurrentWatermarkMs() + 1))
+        return best, at, reached
+
+    def advance(key, batches, state: GroupState):
+        held, best, at, before = state.get if state.exists else ([], [], [], 0)
+        held, best, at = [e if isinstance(e, dict) else e.asDict() for e in held], list(best) or [-1] * len(names), list(at) or [-1] * len(names)
+        for pdf in batches:
+            held += [{"us": int(us), "rank": int(r), "id": i, "name": n} for us, r, i, n in zip(pdf["us"], pdf["rank"], pdf["id"], pdf["name"])]
+        held.sort(key=lambda e: (e["us"], e["rank"], e["id"]))
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = next((i for i, e in enumerate(held) if e["us"] >= mark), len(held))
+        best, at, reached = walk(held[:due], best, at, before)
+        held = held[due:]
+        reached = walk(held, best, at, reached)[2]
+        if state.hasTimedOut and not held:
+            state.remove()
+        else:
+            state.update((held, best, at, reached))
+            state.setTimeoutTimestamp(max((max([e["us"] for e in held] + at) + w) // 1000, state.getCurrentWatermarkMs() + 1))
         if reached > before:
             yield pd.DataFrame([(key[0], reached)], columns=["distinct_id", "reached"])
 
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")).cast("int")
     d = drop_sampler(events).where(F.col("name").isin(*names)).withWatermark("timestamp", delay)
     d = d.select("distinct_id", "timestamp", "id", "name", F.unix_micros("timestamp").alias("us"), rank.alias("rank"))
-    return d.groupBy("distinct_id").applyInPandasWithState(advance, "distinct_id string, reached bigint", "best array<bigint>, reached bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return d.groupBy("distinct_id").applyInPandasWithState(advance, "distinct_id string, reached bigint", "held array<struct<us:bigint,rank:int,id:string,name:string>>, best array<bigint>, at array<bigint>, reached bigint", "append", GroupStateTimeout.EventTimeTimeout)
