@@ -85,7 +85,8 @@ def _(c):
  UNION ALL (SELECT 'crawl_gap','info',path,views,(SELECT count(DISTINCT p2) FROM cr) FROM pv WHERE path NOT IN (SELECT p2 FROM cr) AND path NOT IN ('/app/home','/p5/deep') AND u>=2 AND views>=20 ORDER BY views DESC, path LIMIT 1)""")
 def _(c):
     # one crawler is refused often, one goes silent on the 20th, Perplexity never comes
-    e = gap_events(c).join(c.prod.select("id", "k"), "id").where("name <> '$ai_crawl' or k % 3 <> 0 or timestamp < '2024-01-20'")
+    e = gap_events(c).join(c.prod.select("id", "k"), "id")
+    e = e.withColumn("name", F.when(F.expr("name = '$ai_crawl' and k % 3 = 0 and timestamp >= '2024-01-20'"), "other_visit").otherwise(F.col("name")))
     crawl = F.col("name") == "$ai_crawl"
     e = (e.withColumn("crawler", F.when(crawl, pick(["GPTBot", "ClaudeBot", "BingBot"], F.col("k") % 3)))
          .withColumn("operator", F.when(crawl, pick(["OpenAI", "Anthropic", "Microsoft"], F.col("k") % 3)))

@@ -53,7 +53,7 @@ def _(c):
 @plan("below_floor_notes", """WITH r AS (SELECT name||browser AS name, count(*)/30 AS rate FROM (SELECT *, CASE WHEN k<12 THEN 'x' ELSE 'y' END AS b FROM pev WHERE name='error' AND k<9 AND ts>=TIMESTAMP '2024-01-01') GROUP BY 1)
  SELECT name, round(rate,1) AS per_day, CAST(5 AS BIGINT) AS need_per_day FROM r WHERE rate>0 AND rate<5""")
 def _(c):
-    d = c.prod.where("name <> 'error' or k < 9").withColumn("name", F.when(F.col("name") == "error", F.concat("name", "browser")).otherwise(F.concat(F.lit("$"), "name")))
+    d = c.prod.withColumn("name", F.when((F.col("name") == "error") & (F.col("k") < 9), F.concat("name", "browser")).otherwise(F.concat(F.lit("$"), "name")))
     return ch.below_floor(d, ASOF)
 
 

@@ -89,7 +89,7 @@ def _(c):
  f AS (SELECT bucket, CASE WHEN coalesce(s,0)=0 THEN NULL ELSE round((p+1)/s*100,6) END AS value FROM cal LEFT JOIN c USING (bucket))
  SELECT bucket, value, value IS NOT NULL AS defined, CASE WHEN value IS NULL THEN 'division by zero' ELSE '' END AS why FROM f""")
 def _(c):
-    big = c.prod.where("amount > 330")
+    big = c.prod.withColumn("name", F.when(F.col("amount") > 330, F.col("name")).otherwise(F.concat(F.lit("small_"), "name")))
     return tr.formula({"P": tr.trend(big, "purchase", S, E), "S": tr.trend(big, "signup", S, E)}, "(P + 1) / S * 100")
 
 
@@ -97,8 +97,8 @@ def _(c):
  b AS (SELECT d AS bucket, count(*) AS n FROM pev WHERE name='error' AND amount>340 GROUP BY 1)
  SELECT bucket, CAST(a.n-b.n AS DOUBLE) AS value, true AS defined, '' AS why FROM a JOIN b USING (bucket)""")
 def _(c):
-    per = lambda n, x: (c.prod.where((F.col("name") == n) & (F.col("amount") > x))
-                        .groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("bucket")).agg(F.count("*").alias("n")))
+    per = lambda n, x: (c.prod.where(F.col("name") == n).groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("bucket"))
+                        .agg(F.count(F.when(F.col("amount") > x, 1)).alias("n")).where("n > 0"))
     return tr.formula({"A": per("view", 300), "B": per("error", 340)}, "A - B")
 
 

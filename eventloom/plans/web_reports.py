@@ -56,7 +56,7 @@ def _(c):
   CAST(floor(count(*) FILTER (WHERE pv=1 AND coalesce(ms,0)<10000)/count(*) FILTER (WHERE pv>0)*100+0.5) AS BIGINT) AS bounce_rate_pct FROM u""", base="web")
 def _(c):
     # signups stand in for engagement pings; only /p3 views count as pageviews here, so single-view visitors exist
-    d = c.web.where("name <> '$pageview' or path = '/p3'").withColumn("engaged_ms", F.when(F.col("name") == "signup", F.col("amount") * 100))
+    d = c.web.withColumn("name", F.when((F.col("name") == "$pageview") & ~F.coalesce(F.col("path") == "/p3", F.lit(False)), "other_view").otherwise(F.col("name"))).withColumn("engaged_ms", F.when(F.col("name") == "signup", F.col("amount") * 100))
     return web.engagement(d.withColumn("name", F.when(F.col("name") == "signup", "$engagement").otherwise(F.col("name"))), S, E)
 
 
