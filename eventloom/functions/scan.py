@@ -10,13 +10,15 @@ Only rows of one key within one microsecond cannot be parted.
 
 A block holds ``rows_per_block`` rows at most, or one part in ``MAX_BLOCKS`` of all rows if that is
 more, so the hot keys and their blocks are at most a few hundred thousand rows at any table size,
-which is the bound that lets both be broadcast.
+which is the bound that lets both be broadcast.  The rows per key are counted first; where no key
+has more than a block holds, there is nothing to cut, and every key is its own block.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.model import attach_row
+from eventloom.session import materialize
 
 ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 100_000
@@ -53,7 +55,9 @@ def with_blocks(df: DataFrame, key: str = "distinct_id", ts: str = "timestamp",
     df = df.withColumn("_us", F.unix_micros(ts))
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     limit = F.greatest(F.lit(rows_per_block or ROWS_PER_BLOCK), F.ceil(F.col("_all") / MAX_BLOCKS))
-    hot = attach_row(counts, df.agg(F.count("*").alias("_all"))).where(F.col("_n") > limit).select(F.col(key).alias("_hk"), F.greatest(F.lit(1), F.floor(limit / 2)).alias("_half"))
+    hot = materialize(attach_row(counts, df.agg(F.count("*").alias("_all"))).where(F.col("_n") > limit).select(F.col(key).alias("_hk"), F.greatest(F.lit(1), F.floor(limit / 2)).alias("_half")))
+    if hot.isEmpty():       # by exact counts no key has more rows than a block holds
+        return df.withColumns({"_hot": F.lit(False), "_blk": F.lit(0).cast("bigint")})
     starts = _starts(df.select(key, "_us").join(F.broadcast(hot), F.col(key) == F.col("_hk")).select("_hk", "_us", "_half"))
     starts = starts.groupBy("_hk").agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
     j = df.join(F.broadcast(starts), F.col(key) == F.col("_hk"), "left")
