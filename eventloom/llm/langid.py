@@ -28,7 +28,7 @@ UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Labels that a model may have; more are refused, as each takes a column of the tables.
 MAX_LANGUAGES = 1000
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 STEP_DOWN = math.log(0.4)
 
 
@@ -81,7 +81,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int = 200_000, max_grams: int = 300_000) -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int = 80_000, max_grams: int = 120_000) -> Model:
     """A model of ``text`` and ``lang`` over the rows for which ``learn`` holds."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
