@@ -71,8 +71,8 @@ def _names(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, node`` (the set's hash), ``sig``."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """``doc_id, x`` (the text's hash), ``n_shingles, node`` (the set's hash), ``sig``."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def signed(batches):
         for b in batches:
@@ -84,9 +84,9 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 some = np.flatnonzero(np.diff(begin))
                 for i, row in zip(some.tolist(), signatures(s, np.append(begin[:-1][some], len(s)))):
                     sig[lo + i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(node), pa.array(sig, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), pa.array(n), pa.array(node), pa.array(sig, pa.binary())], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signed, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("x"), "text").mapInArrow(signed, schema)
 
 
 def least_matches(similarity: float, miss: float) -> list[tuple[int, int]]:
@@ -139,7 +139,7 @@ def _sets_of(texts: DataFrame, k: int) -> DataFrame:
             node = b.column("node").to_numpy()
             for lo, hi in slices(at):
                 s, begin = _sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)
-                own = np.flatnonzero(_names(s, begin) == node[lo:hi])     # a doc_id may stand for several texts
+                own = np.flatnonzero(_names(s, begin) == node[lo:hi])     # hashes of two texts may be equal
                 full = pa.array([s[begin[i]:begin[i + 1]].tobytes() for i in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][own]), b.column("sig").slice(lo, hi - lo).take(pa.array(own)), full], names=["node", "sig", "set"])
 
@@ -258,14 +258,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(_signed(docs, k))
     some = signed.where("n_shingles > 0")
-    classes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "x"))
+    classes = some.groupBy("node").agg(first.alias("_f"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select("node", F.col("_f.doc_id").alias("first_id"), F.col("_f.x").alias("x"), "n", "sig"))
     bands = classes.select("node", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("_i", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("bucket")
     members = materialize(bands.select("node", "n", "bucket").join(shared, "bucket", "left_semi"))
     # what comparing needs, for classes that share a bucket only: their texts move once
     shares = members.select("node").distinct()
-    of = classes.join(shares, "node", "left_semi").select("node", "sig", F.col("first_id").alias("doc_id"))
-    known = materialize(_sets_of(docs.join(of, docs["doc_id"].eqNullSafe(of["doc_id"])).select(of["node"], of["sig"], docs["text"]), k).dropDuplicates(["node"]))
+    # by id and text, as many rows may have one id or none
+    of = classes.join(shares, "node", "left_semi").select("node", "sig", F.col("first_id").alias("_id"), F.col("x").alias("_x"))
+    texts = docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_x"))).select("node", "sig", "text")
+    known = materialize(_sets_of(texts, k).dropDuplicates(["node"]))
     # first each class with one pivot: of its buckets' first classes by a hash, the one that comes first
     order = F.struct(F.xxhash64("node").alias("_o"), "node", "n")
     pivots = members.groupBy("bucket").agg(F.min(order).alias("_p"))

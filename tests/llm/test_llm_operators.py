@@ -242,3 +242,14 @@ def test_cascade_is_exact_over_its_universe(spark):
     all_ = np.arange(0, 3000, dtype=np.int64) * 2654435761
     levels = urlfilter.cascade(spark.createDataFrame([(int(k),) for k in all_], "key long"), keys)
     assert (urlfilter.listed(levels, all_) == np.isin(all_, keys)).all()
+
+
+def test_near_copies_without_ids_meet_by_text(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(None, t) for t in base] + [(None, t + " end") for t in base] + [(7, base[0]), (7, "another text of six words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.groups(docs, k=4).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (None, 7), (7, 7)}
+    assert sum(r["component_id"] == 7 for r in got) == 4
+    plan = neardup.groups(docs, k=4)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
