@@ -8,8 +8,6 @@ from eventloom.functions.quantiles import exact_quantiles
 from eventloom.model import attach_row, between
 
 TOOL_CALL, TURN, LABEL = "agent_tool_call", "agent_turn", "agent_label"
-# fixed values: sample sizes
-MAX_TURNS, MAX_TEXT, MAX_SAMPLE = 40, 500, 100
 
 
 def _is_error(d: DataFrame) -> Column:
@@ -71,20 +69,22 @@ def conversations(df: DataFrame, start=None, end=None, block_rows: int | None =
                     F.when(F.col("_saw") > 0, F.round(F.col("_res") / n, 6)).alias("resolution_rate"))
 
 
-def sample(df: DataFrame, start=None, end=None, limit: int = 20) -> DataFrame:
-    """The newest conversations, their first 40 turns oldest first, long text cut for reading."""
+def sample(df: DataFrame, start=None, end=None, limit: int = 20, turns: int | None = 40, chars: int | None = 500) -> DataFrame:
+    """The newest conversations with their first ``turns`` turns, oldest first, and the first ``chars`` characters of each (None: all)."""
     t = _turns(df, start, end)
     c = t.groupBy("conversation_id").agg(F.count("*").alias("turn_count"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
-    c = c.orderBy(F.desc("end"), "conversation_id").limit(min(limit, MAX_SAMPLE))
+    c = c.orderBy(F.desc("end"), "conversation_id").limit(limit)
     lab = df.where(F.col("name") == LABEL)
     lab = lab.select(F.coalesce(v.text(lab, "conversation_id"), F.lit("")).alias("conversation_id")).where("conversation_id <> ''").distinct()
     rn = F.row_number().over(W.partitionBy("conversation_id").orderBy("timestamp", "id"))
-    kept = t.join(c.select("conversation_id"), "conversation_id", "left_semi").withColumn("_rn", rn).where(F.col("_rn") <= MAX_TURNS)
-    said = F.concat("role", F.lit(": "), F.coalesce(F.substring("text", 1, MAX_TEXT), F.lit("")))
+    kept = t.join(c.select("conversation_id"), "conversation_id", "left_semi").withColumn("_rn", rn)
+    if turns is not None:
+        kept = kept.where(F.col("_rn") <= turns)
+    said = F.concat("role", F.lit(": "), F.coalesce(F.col("text") if chars is None else F.substring("text", 1, chars), F.lit("")))
     lines = kept.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("_rn", said.alias("line")))).alias("_l"),
                                                 F.count(F.when(F.coalesce("text", F.lit("")) != "", 1)).alias("with_text"))
     j = c.join(lines, "conversation_id").join(lab.withColumn("_lab", F.lit(True)), "conversation_id", "left")
-    return j.select("conversation_id", "turn_count", F.greatest(F.col("turn_count") - MAX_TURNS, F.lit(0)).alias("turns_omitted"),
+    return j.select("conversation_id", "turn_count", (F.lit(0).cast("bigint") if turns is None else F.greatest(F.col("turn_count") - turns, F.lit(0))).alias("turns_omitted"),
                     F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "with_text",
                     F.coalesce("_lab", F.lit(False)).alias("labeled"),
                     F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("transcript"))

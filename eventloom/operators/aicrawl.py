@@ -112,11 +112,12 @@ def by_operator(df: DataFrame, days: int, asof: str, rows: DataFrame | None = No
                                      F.unix_micros(F.max("timestamp")).alias("last_us"))
 
 
-def by_path(df: DataFrame, days: int, asof: str) -> DataFrame:
+def by_path(df: DataFrame, days: int, asof: str, limit: int | None = 25) -> DataFrame:
+    """The ``limit`` (None: all) most crawled paths."""
     c = crawls(df, days, asof).where("not probe")
     g = c.groupBy("path").agg(F.count("*").alias("hits"), F.count_distinct("crawler").alias("crawlers"),
                               F.count(F.when(F.col("bad"), 1)).alias("errors"), F.unix_micros(F.max("timestamp")).alias("last_us"))
-    return g.orderBy(F.desc("hits"), "path").limit(MAX_ROWS)
+    return g if limit is None else g.orderBy(F.desc("hits"), "path").limit(limit)
 
 
 def daily(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -> DataFrame:

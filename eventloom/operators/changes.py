@@ -146,7 +146,7 @@ def revenue_per_person(df: DataFrame, asof: str, days: int = 30) -> DataFrame:
 # fixed values: dimensions to blame in checking order, and other tools' names for them
 CAUSE_DIMS = {"browser": ("$browser",), "os": ("$os",), "device": ("$device_type", "$device"), "path": ("$pathname", "$current_url"),
               "country": ("$geoip_country_name", "$geoip_country_code"), "referrer": ("$referring_domain", "$referrer")}
-MAX_DISCOVERED, COVERAGE, MIN_SHARE, MAX_SPAN = 4, 0.5, 0.55, 7
+COVERAGE, MIN_SHARE, MAX_SPAN = 0.5, 0.55, 7
 
 
 def dimension(df: DataFrame, dim: str) -> Column:
@@ -154,11 +154,11 @@ def dimension(df: DataFrame, dim: str) -> Column:
     return F.coalesce(*[F.when(v.text(df, n) != "", v.text(df, n)) for n in names])
 
 
-def concentration(df: DataFrame, found: DataFrame) -> DataFrame:
+def concentration(df: DataFrame, found: DataFrame, discovered: int = 4) -> DataFrame:
     """(name, day, dim, value, share): the first dimension whose worst value carries most of the loss.
 
     Equal windows either side of the day; built-in dimensions first, then the event's own text
-    properties by coverage.
+    properties by coverage, the first ``discovered`` of them.
     """
     d = drop_sampler(df)
     f = found.select("name", "day")
@@ -177,7 +177,7 @@ def concentration(df: DataFrame, found: DataFrame) -> DataFrame:
     own = own.select("name", "day", "us", F.col("key").alias("dim"), "value")
     total = rows.groupBy("name", "day").agg(F.count("*").alias("rows"))
     cover = own.groupBy("name", "day", "dim").agg(F.count("*").alias("n")).join(total, ["name", "day"]).where(F.col("n") >= F.col("rows") * COVERAGE)
-    pick = cover.withColumn("_r", F.row_number().over(W.partitionBy("name", "day").orderBy(F.desc("n"), "dim"))).where(F.col("_r") <= MAX_DISCOVERED)
+    pick = cover.withColumn("_r", F.row_number().over(W.partitionBy("name", "day").orderBy(F.desc("n"), "dim"))).where(F.col("_r") <= discovered)
     own = own.join(pick.select("name", "day", "dim", (F.col("_r") + len(CAUSE_DIMS)).alias("prio")), ["name", "day", "dim"])
     both = b.select("name", "day", "prio", "dim", "value", "us").unionByName(own.select("name", "day", "prio", "dim", "value", "us"))
     c = both.groupBy("name", "day", "prio", "dim", "value").agg(F.sum(F.when(F.col("us") < at, 1).otherwise(-1)).alias("lost"))

@@ -15,35 +15,39 @@ NORMALISE = ((r"https?://[^\s'\"]+", "<url>"), (r"\b[0-9a-fA-F-]{32,}\b", "<id>"
 MIN_COMPARE = 20
 
 
-def normalise(msg: Column) -> Column:
+def normalise(msg: Column, chars: int | None = None) -> Column:
+    """The message without what varies; ``chars`` cuts it, so that messages with a common beginning are one."""
     s = F.trim(F.coalesce(msg, F.lit("")))
     for pattern, repl in NORMALISE:
         s = F.regexp_replace(s, pattern, repl)
-    return F.substring(F.trim(s), 1, 200)
+    return F.trim(s) if chars is None else F.substring(F.trim(s), 1, chars)
 
 
-def _exceptions(df: DataFrame) -> DataFrame:
+def _exceptions(df: DataFrame, chars: int | None = None) -> DataFrame:
     d = df.where(F.col("name") == EXCEPTION)
     txt = lambda k: F.coalesce(v.text(d, k), F.lit(""))
-    e = d.select("id", "timestamp", "distinct_id", normalise(v.text(d, "message")).alias("title"), txt("source").alias("source"),
+    e = d.select("id", "timestamp", "distinct_id", normalise(v.text(d, "message"), chars).alias("title"), txt("source").alias("source"),
                  F.coalesce(v.num_strict(d, "lineno"), F.lit(0)).cast("bigint").alias("line"), txt("path").alias("path"))
     base = F.regexp_replace("source", r"^.*[/\\](?=.)", "")
     key = F.concat_ws("|", "title", F.when(base != "", base), F.when(F.col("line") > 0, F.col("line").cast("string")))
     return e.withColumn("fingerprint", F.substring(F.md5(key), 1, 16))
 
 
-def groups(df: DataFrame, start: str, end: str, prior_start: str) -> DataFrame:
-    """(fingerprint, title, source, line, count, users, paths, first, last, new) over [start, end)."""
+def groups(df: DataFrame, start: str, end: str, prior_start: str, paths: int = 5, chars: int | None = None) -> DataFrame:
+    """(fingerprint, title, source, line, count, users, paths, first, last, new) over [start, end).
+
+    ``paths``: how many of the commonest paths are named; ``chars``: group by so many characters of a message (None: all).
+    """
     t = F.col("timestamp")
     inside = (t >= lit_ts(start)) & (t < lit_ts(end))
-    e = _exceptions(df.where((t >= lit_ts(prior_start)) & (t < lit_ts(end))))
+    e = _exceptions(df.where((t >= lit_ts(prior_start)) & (t < lit_ts(end))), chars)
     g = e.groupBy("fingerprint").agg(
         F.count(F.when(inside, 1)).alias("count"), F.count_distinct(F.when(inside, F.col("distinct_id"))).alias("users"),
         F.count(F.when(~inside, 1)).alias("_before"), F.min(F.when(inside, t)).alias("first"), F.max(F.when(inside, t)).alias("last"),
         F.min(F.when(inside, F.struct("timestamp", "id", "title", "source", "line"))).alias("_f")).where("count > 0")
     per_path = e.where(inside & (F.col("path") != "")).groupBy("fingerprint", "path").agg(F.count("*").alias("n"))
     rn = F.row_number().over(W.partitionBy("fingerprint").orderBy(F.desc("n"), "path"))
-    top = per_path.withColumn("_rn", rn).where("_rn <= 5").groupBy("fingerprint").agg(
+    top = per_path.withColumn("_rn", rn).where(F.col("_rn") <= paths).groupBy("fingerprint").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "path"))), lambda x: x["path"]), ",").alias("paths"))
     j = g.join(top, "fingerprint", "left")
     return j.select("fingerprint", "_f.title", "_f.source", "_f.line", "count", "users", F.coalesce("paths", F.lit("")).alias("paths"),

@@ -71,15 +71,15 @@ def attribution(df: DataFrame, goals, asof: str, days: int = 30, limit: int = 10
     return c.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_rn")
 
 
-# fixed values: heatmap grid limits and viewport classes
-MAX_DOC_Y, MAX_COLS, DEFAULT_COLS, DEFAULT_ROW_PX, TOP_TARGETS = 50_000, 200, 40, 20, 12
+# fixed values: heatmap grid
+DEFAULT_COLS, DEFAULT_ROW_PX = 40, 20
 
 
 def _viewport(vw: Column) -> Column:
     return F.when(vw < 768, "mobile").when(vw <= 1024, "tablet").otherwise("desktop")
 
 
-def _positioned(df: DataFrame, path: str, viewport: str, cols: int, row_px: int) -> DataFrame:
+def _positioned(df: DataFrame, path: str, viewport: str, cols: int, row_px: int, max_y: int | None = 50_000) -> DataFrame:
     d = df.where((F.col("name") == "$click") & (v.text(df, "path") == path))
     num = lambda k: F.coalesce(v.num_strict(d, k), F.lit(0)).cast("bigint")
     txt = lambda k: F.coalesce(v.text(d, k), F.lit(""))
@@ -88,19 +88,22 @@ def _positioned(df: DataFrame, path: str, viewport: str, cols: int, row_px: int)
     d = d.select(num("vw").alias("vw"), num("x").alias("x"), num("y").alias("y"), num("sy").alias("sy"), lbl.alias("label")).where("vw > 0")
     if viewport.lower() in ("mobile", "tablet", "desktop"):
         d = d.where(_viewport(F.col("vw")) == viewport.lower())
-    cols = min(cols if cols > 0 else DEFAULT_COLS, MAX_COLS)
+    cols = cols if cols > 0 else DEFAULT_COLS
     row_px = row_px if row_px > 0 else DEFAULT_ROW_PX
-    y = F.least(F.greatest(F.col("y") + F.col("sy"), F.lit(0)), F.lit(MAX_DOC_Y))
+    y = F.greatest(F.col("y") + F.col("sy"), F.lit(0))
+    y = y if max_y is None else F.least(y, F.lit(max_y))
     col = F.least(F.greatest(F.expr(f"(x * {cols}) div vw"), F.lit(0)), F.lit(cols - 1))
     return d.select(F.floor(y / row_px).alias("row"), col.cast("bigint").alias("col"), "label")
 
 
-def heatmap(df: DataFrame, path: str, viewport: str = "all", cols: int = 0, row_px: int = 0) -> DataFrame:
-    g = _positioned(df, path, viewport, cols, row_px).groupBy("row", "col").agg(F.count("*").alias("n"))
+def heatmap(df: DataFrame, path: str, viewport: str = "all", cols: int = 0, row_px: int = 0, max_y: int | None = 50_000) -> DataFrame:
+    """Clicks per cell; those below ``max_y`` pixels (None: no bound) count in its last row."""
+    g = _positioned(df, path, viewport, cols, row_px, max_y).groupBy("row", "col").agg(F.count("*").alias("n"))
     t = g.agg(F.sum("n").alias("clicks"), F.max("n").alias("hottest"), F.max("row").alias("max_row"))
     return attach_row(g, t)
 
 
-def heatmap_targets(df: DataFrame, path: str, viewport: str = "all") -> DataFrame:
+def heatmap_targets(df: DataFrame, path: str, viewport: str = "all", limit: int | None = 12) -> DataFrame:
+    """The ``limit`` (None: all) most clicked targets."""
     g = _positioned(df, path, viewport, 0, 0).where("label <> ''").groupBy("label").agg(F.count("*").alias("n"))
-    return g.orderBy(F.desc("n"), "label").limit(TOP_TARGETS)
+    return g if limit is None else g.orderBy(F.desc("n"), "label").limit(limit)

@@ -22,7 +22,7 @@ def top_events(df: DataFrame, limit: int = 6) -> DataFrame:
     return df.groupBy("name").agg(F.count("*").alias("volume")).orderBy(F.desc("volume"), "name").limit(limit)
 
 
-def _severity(rose: Column, name: Column) -> Column:
+def severity(rose: Column, name: Column) -> Column:
     """A fall warns, except for events that only record a user failing at something."""
     return F.when(rose == name.isin(*FAILURE_EVENTS), "warn").otherwise("info")
 
@@ -36,7 +36,12 @@ def anomaly_candidates(df: DataFrame, asof: str) -> DataFrame:
     back = F.least(F.floor((F.unix_micros(recent) - F.unix_micros(t)) / 86_400_000_000), F.lit(BASE_DAYS - 1))
     s = w.groupBy("name").agg(F.count(F.when(t >= recent, 1)).alias("last24"), F.count(F.when(t < recent, 1)).alias("base"),
                               F.count_distinct(F.when(t < recent, back)).alias("observed"))
-    j = s.join(F.broadcast(top_events(d)), "name").where(F.col("observed") >= MIN_BASE_DAYS)
+    return swings(s.join(F.broadcast(top_events(d)), "name"))
+
+
+def swings(s: DataFrame) -> DataFrame:
+    """Adds ``daily`` and ``dev`` to events with ``last24``, ``base`` and ``observed`` that have enough of a baseline."""
+    j = s.where(F.col("observed") >= MIN_BASE_DAYS)
     j = j.withColumn("daily", F.col("base") / F.col("observed")).where((F.col("base") >= MIN_SAMPLE) & (F.col("daily") >= MIN_PER_DAY))
     return j.withColumn("dev", (F.col("last24") - F.col("daily")) / F.col("daily"))
 
@@ -46,7 +51,7 @@ def anomaly(df: DataFrame, asof: str) -> DataFrame:
     c = anomaly_candidates(df, asof).where(F.abs("dev") >= SWING)
     best = c.orderBy(F.desc(F.abs("dev")), F.desc("volume"), "name").limit(1)
     pct = F.round(F.abs(F.col("dev")) * 100, 0).cast("bigint")
-    return best.select(F.col("name").alias("metric"), _severity(F.col("dev") > 0, F.col("name")).alias("severity"),
+    return best.select(F.col("name").alias("metric"), severity(F.col("dev") > 0, F.col("name")).alias("severity"),
                        F.when(F.col("dev") > 0, pct).otherwise(-pct).alias("rate"), F.col("base").alias("n"), "last24", F.round("daily", 6).alias("daily"))
 
 
@@ -66,7 +71,7 @@ def week_over_week(df: DataFrame, asof: str, head: str = "signup") -> DataFrame:
     r = attach_row(d.where((age >= 0) & (age < 2 * week)), pick).where("name = _head")
     a = r.groupBy("name").agg(F.count(F.when(age < week, 1)).alias("current"), F.count(F.when(age >= week, 1)).alias("previous")).where(F.col("previous") >= MIN_SAMPLE)
     change = F.round((F.col("current") - F.col("previous")) / F.col("previous") * 100, 0).cast("bigint")
-    sev = F.when((_severity(change > 0, F.col("name")) == "warn") & (F.abs(change) >= WEEK_SWING), "warn").otherwise("info")
+    sev = F.when((severity(change > 0, F.col("name")) == "warn") & (F.abs(change) >= WEEK_SWING), "warn").otherwise("info")
     return a.select(F.col("name").alias("metric"), sev.alias("severity"), change.alias("rate"), F.col("previous").alias("n"), "current")
 
 
@@ -95,12 +100,14 @@ def worst_dropoff(df: DataFrame, steps, window_s: float = WEEK_S, order: str = "
 # fixed values: properties tried first, acquisition attributes read by first touch, blame ratio, coverage, values
 BLAME_PROPS = ("source", "plan", "platform", "device", "channel", "country", "browser")
 BLAME_TOUCH = ("source", "channel", "device", "country", "browser", "platform", "os", "referrer")
-BLAME_RATIO, BLAME_COVER, BLAME_VALUES = 0.7, 0.6, 10
+BLAME_RATIO, BLAME_COVER = 0.7, 0.6
 
 
-def segment_blame(df: DataFrame, steps, from_idx: int, window_s: float = WEEK_S) -> DataFrame:
+def segment_blame(df: DataFrame, steps, from_idx: int, window_s: float = WEEK_S, most_values: int | None = 10) -> DataFrame:
     """The property value converting at under 70 percent of the overall rate through one funnel step.
 
+    A property is considered if it has two to ``most_values`` (None: any number of) values on the step.
+
     The funnel runs once; every usable property is an extra key on its per-person outcomes.
     """
     d = drop_sampler(df)
@@ -117,7 +124,7 @@ def segment_blame(df: DataFrame, steps, from_idx: int, window_s: float = WEEK_S)
     stamped = per_user.join(touch.where(F.col("key").isin(*BLAME_TOUCH)), "distinct_id").groupBy("key", "value").agg(F.sum("w").alias("n"))
     seen = native.groupBy("key", "value").agg(F.count("*").alias("n")).unionByName(stamped)
     use = attach_row(seen.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k")), total)
-    use = use.where((F.col("n") * 10 >= F.col("_all") * BLAME_COVER * 10) & F.col("k").between(2, BLAME_VALUES)).select("key")
+    use = use.where((F.col("n") * 10 >= F.col("_all") * BLAME_COVER * 10) & (F.col("k") >= 2) & (F.lit(True) if most_values is None else F.col("k") <= most_values)).select("key")
     reach = lambda i: F.count(F.when(F.col("reached") > i, 1))
     g = touch.join(use, "key", "left_semi").join(people, "distinct_id").groupBy("key", "value").agg(reach(from_idx).alias("entered"), reach(from_idx + 1).alias("done"))
     base = people.agg(reach(from_idx).alias("_e"), reach(from_idx + 1).alias("_d"))

@@ -30,15 +30,20 @@ def _windowed(df: DataFrame, alerts: DataFrame, asof: str) -> DataFrame:
 
 
 def evaluate_alerts(df: DataFrame, alerts: DataFrame, asof: str) -> DataFrame:
-    """(id, kind, value, met) for count, relative and ratio alerts."""
+    """(id, kind, value, met, change_pct) for count, relative and ratio alerts."""
     w = _windowed(df, alerts.where(F.col("kind").isin("count", "relative", "ratio")), asof)
+    return judged_alerts(w).select("id", "kind", "value", "met", "change_pct")
+
+
+def judged_alerts(w: DataFrame) -> DataFrame:
+    """Adds ``value``, ``met`` and ``change_pct`` to alerts with their counts ``cur``, ``prev`` and ``den``."""
     gt, th = F.col("op") == "gt", F.col("threshold")
     change = F.when(F.col("prev") > 0, (F.col("cur") - F.col("prev")) / F.col("prev") * 100)
     share = F.when(F.col("den") > 0, F.col("cur") / F.col("den") * 100)
     beyond = lambda x: F.coalesce(F.when(gt, x > th).when(F.col("op") == "lt", x < th), F.lit(False))
     rel = F.coalesce(F.when(gt, change >= th).when(F.col("op") == "lt", change <= -th), F.lit(False))
     kind = F.col("kind")
-    return w.select("id", "kind", F.round(F.when(kind == "ratio", F.coalesce(share, F.lit(0.0))).otherwise(F.col("cur").cast("double")), 6).alias("value"),
+    return w.select("*", F.round(F.when(kind == "ratio", F.coalesce(share, F.lit(0.0))).otherwise(F.col("cur").cast("double")), 6).alias("value"),
                     F.when(kind == "relative", rel).when(kind == "ratio", beyond(share)).otherwise(beyond(F.col("cur").cast("double"))).alias("met"),
                     F.round(change, 6).alias("change_pct"))
 
@@ -127,15 +132,15 @@ def claim_yield(prs: DataFrame) -> DataFrame:
 
 
 # ---- receipts --------------------------------------------------------------------------------
-REVERTED, PR_OPENED, MAX_ACTS = "$experiment_reverted", "$tracking_pr_opened", 10
+REVERTED, PR_OPENED = "$experiment_reverted", "$tracking_pr_opened"
 
 
-def action_log(df: DataFrame, asof: str, days: int = 30) -> DataFrame:
-    """Newest receipts of automatic acts: reverts naming a flag, tracking fixes with a link."""
+def action_log(df: DataFrame, asof: str, days: int = 30, limit: int | None = 10) -> DataFrame:
+    """The ``limit`` (None: all) newest receipts of automatic acts: reverts naming a flag, tracking fixes with a link."""
     d = df.where(F.col("name").isin(REVERTED, PR_OPENED) & (F.col("timestamp") >= lit_ts(asof) - F.expr(f"interval {days} days")))
     txt = lambda k: F.trim(F.coalesce(v.text(d, k), F.lit("")))
     rev = F.col("name") == REVERTED
     ok = F.when(rev, txt("flag") != "").otherwise((txt("event") != "") & txt("pr_url").rlike("^https?://"))
     rows = d.where(ok).select("id", F.when(rev, "guardrail_revert").otherwise("tracking_pr").alias("kind"), F.when(rev, txt("flag")).otherwise(txt("event")).alias("subject"),
                               F.when(rev, txt("guardrail")).otherwise(txt("pr_url")).alias("detail"), F.unix_micros("timestamp").alias("us"))
-    return rows.orderBy(F.desc("us"), "id").limit(MAX_ACTS)
+    return rows if limit is None else rows.orderBy(F.desc("us"), "id").limit(limit)

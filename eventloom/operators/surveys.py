@@ -8,7 +8,6 @@ from eventloom.model import lit_ts
 from eventloom.operators.search import round1
 
 SHOWN, RESPONSE = "$survey_shown", "$survey_response"
-MAX_RECENT = 20
 
 
 def _rows(df: DataFrame, asof: str, days: int) -> DataFrame:
@@ -38,8 +37,8 @@ def choices(df: DataFrame, asof: str, days: int = 0) -> DataFrame:
     return _rows(df, asof, days).where("resp and answer <> ''").groupBy("survey", "answer").agg(F.count("*").alias("n"))
 
 
-def recent_texts(df: DataFrame, asof: str, days: int = 0) -> DataFrame:
-    """The newest 20 written answers per survey."""
+def recent_texts(df: DataFrame, asof: str, days: int = 0, most: int = 20) -> DataFrame:
+    """The ``most`` newest written answers per survey."""
     rn = F.row_number().over(W.partitionBy("survey").orderBy(F.desc("timestamp"), F.desc("id")))
     r = _rows(df, asof, days).where("resp and answer <> ''").withColumn("rank", rn.cast("bigint"))
-    return r.where(F.col("rank") <= MAX_RECENT).select("survey", "rank", "answer")
+    return r.where(F.col("rank") <= most).select("survey", "rank", "answer")

@@ -12,7 +12,7 @@ from eventloom.operators.filters import property_keys
 from eventloom.operators.rollups import is_user_day, user_days
 from eventloom.operators.scope import drop_sampler
 
-# fixed values: most buckets shown per grain, recent end kept
+# fixed values: most buckets shown per grain, recent end kept, unless ``most`` says otherwise (an empty mapping: all)
 MAX_BUCKETS = {"day": 4201, "hour": 744, "week": 4000, "month": 4000}
 _STEP = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month"}
 _FMT = {"hour": "yyyy-MM-dd HH:mm", "day": "yyyy-MM-dd", "week": "yyyy-MM-dd", "month": "yyyy-MM-dd"}
@@ -23,16 +23,17 @@ def select_events(df: DataFrame, event: str = "", start=None, end=None) -> DataF
     return d.where(F.col("name") == event) if event else d
 
 
-def calendar(spark, counts: DataFrame, grain: str, start=None, end=None) -> DataFrame:
-    """Every bucket of the window; open ends come from the data; only the recent end is kept when capped."""
+def calendar(spark, counts: DataFrame, grain: str, start=None, end=None, most: dict = MAX_BUCKETS) -> DataFrame:
+    """Every bucket of the window; open ends come from the data; only the recent end is kept when ``most`` has the grain."""
     seen = spark.range(1) if start and end else counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
     lo = F.date_trunc(grain, lit_ts(start)) if start else F.col("a")
     hi = F.date_trunc(grain, lit_ts(end) - F.expr("interval 1 microsecond")) if end else F.col("b")
     ends = seen.select(lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
     step = F.expr(f"interval {_STEP[grain]}")
     all_b = F.sequence("lo", "hi", step)
-    cap = MAX_BUCKETS[grain]
-    return ends.select(F.explode(F.slice(all_b, F.greatest(F.lit(1), F.size(all_b) - cap + 1), F.lit(cap))).alias("bucket"))
+    if grain in most:
+        all_b = F.slice(all_b, F.greatest(F.lit(1), F.size(all_b) - most[grain] + 1), F.lit(most[grain]))
+    return ends.select(F.explode(all_b).alias("bucket"))
 
 
 def _bucket(grain: str) -> Column:
@@ -43,29 +44,29 @@ def label_bucket(grain: str) -> Column:
     return F.date_format("bucket", _FMT[grain]).alias("bucket")
 
 
-def trend(df: DataFrame, event: str = "", start=None, end=None, unique: bool = False, grain: str = "day") -> DataFrame:
+def trend(df: DataFrame, event: str = "", start=None, end=None, unique: bool = False, grain: str = "day", most: dict = MAX_BUCKETS) -> DataFrame:
     """(bucket, n, total): zero-filled; the total covers the whole window and dedupes people over it."""
     d = select_events(df, event, start, end)
     n = F.count_distinct("distinct_id") if unique else F.count("*")
     counts = d.groupBy(_bucket(grain).alias("bucket")).agg(n.alias("n"))
     total = (d.agg(F.count_distinct("distinct_id").alias("total")) if unique
              else counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
-    cal = calendar(df.sparkSession, counts, grain, start, end)
+    cal = calendar(df.sparkSession, counts, grain, start, end, most)
     out = attach_row(cal.join(counts, "bucket", "left"), total)
     return out.select(label_bucket(grain), F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
-def trend_multi(df: DataFrame, events, start, end, grain: str = "day") -> DataFrame:
+def trend_multi(df: DataFrame, events, start, end, grain: str = "day", most: dict = MAX_BUCKETS) -> DataFrame:
     """Any number of events side by side from one scan."""
     events = list(dict.fromkeys(events))
     d = between(df, start, end).where(F.col("name").isin(*events))
     counts = d.groupBy(_bucket(grain).alias("bucket"), "name").agg(F.count("*").alias("n"))
-    cal = calendar(df.sparkSession, counts, grain, start, end).withColumn("name", F.explode(F.array(*[F.lit(e) for e in events])))
+    cal = calendar(df.sparkSession, counts, grain, start, end, most).withColumn("name", F.explode(F.array(*[F.lit(e) for e in events])))
     out = cal.join(counts, ["bucket", "name"], "left")
     return out.select(label_bucket(grain), "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def trend_breakdown(df: DataFrame, event: str, prop: str, start=None, end=None, unique: bool = False) -> DataFrame:
+def trend_breakdown(df: DataFrame, event: str, prop: str, start=None, end=None, unique: bool = False, most: dict = MAX_BUCKETS) -> DataFrame:
     """One daily series per property value on one shared span."""
     d = select_events(df, event, start, end)
     d = d.select("distinct_id", _bucket("day").alias("bucket"), v.label(d, prop).alias("value"))
@@ -73,8 +74,8 @@ def trend_breakdown(df: DataFrame, event: str, prop: str, start=None, end=None,
     counts = d.groupBy("bucket", "value").agg(n.alias("n"))
     totals = (d if unique else counts).groupBy("value").agg(
         (F.count_distinct("distinct_id") if unique else F.sum("n")).alias("total"))
-    cal = calendar(df.sparkSession, counts, "day", start, end)
-    days = cal.agg(F.array_sort(F.collect_list("bucket")).alias("days"))      # at most 4201 entries
+    cal = calendar(df.sparkSession, counts, "day", start, end, most)
+    days = cal.agg(F.array_sort(F.collect_list("bucket")).alias("days"))      # one entry per day
     grid = attach_row(totals, days).select("value", "total", F.explode("days").alias("bucket"))
     out = grid.join(counts, ["bucket", "value"], "left")
     return out.select("value", label_bucket("day"), F.coalesce("n", F.lit(0)).alias("n"), "total")
@@ -104,13 +105,13 @@ def _tidy() -> list[Column]:
     return [F.round(F.coalesce(F.col(m).cast("double"), F.lit(0.0)), 6).alias(m) for m in MEASURES]
 
 
-def measure(df: DataFrame, event: str, prop: str, start=None, end=None) -> DataFrame:
+def measure(df: DataFrame, event: str, prop: str, start=None, end=None, most: dict = MAX_BUCKETS) -> DataFrame:
     """Per day and for the whole window ('total'): n and every measure of a numeric property."""
     d = select_events(df, event, start, end)
     d = d.select(F.date_format(_bucket("day"), _FMT["day"]).alias("bucket"), v.num_lenient(d, prop).alias("x")).where("x is not null")
     m = _measures(d, "bucket", whole="total")
     seen = d.select(F.to_timestamp("bucket").alias("bucket"))
-    cal = calendar(df.sparkSession, seen, "day", start, end).select(label_bucket("day"))
+    cal = calendar(df.sparkSession, seen, "day", start, end, most).select(label_bucket("day"))
     all_rows = cal.unionByName(df.sparkSession.range(1).select(F.lit("total").alias("bucket")))
     return all_rows.join(m, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), *_tidy())
 
@@ -133,7 +134,7 @@ def property_breakdown(df: DataFrame, prop: str, event: str = "", start=None, en
         F.count("*").alias("events"), F.count_distinct("distinct_id").alias("visitors"))
 
 
-def active_users(df: DataFrame, window_days: int, start, end, event: str = "") -> DataFrame:
+def active_users(df: DataFrame, window_days: int, start, end, event: str = "", most: dict = MAX_BUCKETS) -> DataFrame:
     """Distinct people in the trailing N days, per day, from +1/-1 steps instead of an N-fold explode."""
     n = max(1, window_days)
     lo = F.unix_date(F.to_date(lit_ts(start))).cast("bigint")
@@ -146,7 +147,7 @@ def active_users(df: DataFrame, window_days: int, start, end, event: str = "") -
                     F.struct((F.col("day") + n).alias("day"), F.when(F.col("q") <= F.col("day") + (n - 1), 0).otherwise(-1).alias("s")))
     delta = ud.select(F.explode(steps).alias("x")).groupBy("x.day").agg(F.sum("x.s").alias("s"))
     cal = df.sparkSession.range(1).select(F.explode(F.sequence(
-        F.greatest(lo, hi - (MAX_BUCKETS["day"] - 1)) - (n - 1), hi)).alias("day"))
+        (F.greatest(lo, hi - (most["day"] - 1)) if "day" in most else lo) - (n - 1), hi)).alias("day"))
     run = W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     out = cal.join(delta, "day", "left").withColumn("n", F.sum(F.coalesce("s", F.lit(0))).over(run))
     return out.where(F.col("day") >= lo).select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("bucket"), "n")

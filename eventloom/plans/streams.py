@@ -47,13 +47,29 @@ def _(c):
     return jobs.run(jobs.sessions(live(c)), "sessions").select("distinct_id", US("start").alias("start_us"), US("last").alias("last_us"), "events")
 
 
-@plan("stream_alerts", """WITH d AS (SELECT name AS event, date_trunc('day',ts) AS b, count(*) AS n FROM pev GROUP BY 1,2) SELECT CASE event WHEN 'purchase' THEN 'a1' ELSE 'a2' END AS id, event, epoch_us(b) AS start_us, n FROM d
- WHERE b+INTERVAL 1 DAY <= (SELECT max(ts) FROM pev)-INTERVAL 1 HOUR AND ((event='purchase' AND n>70) OR (event='error' AND n<60))""")
+ALERTS = [("a1", "count", "purchase", None, "gt", 70.0, 24), ("a2", "count", "error", None, "lt", 60.0, 24), ("a3", "relative", "view", None, "gt", 5.0, 48),
+          ("a4", "ratio", "error", "view", "gt", 95.0, 12), ("a5", "count", "never", None, "lt", 1.0, 72), ("a6", "anomaly", None, None, None, None, 24)]
+
+
+@plan("stream_alerts", """WITH dp AS (SELECT us//3600000000 AS h, CASE WHEN name='purchase' AND ts>=TIMESTAMP '2024-01-28' AND k%4<>0 THEN 'late_purchase' ELSE name END AS name, us FROM pev),
+ hrs AS (SELECT h, name, count(*) AS n FROM dp WHERE (h+2)*3600000000 <= (SELECT max(us) FROM pev) GROUP BY 1,2), b AS (SELECT min(h) AS lo, max(h)+1 AS hi FROM hrs),
+ r(id,kind,event,against,op,threshold,w) AS (VALUES ('a1','count','purchase',NULL,'gt',70.0,24),('a2','count','error',NULL,'lt',60.0,24),('a3','relative','view',NULL,'gt',5.0,48),('a4','ratio','error','view','gt',95.0,12),('a5','count','never',NULL,'lt',1.0,72),('a6','anomaly',NULL,NULL,NULL,NULL,24)),
+ e AS (SELECT r.*, unnest(generate_series((lo//w+1)*w, (hi//w)*w, w)) AS e FROM r, b),
+ c AS (SELECT id, kind, event, op, threshold, w, e, coalesce(sum(n) FILTER (WHERE name=event AND h>=e-w),0) AS cur, coalesce(sum(n) FILTER (WHERE name=event AND h<e-w),0) AS prev, coalesce(sum(n) FILTER (WHERE name=against AND h>=e-w),0) AS den
+  FROM e LEFT JOIN hrs ON h>=e-2*w AND h<e WHERE kind<>'anomaly' GROUP BY ALL),
+ x AS (SELECT e, name, sum(n) AS volume, coalesce(sum(n) FILTER (WHERE h>=e-24),0) AS last24, sum(n) FILTER (WHERE h<e-24) AS base, count(DISTINCT (e-25-h)//24) FILTER (WHERE h<e-24) AS obs FROM e JOIN hrs ON h>=e-192 AND h<e WHERE kind='anomaly' GROUP BY 1,2),
+ t AS (SELECT *, (last24-base/obs)/(base/obs) AS dev FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY volume DESC, name) AS rn FROM x) WHERE rn<=6 AND obs>=5 AND base>=20 AND base/obs>=3),
+ z AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY abs(dev) DESC, volume DESC, name) AS best FROM t WHERE abs(dev)>=0.4)
+ SELECT id, kind, event, (e-w)*3600000000 AS start_us, CAST(cur AS BIGINT) AS n, CAST(CASE kind WHEN 'ratio' THEN round(cur/den*100,6) ELSE cur END AS DOUBLE) AS value FROM c
+ WHERE CASE kind WHEN 'count' THEN CASE op WHEN 'gt' THEN cur>threshold ELSE cur<threshold END WHEN 'relative' THEN prev>0 AND (cur-prev)/prev*100>=threshold ELSE den>0 AND cur/den*100>threshold END
+ UNION ALL SELECT 'a6','anomaly',NULL,(e-24)*3600000000,CAST(last24 AS BIGINT),CAST(sign(dev)*round(abs(dev)*100) AS DOUBLE) FROM z WHERE best=1 AND dev<0""")
 def _(c):
-    rules = c.spark.createDataFrame([("a1", "count", "purchase", None, "gt", 70.0, 24), ("a2", "count", "error", None, "lt", 60.0, 24)], ops.ALERT_DDL)
+    """All four kinds, windows of 12 to 72 hours, an event that never comes and a dip of purchases."""
+    n = F.col("name")
+    d = live(c).withColumn("name", F.when((n == "purchase") & (F.col("timestamp") >= "2024-01-28") & (F.col("k") % 4 != 0), "late_purchase").otherwise(n))
     path = jobs.work_dir(c.spark, "alerts")
-    jobs.alerts(live(c), rules, path)
-    return c.spark.read.schema("id string, event string, start timestamp, n bigint").parquet(f"{path}/data").select("id", "event", US("start").alias("start_us"), "n")
+    jobs.alerts(d, c.spark.createDataFrame(ALERTS, ops.ALERT_DDL), path)
+    return c.spark.read.schema(jobs.ALERT_OUT).parquet(f"{path}/data").select("id", "kind", "event", US("start").alias("start_us"), "n", "value")
 
 
 B1 = "(CAST(CAST('0x'||substr(sha256('variant:f1:'||distinct_id),1,15) AS BIGINT) AS DOUBLE)/1152921504606846976)"

@@ -9,12 +9,12 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.operators import experiments as ex
+from eventloom.operators import experiments as ex, insights as ins, ops
 from eventloom.operators.scope import drop_sampler
-from eventloom.session import checkpoint_dir
+from eventloom.session import checkpoint_dir, materialize
 from eventloom.sources import ingest as ig
 
 
@@ -63,17 +63,85 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return s.select("distinct_id", F.col("w.start").alias("start"), "last", "events", "rage_clicks")
 
 
-def alerts(events: DataFrame, rules: DataFrame, path: str, grain: str = "1 day", delay: str = "1 hour") -> None:
-    """Final window counts checked against the count rules; met rules are written once per micro-batch."""
-    counts = trend(events, grain, delay)
+ALERT_OUT = "id string, kind string, event string, start timestamp, n bigint, value double"
+_HOUR = 3_600_000_000
+
+
+def _window_counts(hours: DataFrame, rules: DataFrame, after: int, upto: int) -> DataFrame:
+    """Count, relative and ratio rules at each end of their windows in (after, upto], with ``cur``, ``prev`` and ``den``; silence is 0."""
+    w = F.col("window_hours")
+    multiple = lambda x: F.call_function("div", x, w) * w
+    ends = rules.withColumns({"_from": multiple(F.lit(after)) + w, "_to": multiple(F.lit(upto))}).where("_from <= _to")
+    ends = ends.withColumn("end", F.explode(F.sequence("_from", "_to", w.cast("bigint")))).drop("_from", "_to")
+    need = rules.select("id", "window_hours", "event", "against", F.explode(F.array_distinct(F.array("event", F.coalesce("against", "event")))).alias("name"))
+    j = hours.join(need, "name").withColumn("_end", multiple(F.col("h")) + w)
+    # an hour belongs to the window it lies in, and to the one after as its past
+    j = j.withColumn("end", F.explode(F.array("_end", F.col("_end") + w)))
+    cur, own, other = F.col("end") == F.col("_end"), F.col("name") == F.col("event"), F.col("name") == F.col("against")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    c = j.groupBy("id", "end").agg(total(cur & own).alias("cur"), total(~cur & own).alias("prev"), total(cur & other).alias("den"))
+    return ends.join(c, ["id", "end"], "left").fillna(0, ["cur", "prev", "den"])
+
+
+def _anomalies(hours: DataFrame, widths: list[int], after: int, upto: int) -> DataFrame:
+    """(window_hours, end, value, n): the sharpest swing of a day against the days before, where it is a warning."""
+    span = 24 * (ins.BASE_DAYS + 1)
+    j = hours.withColumn("window_hours", F.explode(F.array(*[F.lit(x) for x in widths])))
+    w = F.col("window_hours")
+    first = F.call_function("div", F.greatest(F.col("h"), F.lit(after)), w) * w + w
+    j = j.withColumns({"_from": first, "_to": F.call_function("div", F.least(F.col("h") + span, F.lit(upto)), w) * w}).where("_from <= _to")
+    j = j.withColumn("end", F.explode(F.sequence("_from", "_to", w.cast("bigint"))))
+    recent = F.col("h") >= F.col("end") - 24
+    s = j.groupBy("window_hours", "end", "name").agg(F.sum("n").alias("volume"), F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("last24"), F.sum(F.when(~recent, F.col("n"))).alias("base"),
+                                                    F.count_distinct(F.when(~recent, F.call_function("div", F.col("end") - 25 - F.col("h"), F.lit(24)))).alias("observed"))
+    busiest = F.row_number().over(W.partitionBy("window_hours", "end").orderBy(F.desc("volume"), "name"))
+    s = s.withColumn("_rn", busiest).where(F.col("_rn") <= 6)
+    s = ins.swings(s).where(F.abs("dev") >= ins.SWING)
+    best = s.groupBy("window_hours", "end").agg(F.min(F.struct((-F.abs("dev")).alias("d"), (-F.col("volume")).alias("v"), "name", "dev", "last24")).alias("b"))
+    rose = F.col("b.dev") > 0
+    pct = F.round(F.abs(F.col("b.dev")) * 100, 0)
+    return best.where(ins.severity(rose, F.col("b.name")) == "warn").select("window_hours", "end", F.when(rose, pct).otherwise(-pct).alias("value"), F.col("b.last24").alias("n"))
+
+
+def alerts(events: DataFrame, rules: DataFrame, path: str, delay: str = "1 hour") -> None:
+    """Rules of every kind (``ops.ALERT_DDL``) over their own windows; met ones are written to ``path/data``.
+
+    A rule is evaluated at every multiple of its ``window_hours`` since the epoch that the watermark has
+    passed, so results do not depend on how events fall into micro-batches.  An event that never came
+    counts 0 and can meet an ``lt`` rule.  An hour is known to be over once any event of it or a later
+    hour is final.  ``anomaly`` ranks events by their volume in the eight days it looks at.
+
+    Hourly counts are kept under ``path/hours``, one folder per micro-batch; a batch reads back only
+    the folders that reach into the longest window.  A replayed batch overwrites its own output.
+    """
+    widths = sorted(r[0] for r in rules.where("kind = 'anomaly'").select("window_hours").distinct().collect())    # bounded by the declared rules
+    longest = max([2 * (rules.agg(F.max("window_hours")).first()[0] or 0), 24 * (ins.BASE_DAYS + 1)])
+    counted = rules.where(F.col("kind") != "anomaly")
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        j = batch.join(rules, batch["name"] == rules["event"])
-        met = F.when(F.col("op") == "gt", F.col("n") > F.col("threshold")).otherwise(F.col("n") < F.col("threshold"))
-        # one folder per batch id: a replayed batch overwrites its own output
-        j.where(met).select("id", "event", "start", "n").write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
-
-    q = counts.writeStream.foreachBatch(check).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        fresh = batch.select(F.call_function("div", F.unix_micros("start"), F.lit(_HOUR)).alias("h"), "name", "n")
+        fresh.write.mode("overwrite").parquet(f"{path}/hours/batch={batch_id}")
+        own = spark.read.schema("h bigint, name string, n bigint").parquet(f"{path}/hours/batch={batch_id}")
+        own.agg(F.min("h").alias("lo"), (F.max("h") + 1).alias("hi")).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        marks = spark.read.schema("lo bigint, hi bigint, batch bigint").parquet(f"{path}/marks").where(F.col("lo").isNotNull() & (F.col("batch") <= batch_id))
+        before = F.col("batch") < batch_id
+        lo, after, upto = marks.agg(F.min("lo"), F.max(F.when(before, F.col("hi"))), F.max("hi")).first()
+        after = lo if after is None else after
+        out = spark.createDataFrame([], ALERT_OUT)
+        if upto is not None and upto > after:
+            # folders that reach into the longest window: at most one per micro-batch of that time
+            recent = [f"{path}/hours/batch={r[0]}" for r in marks.where(F.col("hi") > after - longest).select("batch").collect()]
+            hours = materialize(spark.read.schema("h bigint, name string, n bigint").parquet(*recent).where(F.col("h") >= after - longest))
+            start = lambda back: F.timestamp_micros((F.col("end") - back) * F.lit(_HOUR))
+            met = ops.judged_alerts(_window_counts(hours, counted, after, upto)).where("met")
+            out = out.unionByName(met.select("id", "kind", "event", start(F.col("window_hours")).alias("start"), F.col("cur").alias("n"), "value"))
+            if widths:
+                odd = rules.where("kind = 'anomaly'").join(_anomalies(hours, widths, after, upto), "window_hours")
+                out = out.unionByName(odd.select("id", "kind", "event", start(F.lit(24)).alias("start"), "n", "value"))
+        out.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+
+    q = trend(events, "1 hour", delay).writeStream.foreachBatch(check).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
