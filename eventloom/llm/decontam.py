@@ -14,6 +14,8 @@ operator's own (n_words, n_items, item_id, coverage, contaminated) replace those
 """
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,12 +53,18 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> int:
                     while t + k < len(text) and i + k < len(item) and free_t[t + k] and free_i[i + k] and text[t + k] == item[i + k]:
                         k += 1
                     found.append((-k, int(t), i))
-            for k, t, i in sorted(found):
-                if free_t[t:t - k].all() and free_i[i:i - k].all():
+            # a run whose end was covered meanwhile goes back with its free head; what is left of a covered head has its own entry
+            heapq.heapify(found)
+            while found:
+                k, t, i = heapq.heappop(found)
+                free = free_t[t:t - k] & free_i[i:i - k]
+                if free.all():
                     free_t[t:t - k] = free_i[i:i - k] = False
+                elif (k := int(free.argmin())) >= n:
+                    heapq.heappush(found, (-k, t, i))
         if n <= least or free_i.sum() < least:
             return int((~free_i).sum())
-        n = max(least, n // 2 if n > 2 * least else n - 1)
+        n = max(least, n // 2)
 
 
 def _hashes(w: np.ndarray, n: int) -> np.ndarray:

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,32 @@ def test_fingerprints_and_neighbours(spark, docs):
     assert long["near_edited"] > long["near_next"]
 
 
+def plain_tile(text, item, least):
+    """The longest common run of free words is marked again and again; of equal ones the first in the text, then in the item."""
+    free_t, free_i, least = [True] * len(text), [True] * len(item), min(least, len(item))
+    while True:
+        run, best = {}, (0, 0, 0)
+        for t in range(len(text) - 1, -1, -1):
+            for i in range(len(item) - 1, -1, -1):
+                run[t, i] = 1 + run.get((t + 1, i + 1), 0) if free_t[t] and free_i[i] and text[t] == item[i] else 0
+                best = min(best, (-run[t, i], t, i))
+        k, t, i = -best[0], *best[1:]
+        if k < least or not k:
+            return free_i.count(False)
+        free_t[t:t + k] = free_i[i:i + k] = [False] * k
+
+
+def test_tiles_equal_brute_force():
+    rng = random.Random(11)
+    for n in [*range(5, 61), 22, 23, 44, 45, 46, 47]:
+        for words in (10 ** 6, 12):   # few words: the item repeats itself
+            for _ in range(8):
+                item = np.asarray([rng.randrange(words) for _ in range(n)], np.uint64)
+                cuts = [(a, a + rng.randint(5, 10)) for a in (rng.randrange(max(1, n - 4)) for _ in range(4))]
+                text = np.concatenate([item[a:b] for a, b in cuts] + [np.asarray([7], np.uint64)])
+                assert decontam.tile(text, item, 5) == plain_tile(text.tolist(), item.tolist(), 5), (n, cuts)
+
+
 def plain_groups(rows, k):
     sets = {}
     for n, (i, t) in enumerate(rows):
