@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,67 +22,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from eventloom.llm.arrays import buffers, slices
+from eventloom.llm.arrays import buffers, constants, mix, slices
 from eventloom.llm.columns import hidden
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Labels that a model may have; more are refused, as each takes a column of the tables.
 MAX_LANGUAGES = 1000
-REMEMBERED = 100_000
+#: Letters times languages that are looked up at once.
+CELLS = 1 << 21
 STEP_DOWN = math.log(0.4)
+_KEYS = constants(2, 4201)
 
 
 def _spread(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the words, one after another, and where each word's begin."""
+    data = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return data, np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+
+
+def _whole(words: list[str]) -> np.ndarray:
+    """A 64-bit key of each word."""
+    data, first = _codes(words)
+    size = np.diff(first)
+    if not len(data):
+        return np.zeros(len(words), np.uint64)
+    place = np.arange(len(data)) - np.repeat(first[:-1], size)
+    return mix(np.add.reduceat(mix(data + _KEYS[0]) * constants(int(size.max()), 4203)[place], first[:-1]))
+
+
+def _runs(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of the ``n`` code points at each place."""
+    h = np.full(len(at), _KEYS[1])
+    for j in range(n):
+        h = mix((h ^ data[at + j]) * _KEYS[0])
+    return h
+
+
+def _rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key is among the sorted keys; -1 if nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class Model:
-    """Log frequencies per language of words and n-grams, as tables of a bounded size."""
+    """Log frequencies per language of words and n-grams, as tables of a bounded size: sorted 64-bit keys, rows of float32."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], n_words: list[int]):
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], n_words: list[int]):
         self.languages = languages
-        k = len(languages)
         total = np.asarray(n_words, float)
-        self.row = {w: i for i, w in enumerate(words)}
-        c = np.asarray(list(words.values()), float).reshape(len(words), k)
-        self.words = np.log((c + 0.1) / (total + 0.1 * (len(c) + 1)))
+        (terms, c), (parts, g) = words, grams
+        self.words = self._sorted(_whole(terms), np.log((c + 0.1) / (total + 0.1 * (len(c) + 1))))
         # one table per order, so that frequencies of an order are shares of that order
-        self.grams = {}
+        self.grams, size = {}, np.fromiter(map(len, parts), np.int64, len(parts))
         for n in ORDERS:
-            own = {g: v for g, v in grams.items() if len(g) == n}
-            c = np.asarray(list(own.values()), float).reshape(len(own), k)
-            self.grams[n] = ({g: i for i, g in enumerate(own)}, np.log((c + 0.1) / (c.sum(0) + 0.1 * (len(c) + 1))))
-        self.never = np.log(0.1 / (total + 0.1 * (len(words) + 1)))
-        self.seen: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        marked = f"<{word}>"
-        for down, n in enumerate(ORDERS):
-            index, table = self.grams[n]
-            hits = [i for j in range(len(marked) - n + 1) if (i := index.get(marked[j:j + n])) is not None]
-            if hits:
-                return table[hits].mean(0) + STEP_DOWN * (down + 1)
-        return self.never + STEP_DOWN * (len(ORDERS) + 1)
+            at = np.flatnonzero(size == n)
+            c = g[at]
+            data, first = _codes([parts[i] for i in at.tolist()])
+            self.grams[n] = self._sorted(_runs(data, first[:-1], n), np.log((c + 0.1) / (c.sum(0) + 0.1 * (len(c) + 1))))
+        self.never = np.log(0.1 / (total + 0.1 * (len(terms) + 1)))
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], table[order].astype(np.float32)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        data, first = _codes([f"<{w}>" for w in words])
+        out = np.tile(self.never + STEP_DOWN * (len(ORDERS) + 1), (len(words), 1))
+        for lo, hi in slices(first, max(1, CELLS // len(self.languages))):
+            owner = np.repeat(np.arange(lo, hi), np.diff(first[lo:hi + 1]))
+            at = np.arange(first[lo], first[hi])
+            for down, n in enumerate(ORDERS):
+                keys, table = self.grams[n]
+                fits = at + n <= first[owner + 1]
+                row = np.full(len(at), -1)
+                row[fits] = _rows(keys, _runs(data, at[fits], n))
+                hit = np.flatnonzero(row >= 0)
+                if not len(hit):
+                    continue
+                begin = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+                some, count = owner[hit[begin]], np.diff(begin, append=len(hit))
+                out[some] = np.add.reduceat(table[row[hit]], begin, axis=0, dtype=float) / count[:, None] + STEP_DOWN * (down + 1)
+                left = ~np.isin(owner, some)
+                owner, at = owner[left], at[left]
+        return out
 
     def score(self, words: list[str]) -> np.ndarray:
+        keys, table = self.words
+        row = _rows(keys, _whole(words))
         out = np.empty((len(words), len(self.languages)))
-        for i, w in enumerate(words):
-            r = self.row.get(w)
-            if r is not None:
-                out[i] = self.words[r]
-                continue
-            v = self.seen.get(w)
-            if v is None:
-                v = self.unseen(w)
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[w] = v
-            out[i] = v
+        out[row >= 0] = table[row[row >= 0]]
+        new = np.flatnonzero(row < 0)
+        out[new] = self.unseen([words[i] for i in new.tolist()])
         return out
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int = 80_000, max_grams: int = 120_000) -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int = 200_000, max_grams: int = 300_000) -> Model:
     """A model of ``text`` and ``lang`` over the rows for which ``learn`` holds."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
@@ -89,7 +132,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     languages = sorted((r["lang"] for r in counts), key=lambda s: s.encode())
     if not languages:
-        return Model([], {}, {}, [])
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), [])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
     drawn = labelled.where(_spread(F.struct("doc_id", "text")) < share[F.col("lang")])
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -98,9 +141,13 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
     cuts = F.flatten(F.array(*(F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substr(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in ORDERS)))
     grams = words.select("lang", "n", F.explode(cuts).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
-    def table(t: DataFrame, most: int) -> dict[str, list[int]]:
+    def table(t: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
         wide = t.groupBy("term").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)))
-        return {r["term"]: list(r[2:]) for r in wide.where("`all` > 1").orderBy(F.desc("all"), "term").limit(most).toLocalIterator()}
+        terms, counts = [], array("q")
+        for r in wide.where("`all` > 1").orderBy(F.desc("all"), "term").limit(most).toLocalIterator():
+            terms.append(r["term"])
+            counts.extend(r[2:])
+        return terms, np.asarray(counts, float).reshape(len(terms), len(languages))
 
     return Model(languages, table(words, max_words), table(grams, max_grams), [total.get(x, 0) for x in languages])
 

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -89,6 +90,40 @@ def test_language_by_words_then_grams(spark):
     assert langid.identify(frame.limit(0)).count() == 0
 
 
+def test_language_scores_equal_a_plain_version():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdéß") for _ in range(rng.randint(1, 9)))
+    words = {w: [rng.randint(0, 9), rng.randint(1, 9)] for w in (word() for _ in range(60))}
+    grams = {}
+    for w, c in words.items():
+        for n in (5, 4, 3, 2):   # no single letters: words of one letter may meet no n-gram
+            for j in range(len(w) + 3 - n):
+                grams[f"<{w}>"[j:j + n]] = c
+    total = [900, 700]
+    table = lambda d: (list(d), np.asarray(list(d.values()), float))
+    model = langid.Model(["x", "y"], table(words), table(grams), total)
+    wanted = [*words, *(word() for _ in range(300)), "zzzz", "z", "中"]
+    for w, got in zip(wanted, model.score(wanted)):
+        want = [math.log(0.1 / (t + 0.1 * (len(words) + 1))) + 6 * math.log(0.4) for t in total]
+        if w in words:
+            want = [math.log((c + 0.1) / (t + 0.1 * (len(words) + 1))) for c, t in zip(words[w], total)]
+        else:
+            for down, n in enumerate((5, 4, 3, 2, 1), 1):
+                own = {g: c for g, c in grams.items() if len(g) == n}
+                hits = [own[g] for j in range(len(w) + 3 - n) if (g := f"<{w}>"[j:j + n]) in own]
+                if hits:
+                    want = [sum(math.log((h[k] + 0.1) / (sum(c[k] for c in own.values()) + 0.1 * (len(own) + 1))) for h in hits) / len(hits) + down * math.log(0.4) for k in (0, 1)]
+                    break
+        assert got.tolist() == pytest.approx(want, rel=1e-5), w
+
+
+def test_language_model_keeps_rare_words(spark):
+    w = lambda i: "".join(chr(97 + i // 26 ** j % 26) for j in range(4))
+    rows = [(i, " ".join([w(1000 * (i // 2) + j) for j in range(1000)] * 2), "en" if i < 10 else "de") for i in range(0, 200, 2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.words[0]) == 100_000
+
+
 def test_shards_are_equal_and_gapless(spark, docs):
     rng = random.Random(5)
     rows = [(i, "same text" if i % 3 == 0 else prose(rng, rng.randint(1, 80))) for i in range(3000)]
