@@ -88,11 +88,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("op6_shard")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight shards of equal bytes. What moves is what the result needs; the layout itself carries any columns."""
-    d = shard.assign(_table(spark, sf, "documents").select("doc_id", "text"), 8)
-    a, b = shard.keys(F.col("text"), F.col("doc_id"))
-    narrow = d.select("doc_id", shard.size(F.col("text")).alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), "shard", a.alias("_a"), b.alias("_b"))
-    return shard.layout(narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """Eight shards of equal bytes: the documents move with their texts, and the digests are of what has moved."""
+    d = shard.layout(shard.assign(_table(spark, sf, "documents").select("doc_id", "text"), 8))
+    return d.select("doc_id", shard.size(F.col("text")).alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+                    F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 @plan("op7_fingerprint")

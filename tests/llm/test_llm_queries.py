@@ -1,6 +1,7 @@
 """The registered queries: against their SQL, and the pipeline against plain versions of its stages."""
 import glob
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -27,6 +28,15 @@ def test_a_row_per_document(spark, sf, key):
     assert queries.PLANS[key](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_sharding_moves_the_texts(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.shard, "layout", lambda d, own=queries.shard.layout: seen.append(d.columns) or own(d))
+    rows = queries.PLANS["op6_shard"](spark, sf).collect()
+    assert seen == [["doc_id", "text", "shard"]]
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
