@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, fingerprint, langid, mix, neardup, shard, suffix, tokens, urlfilter
+from eventloom.llm import chat, decontam, fingerprint, langid, mix, neardup, shard, spelling, suffix, tokens, urlfilter
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,3 +136,31 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     return rows.join(cut, (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+def _crc_table() -> list[int]:
+    """What a byte does to a crc32, by its polynomial."""
+    def turned(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+    return [turned(i) for i in range(256)]
+
+
+@plan("op11_spelling_variants", f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_crc_table()}::BIGINT[] AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM low),
+hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+edited AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, rest FROM cut JOIN v ON v.word = rest UNION SELECT rest, cut.word FROM cut JOIN v ON v.word = rest),
+ranked AS (SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, encode(p.near)) AS k FROM pairs p JOIN v w ON w.word = p.near),
+out AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN ranked r ON r.word = v.word AND k = 1),
+up AS (SELECT word, word AS root, form FROM out UNION ALL SELECT up.word, out.word, out.form FROM up JOIN out ON out.word = up.form)
+SELECT out.word, out.n, out.n_near, out.form, out.form_n, up.root FROM out JOIN up ON up.word = out.word AND up.form IS NULL""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.words(_table(spark, sf, "documents").select("doc_id", "text"), 5, 3, edit_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
