@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, fingerprint, langid, mix, neardup, shard, spelling, suffix, tokens, urlfilter
+from eventloom.llm import ballkmeans, chat, decontam, fingerprint, langid, mix, neardup, shard, spelling, suffix, tokens, urlfilter
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,31 @@ up AS (SELECT word, word AS root, form FROM out UNION ALL SELECT up.word, out.wo
 SELECT out.word, out.n, out.n_near, out.form, out.form_n, up.root FROM out JOIN up ON up.word = out.word AND up.form IS NULL""")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(spelling.words(_table(spark, sf, "documents").select("doc_id", "text"), 5, 3, edit_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _compression_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after another; an assignment compares every part with every entry."""
+    def assign(k: int) -> str:
+        return (f"d{k} AS (SELECT p.row, p.part, c.entry, list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v) AS d FROM p JOIN c{k} c ON c.part = p.part),\n"
+                f"a{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY row, part),\n")
+
+    def update(k: int) -> str:
+        return (f"s{k} AS (SELECT part, entry, i, floor(sum(x) / count(*)) AS x FROM (SELECT a.part, a.entry, unnest(range(len(p.v))) AS i, unnest(p.v) AS x FROM a{k} a JOIN p ON p.row = a.row AND p.part = a.part) GROUP BY part, entry, i),\n"
+                f"m{k} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM s{k} GROUP BY part, entry),\n"
+                f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry),\n")
+
+    return (f"""WITH k AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS MATERIALIZED (SELECT *, list_transform(e, lambda x: floor(1024 * x)) AS v, row_number() OVER (ORDER BY vec_id, e) - 1 AS row FROM k),
+p AS MATERIALIZED (SELECT row, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM w, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, row AS entry, v FROM p WHERE row < {entries}),
+""" + "".join(assign(k) + update(k) for k in range(rounds)) + assign(rounds) + f"""f AS (SELECT w.vec_id, w.label, a.* FROM w JOIN (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row) a ON a.row = w.row),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f GROUP BY label),
+b AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(range(len(v))) AS i, unnest(v) AS x FROM c{rounds}))
+SELECT f.vec_id, f.code, f.error, l.label_error, b.codebooks_sha256 FROM f JOIN l ON l.label IS NOT DISTINCT FROM f.label, b""")
+
+
+@plan("op12_vector_codes", _compression_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    c = ballkmeans.compress(_table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), parts=4, entries=256, rounds=4)
+    of = c.rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    return c.rows.join(of, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "code", "error", "label_error", F.lit(c.sha256()).alias("codebooks_sha256"))
