@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import ballkmeans, chat, decontam, fingerprint, langid, mix, neardup, shard, spelling, suffix, tokens, urlfilter
+from eventloom.llm import ballkmeans, chat, decontam, fingerprint, langid, lbl, mix, neardup, shard, spelling, suffix, tokens, urlfilter
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     c = ballkmeans.compress(_table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), parts=4, entries=256, rounds=4)
     of = c.rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     return c.rows.join(of, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "code", "error", "label_error", F.lit(c.sha256()).alias("codebooks_sha256"))
+
+
+@plan("op13_lm_score")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents").select("doc_id", "text")
+    scored = lbl.score(d, lbl.fit(d, ~lbl.held_out(F.col("doc_id"))))
+    return scored.select("doc_id", lbl.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
