@@ -134,12 +134,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _sums(g: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each ``first`` to the next."""
-    c = np.cumsum(g, axis=0, dtype=np.float64)
-    at = c[np.append(first[1:], len(g)) - 1]
-    at[1:] -= c[first[1:] - 1]
-    return at.astype(np.float32)
+def _sums(g: np.ndarray, first: np.ndarray, short: int = 6) -> np.ndarray:
+    """Sums of the rows from each ``first`` to the next: short runs row by row, all at once, then the rest of each long one."""
+    end = np.append(first[1:], len(g))
+    out, left = g[first], np.arange(len(first))
+    for k in range(1, short):
+        left = left[first[left] + k < end[left]]
+        out[left] += g[first[left] + k]
+    for k in left[first[left] + short < end[left]].tolist():
+        out[k] += g[first[k] + short:end[k]].sum(0)
+    return out
 
 
 def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
