@@ -112,14 +112,6 @@ def _find(table: dict, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[new], np.add.reduceat(g[order], new, axis=0)
-
-
 def _contexts(ids: np.ndarray, begin: np.ndarray, n: int, start: int) -> np.ndarray:
     """The ``n`` tokens before each one, the last first; ``start`` before the text."""
     place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
@@ -131,7 +123,11 @@ def _contexts(ids: np.ndarray, begin: np.ndarray, n: int, start: int) -> np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    x = x * np.float32(0.5)
+    np.tanh(x, out=x)
+    x += 1
+    x *= np.float32(0.5)
+    return x
 
 
 def _sums(g: np.ndarray, first: np.ndarray, short: int = 6) -> np.ndarray:
@@ -175,7 +171,7 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
             noise = np.minimum(np.searchsorted(p["class_cum"], rng.random(NOISE)), tail)
             u, un = classes[c], classes[noise]
             gp = _sigmoid(class_price[c] - np.einsum("bd,bd->b", u, q1))
-            gn = -_sigmoid(q1 @ un.T - class_price[noise])
+            gn = -_sigmoid(q1 @ un.T - class_price[noise]).astype(np.float32, copy=False)
             gq = gp[:, None] * u + gn @ un
             first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             size = np.diff(np.append(first, len(c)))
@@ -211,14 +207,21 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
                 times = np.bincount(place[len(first):], minlength=len(u))
                 times[place[:len(first)]] += np.diff(np.append(first, n))
                 move("words", u, g, times)
-            # the words before
+            # the words before: what each position is owed by the next ones of the minibatch, in the order of the words again
             gq = gq[:, :-1]
             move("far", np.arange(distances), np.stack([np.einsum("bd,bd->d", gq, v) for v in before]), len(w))
-            flat = x.T.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-            g = np.concatenate([gq * f for f in far])[order]
-            move("near", flat[order][first], _sums(g, first), np.diff(np.append(first, len(flat))))
+            placed = np.empty_like(gq)
+            placed[order] = gq
+            owed, times = np.zeros_like(gq), np.zeros(len(w), np.int64)
+            for i, f in enumerate(far):
+                inside = ctx[lo + i + 1:lo + len(w), i] <= heads
+                owed[:len(w) - i - 1] += placed[i + 1:] * (f * inside[:, None])
+                times[:len(w) - i - 1] += inside
+                start = ctx[lo:lo + len(w), i] > heads
+                if start.any():
+                    move("near", np.array([heads + 1]), (placed[start].sum(0) * f)[None], int(start.sum()))
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            move("near", w[first], _sums(owed[order], first), np.add.reduceat(times[order], first))
     return p, met
 
 
@@ -286,10 +289,12 @@ def _neighbours(keys: dict, spread: np.ndarray):
                 h, begin = tokens(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
                 ids = _find(keys, h)
                 ids[ids < 0] = heads
-                before = _contexts(ids, begin, 1, heads + 1)[:, 0]
-                after = np.append(ids[1:], heads + 1)
-                after[begin[1:] - 1] = heads + 1
-                u, s = _by_row(ids, np.concatenate([spread[before], spread[after]], 1))
+                own, both = spread[ids], np.zeros((len(ids), 2 * d), np.float32)
+                both[1:, :d], both[:-1, d:] = own[:-1], own[1:]
+                both[begin[:-1], :d], both[begin[1:] - 1, d:] = spread[-1], spread[-1]
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+                u, s = ids[order][first], _sums(both[order], first)
                 total[u] += s
                 met += np.bincount(ids, minlength=heads + 1)
         some = np.flatnonzero(met[:heads])
