@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from eventloom.llm.arrays import buffers, shingles, slices, words
 from eventloom.llm.columns import hidden
+from eventloom.llm.shared import shared
 
 BLOCK_BYTES = 8 << 20
 OWN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())])
@@ -127,13 +128,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: fl
     out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"))
     schema = T.StructType([docs.schema[c] for c in kept] + OWN.fields)
     for block in _blocks(benchmark, least):
-        out = out.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(block), kept), schema)
+        out = out.mapInArrow(_judge(shared(docs.sparkSession, block), kept), schema)
     return out.withColumn("contaminated", F.col("coverage") >= coverage)
 
 
 def _judge(sent, kept: list[str]):
     def judged(batches):
-        block = sent.value
+        block = sent()
         for b in batches:
             data, at = buffers(pc.utf8_lower(b.column("text")))
             n_words = np.zeros(b.num_rows, np.int64)

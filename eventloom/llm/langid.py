@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import Window as W
 
 from eventloom.llm.arrays import buffers, constants, mix, slices
 from eventloom.llm.columns import hidden
+from eventloom.llm.shared import shared
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -74,19 +74,15 @@ def _rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Model:
     """Log frequencies per language of words and n-grams, as tables of a bounded size: sorted 64-bit keys, rows of float32."""
 
-    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], n_words: list[int]):
+    def __init__(self, languages: list[str], words: tuple[np.ndarray, np.ndarray], grams: dict[int, tuple[np.ndarray, np.ndarray]], n_words: list[int]):
+        """``words`` and each order of ``grams``: keys and their counts per language."""
         self.languages = languages
         total = np.asarray(n_words, float)
-        (terms, c), (parts, g) = words, grams
-        self.words = self._sorted(_whole(terms), np.log((c + 0.1) / (total + 0.1 * (len(c) + 1))))
+        keys, c = words
+        self.words = self._sorted(keys, np.log((c + 0.1) / (total + 0.1 * (len(c) + 1))))
         # one table per order, so that frequencies of an order are shares of that order
-        self.grams, size = {}, np.fromiter(map(len, parts), np.int64, len(parts))
-        for n in ORDERS:
-            at = np.flatnonzero(size == n)
-            c = g[at]
-            data, first = _codes([parts[i] for i in at.tolist()])
-            self.grams[n] = self._sorted(_runs(data, first[:-1], n), np.log((c + 0.1) / (c.sum(0) + 0.1 * (len(c) + 1))))
-        self.never = np.log(0.1 / (total + 0.1 * (len(terms) + 1)))
+        self.grams = {n: self._sorted(k, np.log((g + 0.1) / (g.sum(0) + 0.1 * (len(g) + 1)))) for n, (k, g) in grams.items()}
+        self.never = np.log(0.1 / (total + 0.1 * (len(keys) + 1)))
 
     @staticmethod
     def _sorted(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +128,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     languages = sorted((r["lang"] for r in counts), key=lambda s: s.encode())
     if not languages:
-        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), [])
+        none = np.zeros(0, np.uint64), np.zeros((0, 0))
+        return Model([], none, dict.fromkeys(ORDERS, none), [])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
     drawn = labelled.where(_spread(F.struct("doc_id", "text")) < share[F.col("lang")])
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -141,15 +138,35 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
     cuts = F.flatten(F.array(*(F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substr(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in ORDERS)))
     grams = words.select("lang", "n", F.explode(cuts).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
-    def table(t: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
+    def table(t: DataFrame, most: int, orders: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of the most frequent terms, by order (0: whole words). Terms are hashed in a task; only keys and counts reach the driver."""
         wide = t.groupBy("term").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)))
-        terms, counts = [], array("q")
-        for r in wide.where("`all` > 1").orderBy(F.desc("all"), "term").limit(most).toLocalIterator():
-            terms.append(r["term"])
-            counts.extend(r[2:])
-        return terms, np.asarray(counts, float).reshape(len(terms), len(languages))
+        top = wide.where("`all` > 1").orderBy(F.desc("all"), "term").limit(most)
+        found = top.select("term", F.array(*(f"l{i}" for i in range(len(languages)))).alias("each")).mapInArrow(_hashed(orders), "kind int, key long, each array<long>").toArrow()
+        kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+        each = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in found.column("each").chunks)]).reshape(-1, len(languages))
+        return {n: (key[kind == n], each[kind == n]) for n in orders}
 
-    return Model(languages, table(words, max_words), table(grams, max_grams), [total.get(x, 0) for x in languages])
+    return Model(languages, table(words, max_words, (0,))[0], table(grams, max_grams, ORDERS), [total.get(x, 0) for x in languages])
+
+
+def _hashed(orders: tuple[int, ...]):
+    def hashed(batches):
+        for b in batches:
+            terms = b.column("term").to_pylist()
+            size = np.fromiter(map(len, terms), np.int64, len(terms))
+            for n in orders:
+                at = np.flatnonzero(size == n) if n else np.arange(len(terms))
+                some = [terms[i] for i in at.tolist()]
+                if some:
+                    key = _whole(some) if not n else _runs(*_starts(some), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(key.view(np.int64)), b.column("each").take(pa.array(at))], names=["kind", "key", "each"])
+    return hashed
+
+
+def _starts(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    data, first = _codes(terms)
+    return data, first[:-1]
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -165,12 +182,12 @@ def _letters(text: str) -> list[str]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with ``lang_pred`` and ``score``, the winner's share of the posterior over the languages."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def scored(batches):
-        m = sent.value
+        m = sent()
         names = np.asarray([*m.languages, UNKNOWN], object)
         for b in batches:
             col = b.column("text")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.arrays import buffers, slices
+from eventloom.llm.shared import shared
 
 CHUNK = 512
 SLICE = 1 << 21
@@ -216,16 +217,17 @@ def compiled(path: str) -> Transducer:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``n_bytes`` and ``n_tokens``; ``path``: the tokenizer's file, read by the driver."""
-    model = docs.sparkSession.sparkContext.broadcast(compiled(path))
+    model = shared(docs.sparkSession, compiled(path))
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def counted(batches):
+        transducer = model()
         for b in batches:
             data, at = buffers(b.column(text))
             n = np.zeros(b.num_rows, np.int64)
             for lo, hi in slices(at, SLICE):
-                n[lo:hi] = model.value.count(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+                n[lo:hi] = transducer.count(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(np.diff(at)), pa.array(n)], names=[*kept, "n_bytes", "n_tokens"])
 
     return docs.mapInArrow(counted, schema)

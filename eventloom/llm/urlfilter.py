@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.arrays import mix
+from eventloom.llm.shared import shared
 from eventloom.session import materialize
 
 #: Rules of one cascade, about 2 bytes each as filters. Longer lists are refused: apply them in parts, the longest rule of all parts wins.
@@ -122,15 +123,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     keyed = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("_keys", F.when(F.col(url).contains("://"), keys_of(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>")))
     keyed = keyed.withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
     universe = materialize(keyed.select(F.explode("_hashes").alias("key")).distinct())
-    sent = spark.sparkContext.broadcast({v: cascade(universe, np.asarray([r["key"] for r in found if r["verdict"] == v], np.int64)) for v in ("block", "allow")})
+    sent = shared(spark, {v: cascade(universe, np.asarray([r["key"] for r in found if r["verdict"] == v], np.int64)) for v in ("block", "allow")})
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in own])
 
     def judged(batches):
+        filters = sent()
         for b in batches:
             hashes, keys = b.column("_hashes"), b.column("_keys")
             flat = hashes.flatten().to_numpy()
             at = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())]).astype(np.int64)
-            block, allow = (listed(sent.value[v], flat) for v in ("block", "allow"))
+            block, allow = (listed(filters[v], flat) for v in ("block", "allow"))
             hit = np.flatnonzero(block | allow)
             first = np.append(hit, len(flat))[np.searchsorted(hit, at[:-1])]
             some = first < at[1:]
