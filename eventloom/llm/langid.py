@@ -74,8 +74,20 @@ def _rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Model:
     """Log frequencies per language of words and n-grams, as tables of a bounded size: sorted 64-bit keys, rows of float32."""
 
-    def __init__(self, languages: list[str], words: tuple[np.ndarray, np.ndarray], grams: dict[int, tuple[np.ndarray, np.ndarray]], n_words: list[int]):
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], n_words: list[int]):
+        (terms, c), (parts, g) = words, grams
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = {n: np.flatnonzero(size == n) for n in ORDERS}
+        self._fill(languages, (_whole(terms), c), {n: (_runs(*_starts([parts[i] for i in w.tolist()]), n), g[w]) for n, w in at.items()}, n_words)
+
+    @classmethod
+    def of_keys(cls, languages: list[str], words: tuple[np.ndarray, np.ndarray], grams: dict[int, tuple[np.ndarray, np.ndarray]], n_words: list[int]) -> Model:
         """``words`` and each order of ``grams``: keys and their counts per language."""
+        model = cls.__new__(cls)
+        model._fill(languages, words, grams, n_words)
+        return model
+
+    def _fill(self, languages, words, grams, n_words) -> None:
         self.languages = languages
         total = np.asarray(n_words, float)
         keys, c = words
@@ -128,8 +140,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     languages = sorted((r["lang"] for r in counts), key=lambda s: s.encode())
     if not languages:
-        none = np.zeros(0, np.uint64), np.zeros((0, 0))
-        return Model([], none, dict.fromkeys(ORDERS, none), [])
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), [])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
     drawn = labelled.where(_spread(F.struct("doc_id", "text")) < share[F.col("lang")])
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -147,7 +158,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, max_words: int
         each = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in found.column("each").chunks)]).reshape(-1, len(languages))
         return {n: (key[kind == n], each[kind == n]) for n in orders}
 
-    return Model(languages, table(words, max_words, (0,))[0], table(grams, max_grams, ORDERS), [total.get(x, 0) for x in languages])
+    return Model.of_keys(languages, table(words, max_words, (0,))[0], table(grams, max_grams, ORDERS), [total.get(x, 0) for x in languages])
 
 
 def _hashed(orders: tuple[int, ...]):

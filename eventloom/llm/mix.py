@@ -1,7 +1,7 @@
 """Mixing sources to target weights: whole repetitions of each document plus one hash-seeded Bernoulli copy.
 
-A null text has size 0; a null source is a source; a source of size 0 gets nothing. Rows that repeat a ``doc_id`` repeat its
-draw. Empty input gives an empty mix. Other columns pass through; names that start with an underscore are the operator's.
+A null text has size 0; a null source is a source; a source of size 0 gets nothing. Rows that share a ``doc_id``, or have none,
+draw each for itself. Empty input gives an empty mix. Other columns pass through; names that start with an underscore are the operator's.
 """
 from __future__ import annotations
 
@@ -53,6 +53,22 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``, what a row's draw depends on: its ``doc_id``, and for all but the first of the rows that share an id or have
+    none, also their number among them, by text. Only rows that share an id are sorted, with a tie-break, so many equal ones part."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    ids = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    ids = materialize(ids)
+    if ids.isEmpty():
+        return docs.withColumn("_key", own)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    shared = docs.join(ids, same, "left_semi").withColumns({"_h": F.md5(F.coalesce("text", F.lit("")).cast("binary")), "_tie": F.monotonically_increasing_id()})
+    placed = order.positions(shared, F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_tie"))
+    n = order.numbered(placed, "_number", "doc_id")
+    shared = n.withColumn("_key", F.when(F.col("_number") == 0, own).otherwise(F.concat(own, F.lit("#"), F.col("_number")))).drop("_number", "_h", "_tie")
+    return docs.join(ids, same, "left_anti").withColumn("_key", own).unionByName(shared)
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: float = 3.0, total: float | None = None) -> DataFrame:
     """One row per source of ``docs`` (``source``, ``size``). ``weights``: by rank of the source, or a table (source, weight)."""
     sizes = materialize(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -66,15 +82,15 @@ def plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: float =
 
 def repetitions(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: float = 3.0, total: float | None = None, seed: str = "mix") -> DataFrame:
     """The documents with ``size``, their source's ``source_size``, ``target`` and ``rate``, and ``copies``."""
-    sized = docs.withColumn("size", words(F.col("text")))
+    sized = keyed(docs).withColumn("size", words(F.col("text")))
     p = materialize(plan(sized, weights, most, total))
     p = p.select(F.col("source").alias("_source"), "source_size", "target", "rate")
     if (p.select(F.sum(F.octet_length("_source") + F.lit(32))).first()[0] or 0) <= BROADCAST_BYTES:
         p = F.broadcast(p)
     j = sized.drop("source_size", "target", "rate", "copies").join(p, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor("rate")
-    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return j.withColumn("copies", whole + extra)
+    extra = (draw(F.col("_key"), seed) < F.col("rate") - whole).cast("long")
+    return j.withColumn("copies", whole + extra).drop("_key")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] | DataFrame, most: float = 3.0, total: float | None = None, seed: str = "mix") -> DataFrame:

@@ -10,7 +10,7 @@ Links are wanted for the components they make. Each class is first compared with
 members are then not yet one component, its classes are compared with one another across components, in blocks within tasks
 that emit what joins components, so no component is left apart and no list of pairs is made.
 
-Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row and stay or go together.
+Null ``doc_id`` keeps its row; a component's id is its smallest non-null ``doc_id``. Rows that repeat a ``doc_id`` each get a row.
 Empty input gives no rows. The chance that a pair at exactly the threshold shares no band is below 3e-6.
 """
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.arrays import buffers, constants, mix, shingles, slices, words
+from eventloom.llm.columns import hidden
 from eventloom.llm.components import components
 from eventloom.session import materialize
 
@@ -255,6 +256,12 @@ def _compare(percent: int, miss: float):
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
+    out = _grouped(docs, k, percent, miss)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """Per row: ``doc_id, x`` (the text's hash), ``n_shingles, comp`` (its group's label, null for empty sets), ``component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(_signed(docs, k))
     some = signed.where("n_shingles > 0")
@@ -284,13 +291,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -
         comp = _labels(classes.select("node"), comp).join(joined, F.col("comp") == F.col("_m"), "left").select("node", F.coalesce("_c", "comp").alias("component"))
     ids = _labels(classes.select("node", "first_id"), comp)
     smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "component_id")
+    placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "comp", "component_id")
     out = signed.join(placed, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "x", "n_shingles", "comp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """The documents without those whose group has a smaller ``doc_id``; one without ``doc_id`` stays."""
-    dropped = groups(docs, k, percent, miss).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents with one row of each group: the smallest ``doc_id`` (null last), of its texts the one with the smallest
+    hash, and of rows that repeat both any one. Documents without words are in no group and stay."""
+    g = materialize(_grouped(docs, k, percent, miss).where("comp is not null").groupBy("comp", "doc_id", "x").agg(F.count(F.lit(1)).alias("times")))
+    order = F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "x")
+    first = g.groupBy(F.col("comp").alias("_comp")).agg(F.min(order).alias("_f"))
+    judged = g.join(first, F.col("comp") == F.col("_comp")).withColumn("stays", order.eqNullSafe(F.col("_f")))
+    judged = materialize(judged.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), "stays"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_x") == F.col("_x"))
+    docs, back = hidden(docs, ("stays",))
+    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_x": F.xxhash64("text")})
+    marked = keyed.join(judged, same, "left").drop("_id", "_x")
+    once = marked.where("stays is null")
+    again = marked.where("stays").dropDuplicates(["_own_id", "_own_x"])
+    return back(once.unionByName(again))

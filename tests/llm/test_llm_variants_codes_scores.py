@@ -197,3 +197,26 @@ def test_registered_scores(spark, sf):
     rows = queries.PLANS["op13_lm_score"](spark, sf).collect()
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+# ---- rows without ids, or with one -----------------------------------------------------------
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_draws_per_row(spark, doc_id):
+    from eventloom.llm import mix
+    rows = spark.range(5000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.expr("case when id < 2500 then 'w w w w' else concat('w w w ', id) end").alias("text"), F.expr("if(id % 2 = 0, 'a', 'b')").alias("source")).repartition(6)
+    weights = spark.createDataFrame([("a", 3.0), ("b", 7.0)], "source string, weight double")
+    r = mix.repetitions(rows, weights).collect()
+    for s in "ab":
+        own = [x for x in r if x["source"] == s]
+        assert len(own) == 2500 and abs(sum(x["size"] * x["copies"] for x in own) / own[0]["target"] - 1) < 0.05       # three deviations of 2,500 draws
+    assert mix.mix(rows, weights).count() == sum(x["copies"] for x in r)
+
+
+def test_one_row_of_each_group_stays(spark):
+    from eventloom.llm import neardup
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, a)] * 5 + [(4, b)] * 5 + [(4, "quite another text that shares the id of a copy and is clean of it")] + [(5, b + " end"), (6, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stays", F.lit("clash")).repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(docs).drop("stays").collect()), key=repr)
+    assert got == sorted([(None, a), (4, b), (4, rows[10][1]), (6, None), (6, ""), (None, None)], key=repr)
+    assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs.limit(0)).count() == 0
