@@ -1,10 +1,11 @@
 from pyspark.sql import functions as F
 
-from eventloom.operators import experiments as ex, ops
+from eventloom.operators import experiments as ex, ops, sketches as sk
 from eventloom.operators.scope import scope_production
 from eventloom.plans.registry import plan
 from eventloom.plans.sequences import CHAIN, H6, STEPS
 from eventloom.plans.source_jobs import NOW, REASON, raw_lines
+from eventloom.sources import refresh
 from eventloom.streaming import jobs
 
 US = lambda c: F.unix_micros(c)
@@ -90,3 +91,32 @@ def _(c):
 def _(c):
     r = jobs.run(jobs.funnel_state(live(c), STEPS, H6), "funnel")
     return r.groupBy("distinct_id").agg(F.max("reached").alias("reached"))
+
+
+@plan("stream_active_sketches", """WITH w AS (SELECT distinct_id, unnest(generate_series(us//60000000-4, us//60000000))*60000000 AS start_us FROM pev WHERE (us//60000000+1)*60000000 <= (SELECT max(us) FROM pev)-3600000000)
+ SELECT start_us, count(DISTINCT distinct_id) AS live, TRUE AS within FROM w GROUP BY 1""")
+def _(c):
+    """People of sliding five-minute windows, united from one streamed sketch per minute, beside the exact count of the same minutes."""
+    minutes = jobs.run(jobs.people_sketches(live(c)), "people-sketches")
+    guess = jobs.united(minutes, 60, 300).select(US("start").alias("_s"), F.col("live").alias("_live"))
+    done = minutes.select(F.unix_micros("start").alias("_m"))
+    own = c.prod.withColumn("_m", F.floor(F.unix_micros("timestamp") / 60_000_000) * 60_000_000).join(done, "_m", "left_semi")
+    spread = own.select("distinct_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("_m") - i * 60_000_000)).alias("start_us"))
+    exact = spread.groupBy("start_us").agg(F.count_distinct("distinct_id").alias("live"))
+    return exact.join(guess, F.col("start_us") == F.col("_s"), "left").select("start_us", "live", F.coalesce(sk.within(F.col("_live"), F.col("live")), F.lit(False)).alias("within"))
+
+
+@plan("late_days_refresh", """WITH l AS (SELECT DISTINCT d FROM pev WHERE ts<TIMESTAMP '2024-01-12' AND k%10=3)
+ SELECT pev.d AS day, name, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(DISTINCT distinct_id) AS people, TRUE AS within, pev.d IN (SELECT d FROM l) AS late FROM pev GROUP BY pev.d, name""")
+def _(c):
+    """Two streams feed one store; the second brings rows of the first eleven days late. ``late``: the second refresh has rewritten the day."""
+    store = jobs.work_dir(c.spark, "late")
+    late = (F.col("timestamp") < "2024-01-12") & F.coalesce(F.col("k") % 10 == 3, F.lit(False))
+    columns = ["id", "name", "distinct_id", "timestamp"]
+    refresh.run(live(c).where(~late).select(columns), "ontime", store)
+    refresh.append(c.prod.where(late).select(columns), "late-0", store)
+    again = refresh.refresh(c.spark, store).select(F.col("day").alias("_again"))
+    d = refresh.daily(c.spark, store).join(again, F.col("day") == F.col("_again"), "left")
+    sure = c.prod.groupBy(F.to_date("timestamp").alias("_d"), F.col("name").alias("_m")).agg(F.count_distinct("distinct_id").alias("people"))
+    j = d.select("day", "name", "n", "first", "last", F.hll_sketch_estimate("people").alias("_p"), F.col("_again").isNotNull().alias("late")).join(sure, (F.col("day") == F.col("_d")) & (F.col("name") == F.col("_m")), "left")
+    return j.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "name", "n", US("first").alias("first_us"), US("last").alias("last_us"), "people", F.coalesce(sk.within(F.col("_p"), F.col("people")), F.lit(False)).alias("within"), "late")

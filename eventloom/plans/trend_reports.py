@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from eventloom.operators import engagement as en, trends as tr
+from eventloom.operators import engagement as en, sketches as sk, trends as tr
 from eventloom.operators.filters import Filter
 from eventloom.plans.inputs import ASOF
 from eventloom.plans.registry import plan
@@ -157,3 +157,35 @@ def _(c):
 @plan("fixed_period_counts", """SELECT h.h AS hour, count(w.name) AS n FROM range(24) h(h) LEFT JOIN web w ON hour(ts)=h.h AND name='$pageview' GROUP BY 1""", base="web")
 def _(c):
     return tr.hours_of_day(c.web)
+
+
+# ---- sketches: estimates beside exact counts ---------------------------------------------------
+@plan("unique_sketches", """SELECT 'day' AS span, d AS day, name, count(*) AS n, count(DISTINCT distinct_id) AS people, TRUE AS within FROM pev GROUP BY d, name
+ UNION ALL SELECT 'window', NULL, name, count(*), count(DISTINCT distinct_id), TRUE FROM pev WHERE ts>=TIMESTAMP '2024-01-08' AND ts<TIMESTAMP '2024-01-22' GROUP BY name
+ UNION ALL SELECT 'all', NULL, NULL, count(*), count(DISTINCT distinct_id), TRUE FROM pev""")
+def _(c):
+    """Per day, over two weeks and over everything, from one table of sketches; ``within``: the estimate is in its bound, and the counts agree."""
+    s = sk.merge(sk.daily(c.prod.where("k % 2 = 0")), sk.daily(c.prod.where("k % 2 <> 0 or k is null")))     # two batches, united
+    day = F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd")
+    none = F.lit(None).cast("string")
+    exact = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("distinct_id").alias("people"))
+    lo, hi = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
+    prod = c.prod.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    spans = [("day", sk.estimate(s, "day", "name").withColumn("day", day), exact(prod, "day", "name")),
+             ("window", sk.estimate(sk.window(s, lo, hi), "name").withColumn("day", none), exact(prod.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi)), "name").withColumn("day", none)),
+             ("all", sk.estimate(s).withColumns({"day": none, "name": none}), exact(prod).withColumns({"day": none, "name": none}))]
+    out = None
+    for span, guess, sure in spans:
+        g = guess.select(F.col("day").alias("_d"), F.col("name").alias("_m"), F.col("n").alias("_n"), F.col("people").alias("_p"))
+        j = sure.join(g, F.col("day").eqNullSafe(F.col("_d")) & F.col("name").eqNullSafe(F.col("_m")), "left")
+        rows = j.select(F.lit(span).alias("span"), "day", "name", "n", "people", F.coalesce(sk.within(F.col("_p"), F.col("people")) & (F.col("n") == F.col("_n")), F.lit(False)).alias("within"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@plan("active_users_sketch", f"SELECT *, TRUE AS within FROM ({_xau(7)})")
+def _(c):
+    """Rolling actives by uniting seven days' sketches, beside the exact ones."""
+    some = c.prod.where(F.col("name").isin("view", "purchase"))
+    guess = sk.rolling(sk.daily(some), 7, S, E).select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("_b"), "people")
+    return tr.active_users(some, 7, S, E).join(guess, F.col("bucket") == F.col("_b"), "left").select("bucket", "n", F.coalesce(sk.within(F.col("people"), F.col("n")), F.lit(False)).alias("within"))

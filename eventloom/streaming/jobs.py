@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.operators import experiments as ex, insights as ins, ops
+from eventloom.operators import experiments as ex, insights as ins, ops, sketches
 from eventloom.operators.scope import drop_sampler
 from eventloom.session import checkpoint_dir, materialize
 from eventloom.sources import ingest as ig
@@ -56,6 +56,19 @@ def active_users(events: DataFrame, width: str = "5 minutes", slide: str = "1 mi
     return c.select(F.col("window.start").alias("start"), "live")
 
 
+def people_sketches(events: DataFrame, grain: str = "1 minute", delay: str = "1 hour", lg_k: int = sketches.LG_K) -> DataFrame:
+    """(start, people): a sketch of the people of each tumbling window. The state is a sketch per open window, not a row per person;
+    sliding windows are united from the emitted rows."""
+    w = events.withWatermark("timestamp", delay).groupBy(F.window("timestamp", grain)).agg(F.hll_sketch_agg("distinct_id", lg_k).alias("people"))
+    return w.select(F.col("window.start").alias("start"), "people")
+
+
+def united(windows: DataFrame, grain_s: int, width_s: int) -> DataFrame:
+    """(start, live): estimated people of each sliding window of ``width_s`` that begins at a multiple of ``grain_s``."""
+    back = F.transform(F.sequence(F.lit(0), F.lit(width_s // grain_s - 1)), lambda i: F.timestamp_micros(F.unix_micros("start") - i.cast("long") * F.lit(grain_s * 1_000_000)))
+    return windows.select(F.explode(back).alias("start"), "people").groupBy("start").agg(F.hll_sketch_estimate(F.hll_union_agg("people")).alias("live"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     d = drop_sampler(events).withWatermark("timestamp", delay)
     s = d.groupBy("distinct_id", F.session_window("timestamp", gap).alias("w")).agg(
