@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import scalars as sc
 from eventloom.operators.sqlview import sql
-from eventloom.plans.registry import plan
+from eventloom.plans.registry import SQL, plan
 
 
 @plan("sql_project_filter", "SELECT id, name, amount, path FROM pev WHERE path='/checkout' AND amount>100 AND name IN ('view','click')")
@@ -91,3 +91,34 @@ def _(c):
 def _(c):
     a = F.col("amount") - 40
     return c.prod.groupBy("name").agg(F.round(F.sum(F.abs(a)), 6).alias("ab"), F.round(F.sum(sc.round_(a, 1)), 4).alias("rd"), F.count_distinct(F.coalesce("plan", "utm_source", F.lit("none"))).alias("co"), F.sum(sc.num(F.col("k").cast("string"))).alias("cn"))
+
+
+# ---- the same semantics from query text --------------------------------------------------------
+@plan("sql_compare_text", SQL["sql_compare"], base=None)
+def _(c):
+    return sql(c.events, """SELECT count_if(ev_compare(plan, '=', 'pro')) AS eq, count_if(ev_compare(plan, '!=', 'pro')) AS ne, count_if(NOT ev_compare(plan, '=', 'pro')) AS not_eq,
+ count_if(ev_compare_numbers(CAST(k AS STRING), '>', '9')) AS num_gt, count_if(ev_compare(CAST(k AS STRING), '>', '9')) AS text_gt, count_if(ev_compare_numbers(country, '<', '5')) AS mixed,
+ count_if(ev_compare_times(timestamp, '>=', TIMESTAMP '2024-01-10 00:00:00')) AS since FROM {events}""")
+
+
+@plan("sql_arith_text", SQL["sql_arith"], base=None)
+def _(c):
+    return sql(c.events, """SELECT name, round(sum(ev_arith(ev_arith(amount, '+', k), '-', 1)), 6) AS plus_, round(sum(ev_arith(amount, '*', 2)), 6) AS times, round(sum(ev_arith(amount, '/', k % 5)), 6) AS divided,
+ sum(ev_arith(uid, '%', k % 7)) AS mod_, count_if(ev_arith(amount, '+', ev_number(path)) IS NULL AND ev_arith(amount, '/', k % 5) IS NULL) AS undefined FROM {events} GROUP BY name""")
+
+
+@plan("sql_datetime_text", SQL["sql_datetime"], base=None)
+def _(c):
+    return sql(c.events, "SELECT ev_date(timestamp) AS d, ev_hour(timestamp) AS h, ev_week(timestamp) AS w, ev_month(timestamp) AS m, ev_year(timestamp) AS y, count(*) AS n FROM {events} GROUP BY ALL")
+
+
+@plan("sql_string_text", SQL["sql_string"], base=None)
+def _(c):
+    return sql(c.events, """WITH t AS (SELECT *, CASE WHEN k % 3 = 0 THEN concat('naïve ', k) ELSE 'plain' END AS text FROM {events})
+ SELECT lower(path) AS lo, upper(path) AS up, ev_length(text) AS len, ev_concat(ev_concat(text, '-'), plan) AS cat, replace(path, '/p', '/q') AS rep, ev_substr(path, 2, 3) AS s1, ev_substr(path, 0, -1) AS s0, ev_substr(path, -2, -1) AS sneg, count(*) AS n
+ FROM t GROUP BY ALL""")
+
+
+@plan("sql_math_text", SQL["sql_math"], base=None)
+def _(c):
+    return sql(c.events, """SELECT name, round(sum(abs(amount - 40)), 6) AS ab, round(sum(ev_round(amount - 40, 1)), 4) AS rd, count(DISTINCT coalesce(plan, utm_source, 'none')) AS co, sum(ev_number(CAST(k AS STRING))) AS cn FROM {events} GROUP BY name""")
