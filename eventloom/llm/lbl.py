@@ -278,25 +278,50 @@ def _bisected(x: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def _neighbours(keys: dict, spread: np.ndarray):
-    """Per head word: its count and the sums of the random vectors of the words before and after it."""
+def _numbers(keys: dict):
+    """Each training text as the numbers of its tokens in the order of the keys, the tail last: texts are read and looked up once."""
+    heads = len(keys["keys"])
+    kind = _kind(heads)
+
     def rows(batches):
-        heads, d = len(keys["keys"]), spread.shape[1]
-        total, met = np.zeros((heads + 1, 2 * d), np.float32), np.zeros(heads + 1, np.int64)
         for b in batches:
             data, at = buffers(b.column("text"))
             for lo, hi in slices(at):
                 h, begin = tokens(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
                 ids = _find(keys, h)
-                ids[ids < 0] = heads
-                own, both = spread[ids], np.zeros((len(ids), 2 * d), np.float32)
-                both[1:, :d], both[:-1, d:] = own[:-1], own[1:]
-                both[begin[:-1], :d], both[begin[1:] - 1, d:] = spread[-1], spread[-1]
-                order = np.argsort(ids, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-                u, s = ids[order][first], _sums(both[order], first)
-                total[u] += s
-                met += np.bincount(ids, minlength=heads + 1)
+                ids = np.where(ids < 0, heads, ids).astype(kind)
+                ends = pa.py_buffer((begin * ids.itemsize).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("round").slice(lo, hi - lo), pa.Array.from_buffers(pa.binary(), hi - lo, [None, ends, pa.py_buffer(ids)])], names=["round", "ids"])
+    return rows
+
+
+def _kind(heads: int):
+    return np.uint16 if heads < 1 << 16 else np.int32
+
+
+def _streamed(batches, heads: int):
+    """(ids, begin) of a few hundred thousand tokens at a time."""
+    size = np.dtype(_kind(heads)).itemsize
+    for b in batches:
+        data, at = buffers(b.column("ids"))
+        for lo, hi in slices(at, 1 << 19):
+            yield data[at[lo]:at[hi]].view(_kind(heads)).astype(np.int64), (at[lo:hi + 1] - at[lo]) // size
+
+
+def _neighbours(heads: int, spread: np.ndarray):
+    """Per head word: its count and the sums of the random vectors of the words before and after it."""
+    def rows(batches):
+        d = spread.shape[1]
+        total, met = np.zeros((heads + 1, 2 * d), np.float32), np.zeros(heads + 1, np.int64)
+        for ids, begin in _streamed(batches, heads):
+            own, both = spread[ids], np.zeros((len(ids), 2 * d), np.float32)
+            both[1:, :d], both[:-1, d:] = own[:-1], own[1:]
+            both[begin[:-1], :d], both[begin[1:] - 1, d:] = spread[-1], spread[-1]
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+            u, s = ids[order][first], _sums(both[order], first)
+            total[u] += s
+            met += np.bincount(ids, minlength=heads + 1)
         some = np.flatnonzero(met[:heads])
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(met[some]), pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * 2 * d).astype(np.int32)), pa.array(total[some].ravel()))], names=["id", "met", "x"])
@@ -308,16 +333,8 @@ def _round(sent):
     def rows(batches):
         p = sent.value
         heads = len(p["words"])
-
-        def stream():
-            for b in batches:
-                data, at = buffers(b.column("text"))
-                for lo, hi in slices(at):
-                    h, begin = tokens(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-                    ids = _find(p["keys"], h)
-                    yield np.where(ids < 0, heads, p["number"][ids]) if heads else np.zeros(len(ids), np.int64), begin
-
-        new, met = trained(p, stream(), TaskContext.get().partitionId())
+        number = np.append(p["number"], heads)
+        new, met = trained(p, ((number[ids], begin) for ids, begin in _streamed(batches, heads)), TaskContext.get().partitionId())
         for name, times in met.items():
             some = np.flatnonzero(times)
             change = (new[name][some].astype(float) - p[name][some]) * times[some, None]
@@ -375,9 +392,12 @@ def fit(docs: DataFrame, learn: Column, head: int = 1 << 14, lookup: int = 1 <<
     spread = rng.choice(np.float32([-1, 1]), (heads + 2, width // 2))
     spread -= np.average(spread[:heads], axis=0, weights=own).astype(np.float32) if heads else 0
     parts = max(1, -(-total // TOKENS))
+    place, edges = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20)), np.cumsum(ROUNDS)[:-1].tolist()
+    which = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= place))
+    numbers = materialize(texts.select("text", which.alias("round")).mapInArrow(_numbers(keys), "round int, ids binary")) if heads else None
     x = np.zeros((heads, width), np.float64)
     if heads:
-        t = _summed(texts.coalesce(parts).mapInArrow(_neighbours(keys, spread), "id long, met long, x array<float>"), width, "id")
+        t = _summed(numbers.coalesce(parts).select("ids").mapInArrow(_neighbours(heads, spread), "id long, met long, x array<float>"), width, "id")
         at = t.column("id").to_numpy()
         x[at] = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width) / np.sqrt(t.column("met").to_numpy())[:, None]
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
@@ -399,11 +419,9 @@ def fit(docs: DataFrame, learn: Column, head: int = 1 << 14, lookup: int = 1 <<
          "low": np.append(cum - own, 0)[class_first] if heads else np.zeros(0), "high": np.append(0, cum)[np.append(class_first[1:], heads)[:classes + 1]] if heads else np.zeros(0),
          "near": near, "far": (np.ones((context, width)) / np.arange(1, context + 1)[:, None]).astype(np.float32),
          "classes": np.concatenate([np.zeros((classes + 1, width), np.float32), class_log[:, None].astype(np.float32)], 1), "words": np.concatenate([np.zeros((heads, width), np.float32), word_log[:, None].astype(np.float32)], 1)}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    done = 0.0
-    for share in ROUNDS if heads else ():
-        some = texts.where((place >= done) & (place < done + share) if done + share < 1 else place >= done)
-        t = _summed(some.coalesce(max(1, round(parts * share))).mapInArrow(_round(spark.sparkContext.broadcast(p)), "name string, id long, met long, x array<float>"), width + 1, "name", "id")
+    for k, share in enumerate(ROUNDS if heads else ()):
+        some = numbers.where(F.col("round") == k).select("ids").coalesce(max(1, round(parts * share)))
+        t = _summed(some.mapInArrow(_round(spark.sparkContext.broadcast(p)), "name string, id long, met long, x array<float>"), width + 1, "name", "id")
         names, at, met = np.asarray(t.column("name").to_pylist()), t.column("id").to_numpy(), t.column("met").to_numpy()
         change = t.column("x").combine_chunks().flatten().fill_null(0).to_numpy().reshape(-1, width + 1) / np.maximum(met, 1)[:, None]
         p = dict(p)
@@ -411,7 +429,6 @@ def fit(docs: DataFrame, learn: Column, head: int = 1 << 14, lookup: int = 1 <<
             which = names == name
             p[name] = p[name].copy()
             p[name][at[which]] += change[which][:, :p[name].shape[1]].astype(np.float32)
-        done += share
     rest = total - own.sum()
     unseen = (once + 0.5) / (rest + 1) if rest else 1.0
     known = _places(h)
