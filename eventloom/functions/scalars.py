@@ -99,7 +99,7 @@ def concat(*xs) -> Column:
 
 
 def substr(x: Column, start: int, n: int | None = None) -> Column:
-    """Byte-based, 1-indexed; 0 reads as 1, a negative start gives ''."""
+    """Byte-based, 1-indexed; 0 reads as 1, a negative start gives ''; what is left of a character that is cut reads as U+FFFD."""
     i = start - 1 if start > 0 else start
     if i < 0:
         return F.lit("")
@@ -107,7 +107,7 @@ def substr(x: Column, start: int, n: int | None = None) -> Column:
     rest = F.when(F.octet_length(raw) >= i, F.substring(raw, i + 1, 2 ** 31 - 1 - i)).otherwise(F.encode(F.lit(""), "UTF-8"))
     if n is not None and n >= 0:
         rest = F.substring(rest, 1, n)
-    return F.decode(rest, "UTF-8")
+    return F.make_valid_utf8(rest.cast("string"))
 
 
 def round_(x: Column, places: int = 0) -> Column:

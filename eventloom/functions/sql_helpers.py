@@ -32,7 +32,7 @@ HELPERS = {
     "ev_year": ("t TIMESTAMP", "DOUBLE", "CAST(year(t) AS DOUBLE)"),
     "ev_length": ("x STRING", "DOUBLE", "CAST(octet_length(coalesce(x, '')) AS DOUBLE)"),
     "ev_concat": ("a STRING, b STRING", "STRING", "concat(coalesce(a, ''), coalesce(b, ''))"),
-    "ev_substr": ("x STRING, start INT, n INT", "STRING", "CASE WHEN start < 0 THEN '' ELSE decode(substring(encode(coalesce(x, ''), 'UTF-8'), greatest(start, 1), CASE WHEN n < 0 THEN 2147483647 - greatest(start, 1) ELSE n END), 'UTF-8') END"),
+    "ev_substr": ("x STRING, start INT, n INT", "STRING", "CASE WHEN start < 0 THEN '' ELSE make_valid_utf8(CAST(substring(encode(coalesce(x, ''), 'UTF-8'), greatest(start, 1), CASE WHEN n < 0 THEN 2147483647 - greatest(start, 1) ELSE n END) AS STRING)) END"),
     "ev_round": ("x DOUBLE, places INT", "DOUBLE", "signum(x) * floor(abs(x) * power(10.0D, places) + 0.5D) / power(10.0D, places)"),
 }
 
