@@ -79,14 +79,24 @@ B1 = "(CAST(CAST('0x'||substr(sha256('variant:f1:'||distinct_id),1,15) AS BIGINT
 @plan("stream_experiment_tally", f"""WITH x AS (SELECT distinct_id, min(us) AS f, CASE WHEN {B1}<0.5 THEN 'control' ELSE 'test' END AS variant FROM pev WHERE name='view' GROUP BY 1), g AS (SELECT distinct_id, max(us) AS l FROM pev WHERE name='purchase' AND k<5 GROUP BY 1)
  SELECT 'f1' AS flag, variant, count(*) AS exposed, count(*) FILTER (WHERE l>=f) AS converted FROM x LEFT JOIN g USING (distinct_id) GROUP BY 2""")
 def _(c):
-    f = ex.Flag("f1", (("control", 1), ("test", 1)), "upgrade")
+    return _tallied(c, ex.Flag("f1", (("control", 1), ("test", 1)), "upgrade"))
+
+
+def _tallied(c, f, **how):
     n = F.col("name")
     name = F.when(n == "view", ex.EXPOSURE).when((n == "purchase") & (F.col("k") < 5), "upgrade").otherwise(n)
     d = live(c).withColumn("name", name).withColumn(ex.P_FLAG, F.when(F.col("name") == ex.EXPOSURE, "f1")).withColumn(ex.P_VARIANT, ex.variant_of(f, F.col("distinct_id")))
-    r = jobs.run(jobs.experiment_tally(d, [f]), "tally")
+    r = jobs.run(jobs.experiment_tally(d, [f], **how), "tally")
     return r.groupBy("flag", "variant").agg(F.sum("exposed").alias("exposed"), F.sum("converted").alias("converted"))
 
 
+@plan("stream_experiment_until", f"""WITH b AS (SELECT * FROM pev WHERE ts < TIMESTAMP '2024-01-16'), x AS (SELECT distinct_id, min(us) AS f, CASE WHEN {B1}<0.5 THEN 'control' ELSE 'test' END AS variant FROM b WHERE name='view' GROUP BY 1), g AS (SELECT distinct_id, max(us) AS l FROM b WHERE name='purchase' AND k<5 GROUP BY 1)
+ SELECT 'f1' AS flag, variant, count(*) AS exposed, count(*) FILTER (WHERE l>=f) AS converted FROM x LEFT JOIN g USING (distinct_id) GROUP BY 2""")
+def _(c):
+    """The same flag, stopped halfway: later events do not count, and its units leave the state."""
+    return _tallied(c, ex.Flag("f1", (("control", 1), ("test", 1)), "upgrade", stopped="2024-01-16 00:00:00"), delay="60 days")
+
+
 @plan("stream_funnel_state", CHAIN + "SELECT distinct_id, CAST(reached AS BIGINT) AS reached FROM o")
 def _(c):
     r = jobs.run(jobs.funnel_state(live(c), STEPS, H6), "funnel")

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.operators import experiments as ex, insights as ins, ops, sketches
+from eventloom.operators import insights as ins, ops, sketches
 from eventloom.operators.scope import drop_sampler
 from eventloom.session import checkpoint_dir, materialize
 from eventloom.sources import ingest as ig
+from eventloom.streaming.keyed import experiment_tally, funnel_state, use_rocksdb  # noqa: F401
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -27,6 +26,7 @@ def run(stream: DataFrame, name: str, path: str | None = None, mode: str = "appe
     """Process everything available into Parquet, then read the result back as a batch."""
     spark = stream.sparkSession
     base = path or work_dir(spark, name)
+    use_rocksdb(spark)
     q = (stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -156,97 +156,3 @@ def alerts(events: DataFrame, rules: DataFrame, path: str, delay: str = "1 hour"
 
     q = trend(events, "1 hour", delay).writeStream.foreachBatch(check).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-# ---- keyed state -------------------------------------------------------------------------------
-TALLY_OUT = "flag string, variant string, exposed bigint, converted bigint"
-
-
-def _tally(key, batches, state: GroupState):
-    """Per (flag, unit): first exposure and last goal; emits changes of the arm's tallies."""
-    first, last, variant, was_exposed, was_converted = state.get if state.exists else (None, None, "", False, False)
-    for pdf in batches:
-        x = pdf[pdf["is_exposure"]]
-        if len(x):
-            i = x["us"].idxmin()
-            if first is None or x["us"][i] < first:
-                first, variant_new = int(x["us"][i]), x["variant"][i]
-                if was_exposed and variant_new != variant:      # an earlier exposure arrived late: move the unit
-                    yield pd.DataFrame([(key[0], variant, -1, -int(was_converted))], columns=["flag", "variant", "exposed", "converted"])
-                    was_exposed = was_converted = False
-                variant = variant_new
-        g = pdf[~pdf["is_exposure"]]
-        if len(g):
-            last = int(g["us"].max()) if last is None else max(last, int(g["us"].max()))
-    exposed = first is not None
-    converted = exposed and last is not None and last >= first
-    if exposed and (exposed != was_exposed or converted != was_converted):
-        yield pd.DataFrame([(key[0], variant, int(exposed) - int(was_exposed), int(converted) - int(was_converted))], columns=["flag", "variant", "exposed", "converted"])
-    state.update((first, last, variant, exposed, bool(converted)))
-
-
-def experiment_tally(events: DataFrame, flags) -> DataFrame:
-    """Changelog of (flag, variant, exposed, converted); its sums are the running tallies.
-
-    A goal counts for every flag it is the goal of; units are distinct ids.
-    """
-    goals = F.array(*[F.struct(F.lit(f.key).alias("flag"), F.lit(f.goal).alias("goal")) for f in flags])
-    us = F.unix_micros("timestamp")
-    exposure = F.col("name") == ex.EXPOSURE
-    own = F.array(F.struct(F.col(f"`{ex.P_FLAG}`").alias("flag"), F.col("name").alias("goal")))
-    hits = F.when(exposure, own).otherwise(F.filter(goals, lambda g: g["goal"] == F.col("name")))
-    d = events.select("distinct_id", us.alias("us"), exposure.alias("is_exposure"), F.coalesce(F.col(f"`{ex.P_VARIANT}`"), F.lit("")).alias("variant"), F.explode(hits).alias("h"))
-    d = d.select(F.col("h.flag").alias("flag"), F.col("distinct_id").alias("unit"), "us", "is_exposure", "variant").where(F.col("flag").isin(*[f.key for f in flags]))
-    return d.groupBy("flag", "unit").applyInPandasWithState(_tally, TALLY_OUT, "first bigint, last bigint, variant string, was_exposed boolean, was_converted boolean",
-                                                            "append", GroupStateTimeout.NoTimeout)
-
-
-def funnel_state(events: DataFrame, steps, window_s: float, delay: str = "1 hour") -> DataFrame:
-    """(distinct_id, reached) whenever a person gets further in an ordered funnel.
-
-    Events are taken in the order of the batch funnel (time, step, id), whatever micro-batch brought
-    them, and each step must come after the one before in that order: events the watermark has not
-    passed stay in the state and are walked again with what arrives late.  More events can only get a
-    person further, so what is emitted early holds.  State per person is those events and, for each
-    step, the latest entry time of a chain that got there with the time it did (a later entry can only
-    help the window).  It expires one window after the last event.
-    """
-    names, w = list(steps), int(window_s * 1_000_000)
-
-    def walk(events, best, at, reached):
-        best, at = list(best), list(at)
-        for e in events:
-            us = e["us"]
-            for i in range(len(names) - 1, -1, -1):
-                if e["name"] != names[i]:
-                    continue
-                start = us if i == 0 else best[i - 1]
-                if i == 0 or (start >= 0 and us >= at[i - 1] and us - start <= w):
-                    if start >= best[i]:
-                        best[i], at[i] = start, us
-                    reached = max(reached, i + 1)
-        return best, at, reached
-
-    def advance(key, batches, state: GroupState):
-        held, best, at, before = state.get if state.exists else ([], [], [], 0)
-        held, best, at = [e if isinstance(e, dict) else e.asDict() for e in held], list(best) or [-1] * len(names), list(at) or [-1] * len(names)
-        for pdf in batches:
-            held += [{"us": int(us), "rank": int(r), "id": i, "name": n} for us, r, i, n in zip(pdf["us"], pdf["rank"], pdf["id"], pdf["name"])]
-        held.sort(key=lambda e: (e["us"], e["rank"], e["id"]))
-        mark = state.getCurrentWatermarkMs() * 1000
-        due = next((i for i, e in enumerate(held) if e["us"] >= mark), len(held))
-        best, at, reached = walk(held[:due], best, at, before)
-        held = held[due:]
-        reached = walk(held, best, at, reached)[2]
-        if state.hasTimedOut and not held:
-            state.remove()
-        else:
-            state.update((held, best, at, reached))
-            state.setTimeoutTimestamp(max((max([e["us"] for e in held] + at) + w) // 1000, state.getCurrentWatermarkMs() + 1))
-        if reached > before:
-            yield pd.DataFrame([(key[0], reached)], columns=["distinct_id", "reached"])
-
-    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")).cast("int")
-    d = drop_sampler(events).where(F.col("name").isin(*names)).withWatermark("timestamp", delay)
-    d = d.select("distinct_id", "timestamp", "id", "name", F.unix_micros("timestamp").alias("us"), rank.alias("rank"))
-    return d.groupBy("distinct_id").applyInPandasWithState(advance, "distinct_id string, reached bigint", "held array<struct<us:bigint,rank:int,id:string,name:string>>, best array<bigint>, at array<bigint>, reached bigint", "append", GroupStateTimeout.EventTimeTimeout)
