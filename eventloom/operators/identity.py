@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions import scan, values as v
@@ -84,28 +82,25 @@ def alias_edges(df: DataFrame) -> DataFrame:
 
 
 def alias_map(edges: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """(anon, canonical), one hop deep.
+    """(anon, canonical), one hop deep; an anon's newest edge counts.
 
-    A canonical id that was itself aliased earlier is replaced by that alias's own result.  Starting
-    from each anon's newest edge, the edge in force at that moment for the canonical id is looked up
-    as-of (a running last value, no pairs), and so on until nothing is found.  The loop follows only
-    unfinished chains, runs once per level of aliasing, and each level is checkpointed.
+    A canonical id that was itself aliased earlier is replaced by that alias's own result.  For every
+    edge the one in force at its moment for its canonical id is found once, as-of (a running last
+    value, no pairs; strictly earlier by time and id, so there are no circles).  These pointers are
+    then doubled, so the rounds grow with the logarithm of the longest chain.  Finished edges don't
+    join any more; each round is checkpointed.
     """
-    edges = materialize(edges.select("eid", "anon", "canonical", "timestamp"))
-    newest = edges.groupBy("anon").agg(F.max(F.struct("timestamp", "eid", "canonical")).alias("e"))
-    open_ = materialize(newest.select(F.col("anon").alias("root"), "e.timestamp", "e.eid", "e.canonical"))
-    steps = edges.select(F.col("anon").alias("key"), "timestamp", F.col("eid").alias("id"), F.lit(None).cast("string").alias("root"),
-                         F.lit(None).cast("string").alias("canonical"), F.struct("timestamp", "eid", "canonical").alias("edge"))
-    done = []
-    while True:
-        probes = open_.select(F.col("canonical").alias("key"), "timestamp", F.col("eid").alias("id"), "root", "canonical", F.lit(None).cast(steps.schema["edge"].dataType).alias("edge"))
-        look = scan.with_blocks(steps.join(probes.select("key").distinct(), "key", "left_semi").unionByName(probes), "key", rows_per_block=block_rows)
-        look = scan.last_value_so_far(look, F.col("edge"), "up", ["_us", "id"], key="key").where("root is not null")
-        look = materialize(look.select("root", "canonical", "up"))
-        done.append(look.where("up is null").select(F.col("root").alias("anon"), "canonical"))
-        open_ = look.where("up is not null").select("root", "up.timestamp", "up.eid", "up.canonical")
-        if open_.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), done)
+    own = F.struct("timestamp", "eid", "anon", "canonical")
+    edges = materialize(edges.select("eid", "anon", "canonical", "timestamp").distinct())
+    side = lambda key, step: edges.select(F.col(key).alias("key"), "timestamp", F.col("eid").alias("id"), F.lit(step).alias("_step"), own.alias("edge"))
+    look = scan.with_blocks(side("anon", 1).unionByName(side("canonical", 0)), "key", rows_per_block=block_rows)
+    look = scan.last_value_so_far(look, F.when(F.col("_step") == 1, F.col("edge")), "up", ["_us", "id", "_step"], key="key")
+    links = materialize(look.where("_step = 0").select("edge", "edge.canonical", "up"))
+    while not links.where("up is not null").isEmpty():
+        to = links.select(F.col("edge").alias("up"), F.col("canonical").alias("_c"), F.col("up").alias("_up"))
+        further = links.where("up is not null").join(to, "up").select("edge", F.col("_c").alias("canonical"), F.col("_up").alias("up"))
+        links = materialize(links.where("up is null").unionByName(further))
+    return links.groupBy("edge.anon").agg(F.max_by("canonical", F.struct("edge.timestamp", "edge.eid", "edge.canonical")).alias("canonical"))
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame) -> DataFrame:
