@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
-from eventloom.sources import importers as im, ingest as ig, payments as pay, snapshots as sn, tables as tb
+from eventloom.sources import idindex as ix, importers as im, ingest as ig, payments as pay, snapshots as sn, tables as tb
 from eventloom.plans.inputs import ASOF, pick
 from eventloom.plans.population import ALIASED, aliased, counts
 from eventloom.plans.registry import plan
+from eventloom.streaming.jobs import work_dir
 
 NOW = "2024-01-20 12:00:00"
 
@@ -31,12 +32,28 @@ def _(c):
         F.count("*").alias("events"), F.count_distinct(F.when(ok, F.col("distinct_id"))).alias("users"), F.max(us).alias("last_us"), F.sum(us % 1000000007).alias("check_us"))
 
 
-@plan("ingest_dedup", """WITH s AS (SELECT 'e'||(eid - eid%3) AS id, eid, name FROM ev), f AS (SELECT id, arg_min(name, eid) AS name, min(eid) AS eid FROM s GROUP BY 1)
- SELECT id, name, eid FROM f WHERE id NOT IN (SELECT 'e'||eid FROM ev WHERE ts<TIMESTAMP '2024-01-05')""", base="ev")
+DEDUP_SQL = """WITH s AS (SELECT 'e'||(eid - eid%3) AS id, eid, name FROM ev), f AS (SELECT id, arg_min(name, eid) AS name, min(eid) AS eid FROM s GROUP BY 1)
+ SELECT id, name, eid FROM f WHERE id NOT IN (SELECT 'e'||eid FROM ev WHERE ts<TIMESTAMP '2024-01-05')"""
+
+
+def sent(c):
+    return c.events.withColumn("id", F.concat(F.lit("e"), F.col("eid") - F.col("eid") % 3)).select("id", "name", "eid")
+
+
+@plan("ingest_dedup", DEDUP_SQL, base="ev")
 def _(c):
-    sent = c.events.withColumn("id", F.concat(F.lit("e"), F.col("eid") - F.col("eid") % 3)).select("id", "name", "eid")
     stored = c.events.where("timestamp < '2024-01-05'").select("id")
-    return ig.dedup(sent, "eid", stored)
+    return ig.dedup(sent(c), "eid", stored)
+
+
+@plan("ingest_dedup_indexed", DEDUP_SQL, base="ev")
+def _(c):
+    """The same against an index of two stored batches."""
+    index = work_dir(c.spark, "ids")
+    stored = c.events.where("timestamp < '2024-01-05'")
+    for key, part in (("a", stored.where("eid % 2 = 0")), ("b", stored.where("eid % 2 = 1"))):
+        ix.record(part, key, index)
+    return ix.dedup(sent(c), "eid", index, "c")
 
 
 UAS = ["Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15) Version/17 Safari/605", "Mozilla/5.0 (Linux; Android 14) Chrome/121", "Mozilla/5.0 (X11; Linux) Firefox/122",
