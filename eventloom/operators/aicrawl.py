@@ -140,11 +140,24 @@ def totals(df: DataFrame, days: int, asof: str, rows: DataFrame | None = None) -
 
 
 def disallowed_prefixes(df: DataFrame, asof: str) -> DataFrame:
-    """One row: the newest scan's robots.txt disallow prefixes."""
+    """(blocked,): the newest scan's robots.txt disallow prefixes, a row each."""
     s = df.where((F.col("name") == SCAN) & (F.col("timestamp") <= lit_ts(asof)))
     raw = F.max(F.struct("timestamp", "id", F.coalesce(v.text(s, "robots_disallow"), F.lit("")).alias("r")))["r"]
-    parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return s.agg(F.coalesce(parts, F.array().cast("array<string>")).alias("blocked"))
+    parts = s.agg(F.split(raw, ",").alias("p")).select(F.explode("p").alias("x"))
+    return parts.select(F.trim("x").alias("blocked")).where("blocked <> ''").distinct()
+
+
+def not_starting_with(df: DataFrame, text: str, prefixes: DataFrame) -> DataFrame:
+    """Rows whose ``text`` starts with none of ``prefixes(blocked)``.
+
+    A text is looked up by its prefixes, one for each length that occurs among ``prefixes``, so rows carry
+    their own text's prefixes and never the list, however long that is. Texts that share a prefix are looked up once.
+    """
+    lengths = prefixes.agg(F.collect_set(F.char_length("blocked")).alias("_l")).scalar()      # as many as a path is long, at most
+    own = df.select(text).where(F.col(text).isNotNull()).distinct()
+    starts = own.withColumn("_l", lengths).select(F.col(text).alias("_t"), F.explode("_l").alias("_n")).where(F.col("_n") <= F.char_length("_t"))
+    hit = starts.select("_t", F.substring(F.col("_t"), F.lit(1), F.col("_n")).alias("blocked")).join(prefixes, "blocked", "left_semi").select("_t").distinct()
+    return df.join(hit, F.col(text) == F.col("_t"), "left_anti")
 
 
 def gaps(df: DataFrame, days: int, asof: str, limit: int | None = MAX_ROWS, rows: DataFrame | None = None) -> DataFrame:
@@ -154,10 +167,10 @@ def gaps(df: DataFrame, days: int, asof: str, limit: int | None = MAX_ROWS, rows
     raw = F.coalesce(F.when(v.text(d, "path") != "", v.text(d, "path")), v.text(d, "url"), F.lit(""))
     d = d.where(raw != "").select(norm_path(raw).alias("path"), "distinct_id")
     g = d.groupBy("path").agg(F.count("*").alias("views"), F.count_distinct("distinct_id").alias("visitors")).where("visitors >= 2")
-    g = attach_row(g.join(fetched, "path", "left_anti"), disallowed_prefixes(df, asof))
+    g = not_starting_with(g.join(fetched, "path", "left_anti"), "path", disallowed_prefixes(df, asof))
     g = attach_row(g, fetched.agg(F.count("*").alias("_n")))
     seg = F.lower(F.split(F.regexp_replace("path", "^/", ""), "/")[0])
-    g = g.where("_n > 0").where(~seg.isin(*PRIVATE_SEGMENTS) & ~F.exists("blocked", lambda b: F.startswith(F.col("path"), b)))
+    g = g.where("_n > 0").where(~seg.isin(*PRIVATE_SEGMENTS))
     g = g.select("path", "views", "visitors")
     return g.orderBy(F.desc("views"), "path").limit(limit) if limit else g
 

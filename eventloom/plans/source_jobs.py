@@ -10,13 +10,13 @@ NOW = "2024-01-20 12:00:00"
 
 
 # ---- ingest ------------------------------------------------------------------------------------------
-def raw_lines(c):
+def raw_lines(c, *extra):
     """Each event as a client would send it: some broken, nameless, oversized, badly dated or without an id."""
     e, k = F.col("eid"), F.col("k")
     ts = F.when(e % 13 == 0, "1999-05-01T00:00:00Z").when(e % 29 == 0, F.lit(None)).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     props = F.struct("path", "amount", F.when(e % 31 == 0, F.repeat(F.lit("x"), 9000)).alias("big"))
     good = F.to_json(F.struct(F.when(e % 5 != 0, F.col("id")).alias("id"), F.when(e % 7 != 0, F.col("name")).alias("name"), F.when(e % 11 != 0, F.col("distinct_id")).alias("distinct_id"), ts.alias("timestamp"), props.alias("properties")))
-    return c.events.select(F.when(e % 17 == 0, F.lit('{"name": ')).otherwise(good).alias("value"))
+    return c.events.select(F.when(e % 17 == 0, F.lit('{"name": ')).otherwise(good).alias("value"), *extra)
 
 
 REASON = "CASE WHEN eid%17=0 THEN 'invalid JSON' WHEN eid%7=0 THEN 'missing event name' WHEN eid%31=0 THEN 'property too large' WHEN eid%11=0 THEN 'missing distinct_id' ELSE 'accepted' END"
@@ -32,6 +32,18 @@ def _(c):
         F.count("*").alias("events"), F.count_distinct(F.when(ok, F.col("distinct_id"))).alias("users"), F.max(us).alias("last_us"), F.sum(us % 1000000007).alias("check_us"))
 
 
+@plan("ingest_dropped", f"""WITH r AS (SELECT {REASON} AS reason, name LIKE 'view%' AND k%10 IN (5,7,8,9) AS bot FROM ev), x AS (SELECT CASE WHEN reason<>'accepted' THEN 'rejected_'||lower(replace(reason,' ','_')) WHEN bot THEN 'bots' ELSE 'stored' END AS what FROM r)
+ SELECT what, count(*) AS rows FROM x GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM x UNION ALL SELECT unnest(['rejected_too_many_properties','rejected_event_too_large']), 0""", base="ev")
+def _(c):
+    """Counts of what a store job left out, observed while it wrote the rest."""
+    from types import SimpleNamespace
+    n, k = F.col("name"), F.col("k")
+    lines = raw_lines(SimpleNamespace(events=c.events.withColumn("name", F.when(n == "view", "$pageview").otherwise(n))), pick(UAS, k % 10).alias("user_agent"))
+    rows, seen = ig.observed(ig.normalize(lines, NOW), "ingest_dropped", "user_agent")
+    rows.drop("properties").write.parquet(work_dir(c.spark, "stored"))
+    return c.spark.createDataFrame(sorted(seen.get.items()), "what string, rows bigint")
+
+
 DEDUP_SQL = """WITH s AS (SELECT 'e'||(eid - eid%3) AS id, eid, name FROM ev), f AS (SELECT id, arg_min(name, eid) AS name, min(eid) AS eid FROM s GROUP BY 1)
  SELECT id, name, eid FROM f WHERE id NOT IN (SELECT 'e'||eid FROM ev WHERE ts<TIMESTAMP '2024-01-05')"""
 

@@ -3,13 +3,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from eventloom.functions.values import compute_once
 from eventloom.model import FIXED, lit_ts
 
 # fixed values: size limits, and the earliest believable timestamp
 MAX_PROPS, MAX_PROP_BYTES, MAX_EVENT_BYTES, MIN_TIME = 250, 8 << 10, 32 << 10, "2000-01-01 00:00:00"
+REASONS = ("invalid JSON", "missing event name", "too many properties", "property too large", "event too large", "missing distinct_id")
 # fixed values: user-agent fragments of automated agents
 BOT_PATTERNS = (
     "googlebot", "bingbot", "yandexbot", "baiduspider", "duckduckbot", "applebot", "gptbot", "claudebot", "claude-web", "perplexitybot", "google-extended",
@@ -108,6 +109,23 @@ def filter_bots(df: DataFrame, ua: str = "user_agent") -> DataFrame:
     return df.where(~(auto & is_bot(F.col(ua))))
 
 
+def observed(d: DataFrame, name: str = "ingest", ua: str | None = None) -> tuple[DataFrame, Observation]:
+    """(rows to store, counts): ``d`` comes from ``normalize``; what is left out is counted on the pass that writes the rest.
+
+    The counts fill with the first action on the rows: ``rows``, ``stored``, ``bots`` and ``rejected_<reason>``, with a bot
+    counted where its row is sound. ``ua`` names the column of user agents; without one no bot is looked for.
+    A retried task counts its rows once.
+    """
+    seen = Observation(name)
+    sound = F.col("reason").isNull()
+    auto = F.startswith("name", F.lit("$")) & (F.col("name") != "$ai_crawl")
+    bot = sound & auto & is_bot(F.col(ua)) if ua else F.lit(False)
+    n = lambda c, to: F.count(F.when(c, 1)).alias(to)
+    reasons = [n(F.col("reason") == r, "rejected_" + r.replace(" ", "_").lower()) for r in REASONS]
+    watched = d.observe(seen, F.count(F.lit(1)).alias("rows"), n(sound & ~bot, "stored"), n(bot, "bots"), *reasons)
+    return watched.where(sound & ~bot).drop("reason", "value"), seen
+
+
 def bot_counts(df: DataFrame, ua: str = "user_agent") -> DataFrame:
     auto = F.startswith("name", F.lit("$")) & (F.col("name") != "$ai_crawl")
     bad = auto & is_bot(F.col(ua))
