@@ -22,17 +22,25 @@ def activity(df: DataFrame, event: str = "", bucket: str = "day") -> DataFrame:
     return d.select("distinct_id", p).distinct()
 
 
+def rolling_hits(u: DataFrame, max_periods: int) -> DataFrame:
+    """(first, n) for every period up to a person's last one."""
+    return u.select("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("last") - F.col("first"), F.lit(max_periods)))).alias("n"))
+
+
 def grid(df: DataFrame, max_periods: int, event: str = "", bucket: str = "day", rolling: bool = False) -> DataFrame:
     """(cohort, cohort_num, n, returned, size), zero-filled for n = 0..max_periods."""
     act = activity(df, event, bucket)
     if rolling:
         u = act.groupBy("distinct_id").agg(F.min("period").alias("first"), F.max("period").alias("last"))
-        hits = u.select("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(
-            F.col("last") - F.col("first"), F.lit(max_periods)))).alias("n"))
+        hits = rolling_hits(u, max_periods)
     else:
         u = act.withColumn("first", F.min("period").over(W.partitionBy("distinct_id")))
         hits = u.select("first", (F.col("period") - F.col("first")).alias("n")).where(F.col("n") <= max_periods)
-    cells = hits.groupBy("first", "n").agg(F.count("*").alias("c"))
+    return zero_filled(hits.groupBy("first", "n").agg(F.count("*").alias("c")), max_periods, bucket)
+
+
+def zero_filled(cells: DataFrame, max_periods: int, bucket: str) -> DataFrame:
+    """(cohort, cohort_num, n, returned, size) of (first, n, c), with 0 where there is no cell."""
     by_cohort = cells.groupBy("first").agg(
         F.map_from_entries(F.collect_list(F.struct("n", "c"))).alias("m"))   # ≤ max_periods+1 entries
     out = by_cohort.select("first", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_periods).cast("bigint"))).alias("n"))
