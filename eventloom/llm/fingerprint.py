@@ -13,8 +13,9 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from eventloom.llm import order
@@ -89,7 +90,7 @@ _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_c
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row against the row after it; a guest row only ends its block."""
+    """Each row against the row after it; a guest row is only there for the row before it."""
     last: tuple[list, list, list, np.ndarray] | None = None
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -112,32 +113,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Each document (``doc_id``, ``text``) with its text edited by the next one, by descending ``doc_id`` (null last; ties by
-    text), the first following the last.
+    """Each document (``doc_id``, ``text``) with its text edited by the next one, by descending ``doc_id`` (null last; ties by a
+    hash of the text, so that equal rows are next to one another), the first following the last.
 
-    The texts move once: to blocks of neighbouring ids, whose bounds are percentiles of the ids. The first row of each block
-    also goes, as a guest, to the end of the block before it; these are as many as blocks.
+    The texts are sorted once, into ranges of about as many rows each: rows that share an id or have none spread over ranges
+    like others, equal rows too. Ranges are compared as they lie; of each, just the last row and the next range's first are
+    brought together.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * parts
-    bounds = d.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    block = order.upper_bound(sorted(set(bounds)), F.col("doc_id")).alias("_block")
-    heads = {r["_block"]: r["top"] for r in d.select("doc_id", block).groupBy("_block").agg(F.max("doc_id").alias("top")).collect()}
-    blocks = sorted(heads)
-    # the block with smaller ids comes later in the order: its head closes the block above it, and the top head the lowest
-    goes = [(heads[b], blocks[(i + 1) % len(blocks)]) for i, b in enumerate(blocks)]
-    same = lambda v: F.col("doc_id").isNull() if v is None else F.col("doc_id") == v
-    to = F.lit(None).cast("int")
-    for part in [goes[i:i + 200] for i in range(0, len(goes), 200)]:
-        known = F.create_map(*(F.lit(x) for v, b in part if v is not None for x in (v, b))) if any(v is not None for v, _ in part) else None
-        if known is not None:
-            to = F.coalesce(to, known[F.col("doc_id")])
-        for v, b in part:
-            if v is None:
-                to = F.coalesce(to, F.when(same(v), F.lit(b)))
-    guests = d.select("doc_id", "text", to.alias("_block"), F.lit(True).alias("_guest")).where(F.col("_block").isNotNull())
-    rows = d.select("doc_id", "text", block, F.lit(False).alias("_guest")).unionByName(guests)
-    placed = rows.repartition(parts, "_block").sortWithinPartitions("_block", "_guest", F.col("doc_id").desc_nulls_last(), "text")
-    return placed.mapInArrow(_compared, _FOUND)
+    d = d.select("*", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    placed = order.positions(d, F.col("doc_id").desc_nulls_last(), F.col("_hash"), F.col("_row")).select("doc_id", "text", "_part", "_pos")
+    # as many rows as ranges
+    ranges = placed.groupBy("_part").agg(F.max("_pos").alias("_last"))
+    before = F.coalesce(F.lag("_part").over(W.orderBy("_part")), F.max("_part").over(W.partitionBy(F.lit(0))))
+    ranges = ranges.select(F.col("_part").alias("_range"), "_last", before.alias("_before"))
+    ends = placed.join(F.broadcast(ranges), F.col("_part") == F.col("_range"))
+    goes = F.array(F.when(F.col("_pos") == F.col("_last"), F.struct(F.col("_part").alias("_block"), F.lit(False).alias("_guest"))),
+                   F.when(F.col("_pos") == 0, F.struct(F.col("_before").alias("_block"), F.lit(True).alias("_guest"))))
+    ends = ends.where((F.col("_pos") == 0) | (F.col("_pos") == F.col("_last"))).select("doc_id", "text", F.inline(F.filter(goes, lambda x: x.isNotNull())))
+    ends = ends.repartition("_block").sortWithinPartitions("_block", "_guest").select("doc_id", "text", "_guest")
+    inside = placed.select("doc_id", "text", F.lit(False).alias("_guest"))
+    return inside.mapInArrow(_compared, _FOUND).unionByName(ends.mapInArrow(_compared, _FOUND))
