@@ -122,11 +122,12 @@ def _contexts(ids: np.ndarray, begin: np.ndarray, n: int, start: int) -> np.ndar
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = x * np.float32(0.5)
+def _sigmoid(x: np.ndarray, sign: int = 1) -> np.ndarray:
+    """``sign`` times the sigmoid of ``x``, which is overwritten."""
+    x *= np.float32(0.5)
     np.tanh(x, out=x)
     x += 1
-    x *= np.float32(0.5)
+    x *= np.float32(0.5 * sign)
     return x
 
 
@@ -155,7 +156,7 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
     def move(name: str, rows: np.ndarray, g: np.ndarray, times) -> None:
         met[name][rows] += times
         seen[name][rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        p[name][rows] += RATE * g / np.sqrt(seen[name][rows])[:, None]
+        p[name][rows] += g * (RATE / np.sqrt(seen[name][rows]))[:, None]
 
     for ids, begin in stream:
         ctx = _contexts(ids, begin, distances, heads + 1)
@@ -171,12 +172,15 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
             noise = np.minimum(np.searchsorted(p["class_cum"], rng.random(NOISE)), tail)
             u, un = classes[c], classes[noise]
             gp = _sigmoid(class_price[c] - np.einsum("bd,bd->b", u, q1))
-            gn = -_sigmoid(q1 @ un.T - class_price[noise]).astype(np.float32, copy=False)
-            gq = gp[:, None] * u + gn @ un
+            gn = q1 @ un.T
+            gn -= class_price[noise]
+            gn = _sigmoid(gn, -1)
+            gq = gn @ un
+            gq += gp[:, None] * u
             first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             size = np.diff(np.append(first, len(c)))
             g = np.zeros((tail + 1, q1.shape[1]), np.float32)
-            g[c[first]] = _sums(gp[:, None] * q1, first)
+            g[c[first]] = np.stack([gp[a:a + k] @ q1[a:a + k] for a, k in zip(first.tolist(), size.tolist())])
             np.add.at(g, noise, gn.T @ q1)
             times = np.bincount(noise, minlength=tail + 1)
             times[c[first]] += size
@@ -194,7 +198,8 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
                 miss, away = np.empty((n, WORD_NOISE), np.float32), np.empty_like(r)
                 for k, (a, e) in enumerate(zip(edge[:-1], edge[1:])):
                     np.matmul(y[a:e], r[k].T, out=miss[a:e])
-                miss = -_sigmoid(miss - np.repeat(word_price[drawn], np.diff(edge), axis=0))
+                miss -= np.repeat(word_price[drawn], np.diff(edge), axis=0)
+                miss = _sigmoid(miss, -1)
                 for k, (a, e) in enumerate(zip(edge[:-1], edge[1:])):
                     np.matmul(miss[a:e].T, y[a:e], out=away[k])
                     gq[a:e] += miss[a:e] @ r[k]
@@ -203,7 +208,10 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
                 u, place = np.unique(np.concatenate([v[first], drawn.ravel()]), return_inverse=True)
                 g = np.zeros((len(u), q1.shape[1]), np.float32)
                 g[place[:len(first)]] = _sums(hit * y, first)
-                np.add.at(g, place[len(first):], away.reshape(-1, q1.shape[1]))
+                hits = np.argsort(place[len(first):], kind="stable")      # sums of sorted runs: a third of the time of adding row by row
+                at = place[len(first):][hits]
+                run = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                g[at[run]] += _sums(away.reshape(-1, q1.shape[1])[hits], run)
                 times = np.bincount(place[len(first):], minlength=len(u))
                 times[place[:len(first)]] += np.diff(np.append(first, n))
                 move("words", u, g, times)
@@ -215,7 +223,9 @@ def trained(p: dict, stream, seed: int) -> tuple[dict, dict]:
             owed, times = np.zeros_like(gq), np.zeros(len(w), np.int64)
             for i, f in enumerate(far):
                 inside = ctx[lo + i + 1:lo + len(w), i] <= heads
-                owed[:len(w) - i - 1] += placed[i + 1:] * (f * inside[:, None])
+                due = placed[i + 1:] * f
+                due[~inside] = 0
+                owed[:len(w) - i - 1] += due
                 times[:len(w) - i - 1] += inside
                 start = ctx[lo:lo + len(w), i] > heads
                 if start.any():
