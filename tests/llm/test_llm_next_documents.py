@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from eventloom.llm import fingerprint as fp
 from eventloom.llm.arrays import constants
@@ -63,31 +62,12 @@ def test_whole_rows_against_a_recount(spark):
         assert r.near_edited == pytest.approx(alike(own, changed)) and r.near_next == pytest.approx(alike(own, after))
 
 
-@pytest.fixture
-def small_ranges(spark):
-    """Ranges of a test are tiny; Spark would join them into one."""
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")
-    yield
-    spark.conf.unset(key)
-
-
-def test_rows_without_ids_or_with_one_id_spread_over_tasks(spark, small_ranges):
-    rows = [(None, f"text {i % 900} of many words") for i in range(4000)] + [(7, "same")] * 2500 + [(i, f"own {i}") for i in range(100, 400)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    out = fp.compare_with_next(d).withColumn("_task", F.spark_partition_id()).persist()
-    assert out.count() == len(rows)
-    sizes = sorted(r["count"] for r in out.groupBy("_task").count().collect())
-    assert sizes[-1] < len(rows) / 4, sizes
-    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in rows)
-    # the order: ids downwards, then rows without one; the last is followed by the first, the 399th text
-    edited = Counter(r.edited_sha256 for r in out.where("doc_id between 101 and 399").collect())
-    want = Counter(sha256(fp.edit(f"own {i}", f"own {i - 1}").encode()).hexdigest() for i in range(101, 400))
-    assert edited == want
-    last = [r for r in out.where("doc_id is null").select("edited_sha256").collect()]
-    wrapped = {sha256(fp.edit(f"text {i} of many words", "own 399").encode()).hexdigest() for i in range(900)}
-    assert sum(r.edited_sha256 in wrapped for r in last) == 1
-    out.unpersist()
+def test_rows_without_ids_or_with_one_id(spark):
+    """Null ids come last; rows that share an id are in the order of their texts."""
+    rows = [(None, f"text {i % 90} of many words") for i in range(400)] + [(7, "same")] * 250 + [(i, f"own {i}") for i in range(100, 140)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter((i, sha256(fp.edit(t, other).encode()).hexdigest()) for (i, t), (_, other) in next_rows(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in found(spark, rows)) == want
 
 
 def test_one_row_follows_itself_and_none_gives_none(spark):
