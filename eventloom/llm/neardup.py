@@ -160,24 +160,24 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(c, F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
 
 
-def _jumped(to: DataFrame) -> DataFrame:
-    """``node, component`` with each component replaced by its own, twice over."""
+def _chained(pivots: DataFrame) -> DataFrame:
+    """``node, n, cell, comp, linked`` after one step along the pivots → after four. A class is in its cell's chain as far as links are
+    confirmed without a gap: ``comp`` is where they end, and ``linked`` says that they reach the cell."""
     for _ in range(2):
-        on = to.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        to = to.join(on, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
-    return to
+        on = pivots.select(F.col("node").alias("_node"), F.col("cell").alias("_cell"), F.col("comp").alias("_comp"), F.col("linked").alias("_linked"))
+        far = F.when(F.col("linked"), F.col("_comp")).otherwise(F.col("comp"))
+        pivots = pivots.join(on, F.col("cell") == F.col("_node")).select("node", "n", F.col("_cell").alias("cell"), far.alias("comp"), (F.col("linked") & F.col("_linked")).alias("linked"))
+    return pivots
 
 
-def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
+def _apart(members: DataFrame, cells: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs of components that a link joins, over classes that share a bucket.
 
     The classes with a common pivot are a cell, pivots going with their own pivots twice over, so that a large group has few
     cells. Two cells that meet in such a bucket are compared block by block, inside a task;
     only links leave it. A block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles.
     """
-    cell = _jumped(cells.select("node", F.col("cell").alias("component"))).select("node", F.col("component").alias("cell"))
-    cells = materialize(cells.select("node", "n").join(cell, "node"))
-    now = _labels(members.select("node", "bucket"), comp).join(cells, "node")
+    now = members.select("node", "bucket").join(cells, "node")
     apart = now.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
     active = materialize(now.join(apart, "bucket", "left_semi"))
     met = active.select("bucket", "cell").distinct()
@@ -190,9 +190,11 @@ def _apart(members: DataFrame, cells: DataFrame, comp: DataFrame, known: DataFra
     units = units.withColumn("j", F.explode(F.sequence(F.when(F.col("c") == F.col("d"), F.col("i")).otherwise(0), F.col("_d") - 1)))
     units = units.select("c", "i", "d", "j", F.xxhash64("c", "i", "d", "j").alias("unit"))
     row = ("node", "n", "comp")
-    left = placed.join(units.select(F.col("c").alias("cell"), F.col("i").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(True).alias("left"), *row)
-    right = placed.join(units.where("c <> d or i <> j").select(F.col("d").alias("cell"), F.col("j").alias("block"), "unit"), ["cell", "block"]).select("unit", F.lit(False).alias("left"), *row)
-    sent = left.unionByName(right).join(known, "node").select("unit", "left", *row, "sig", "set")
+    # a unit of a block with itself has a left side only
+    side = lambda cell, block, left: F.struct(F.col(cell).alias("cell"), F.col(block).alias("block"), F.lit(left).alias("left"))
+    both = F.when((F.col("c") == F.col("d")) & (F.col("i") == F.col("j")), F.array(side("c", "i", True))).otherwise(F.array(side("c", "i", True), side("d", "j", False)))
+    sides = units.select("unit", F.explode(both).alias("_s")).select("unit", "_s.*")
+    sent = placed.join(sides, ["cell", "block"]).join(known, "node").select("unit", "left", *row, "sig", "set")
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_compare(percent, miss), "a long, b long").distinct()
 
@@ -284,11 +286,15 @@ def _grouped(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
     links = _links(cells.where((F.col("node") != F.col("cell")) & fits).select(F.col("node").alias("x"), F.col("cell").alias("y")), known, percent, miss)
     # a class with a confirmed link takes its pivot's place; pivots may have taken another's
-    comp = materialize(_jumped(links.select(F.col("a").alias("node"), F.col("b").alias("component"))))
-    more = materialize(_apart(members, cells, comp, known, percent, miss))
+    links = links.select(F.col("a").alias("_a"), F.lit(True).alias("_ok"))
+    linked = (F.col("node") == F.col("cell")) | F.coalesce("_ok", F.lit(False))
+    pivots = materialize(cells.join(links, F.col("node") == F.col("_a"), "left").select("node", "n", "cell", F.when(linked, F.col("cell")).otherwise(F.col("node")).alias("comp"), linked.alias("linked")))
+    cells = materialize(_chained(pivots).drop("linked"))
+    more = materialize(_apart(members, cells, known, percent, miss))
+    comp = cells.select("node", F.col("comp").alias("component"))
     if not more.isEmpty():
         joined = components(more).select(F.col("node").alias("_m"), F.col("component").alias("_c"))
-        comp = _labels(classes.select("node"), comp).join(joined, F.col("comp") == F.col("_m"), "left").select("node", F.coalesce("_c", "comp").alias("component"))
+        comp = comp.join(joined, F.col("component") == F.col("_m"), "left").select("node", F.coalesce("_c", "component").alias("component"))
     ids = _labels(classes.select("node", "first_id"), comp)
     smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     placed = ids.join(smallest, "comp").select(F.col("node").alias("_node"), "comp", "component_id")

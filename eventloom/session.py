@@ -38,7 +38,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate table used several times to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate table used several times to the shared checkpoint folder and cut its lineage.
+
+    Its shuffle files go as soon as it is written, not whenever the driver happens to collect its garbage: the plan that writes
+    is made here and never runs again.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        own = df.select("*")
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return own.checkpoint()
