@@ -39,7 +39,9 @@ def _(c):
 @plan("stream_active_users", """WITH w AS (SELECT distinct_id, unnest(generate_series(us//60000000-4, us//60000000))*60000000 AS start_us FROM pev)
  SELECT start_us, count(DISTINCT distinct_id) AS live FROM w WHERE start_us+300000000 <= (SELECT max(us) FROM pev)-3600000000 GROUP BY 1""")
 def _(c):
-    return jobs.run(jobs.active_users(live(c)), "active").select(US("start").alias("start_us"), "live")
+    path = jobs.work_dir(c.spark, "active")
+    jobs.active_users(live(c), path)
+    return c.spark.read.schema(jobs.LIVE_OUT).parquet(f"{path}/data").select(US("start").alias("start_us"), "live")
 
 
 @plan("stream_sessions", """WITH f AS (SELECT *, CASE WHEN us-lag(us) OVER w<=1800000000 THEN 0 ELSE 1 END AS o FROM pev WINDOW w AS (PARTITION BY distinct_id ORDER BY us,id)), n AS (SELECT *, sum(o) OVER (PARTITION BY distinct_id ORDER BY us,id) AS sid FROM f),

@@ -1,12 +1,13 @@
 """Structured Streaming jobs: ingest, trends, live actives, sessions, alerts, experiment tallies, funnels.
 
 Each builder takes a streaming DataFrame and returns a streaming DataFrame; ``run`` drains what is
-available into a Parquet sink.  The watermark delay is a parameter everywhere.  Micro-batch size is
+available into a Parquet sink.  ``active_users`` and ``alerts`` write what is final themselves.  The watermark delay is a parameter everywhere.  Micro-batch size is
 bounded at the source (maxFilesPerTrigger / maxBytesPerTrigger).
 """
 from __future__ import annotations
 
 import uuid
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -48,12 +49,66 @@ def trend(events: DataFrame, grain: str = "1 hour", delay: str = "1 hour") -> Da
     return w.select(F.col("window.start").alias("start"), "name", "n")
 
 
-def active_users(events: DataFrame, width: str = "5 minutes", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
-    """Exact distinct people per sliding window: people per window first, then counted."""
+LIVE_OUT = "start timestamp, live bigint"
+
+
+def _micros(spark: SparkSession, length: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.expr(f"TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {length}"))).first()[0]
+
+
+def _people_of(windows: DataFrame, seen: DataFrame, width: int, grain: int) -> DataFrame:
+    """(start, live): distinct people of each window, a row per window, from (distinct_id, at), the grains people were seen in.
+
+    A person is counted once in each window: at the first of their grains in it. So a grain counts in the windows that hold it but
+    not the person's grain before, at most ``width // grain`` of them, and only numbers per grain are spread over windows.
+    """
+    once = seen.distinct()
+    before = F.lag("at").over(W.partitionBy("distinct_id").orderBy("at"))
+    n = F.lit(width // grain).cast("bigint")
+    steps = once.select("at", F.least(F.coalesce(F.call_function("div", F.col("at") - before, F.lit(grain)), n), n).alias("back"))
+    firsts = steps.groupBy("at", "back").agg(F.count("*").alias("n"))
+    starts = F.sequence(F.col("at") - (F.col("back") - 1) * F.lit(grain), F.col("at"), F.lit(grain).cast("bigint"))
+    live = firsts.select(F.explode(starts).alias("_us"), "n").groupBy(F.timestamp_micros("_us").alias("start")).agg(F.sum("n").alias("live"))
+    return windows.join(live, "start", "left").fillna(0, ["live"])
+
+
+def active_users(events: DataFrame, path: str, width: str = "5 minutes", slide: str = "1 minute", delay: str = "1 hour") -> None:
+    """Exact distinct people of each sliding window, written to ``path/data`` when the window is final.
+
+    The state is a row per open window, not per window and person: it tells which windows the watermark has passed. People are
+    kept under ``path/rows``, one folder per micro-batch, as (distinct_id, grain); a batch reads back
+    only the folders that reach into the windows it closes.  An event counts in every window that is still open when it comes, as
+    in Spark's own windows.  A replayed batch overwrites its own output.
+    """
+    spark = events.sparkSession
+    wide, every = _micros(spark, width), _micros(spark, slide)
+    grain = gcd(wide, every)
+    us = F.unix_micros("timestamp")
     d = events.withWatermark("timestamp", delay)
-    per = d.groupBy(F.window("timestamp", width, slide), "distinct_id").agg(F.count("*").alias("n"))
-    c = per.groupBy("window").agg(F.count("*").alias("live"))
-    return c.select(F.col("window.start").alias("start"), "live")
+    seen = d.where("distinct_id is not null and timestamp is not null").select("distinct_id", (us - F.pmod(us, F.lit(grain))).alias("at"))
+    final = d.groupBy(F.window("timestamp", width, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"))
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        row = "distinct_id string, at bigint, start timestamp"
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        own = spark.read.schema(row).parquet(f"{path}/rows/batch={batch_id}")
+        own.agg(F.max("at").alias("hi")).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        windows = own.where("start is not null").select("start")
+        lo, hi = windows.agg(F.unix_micros(F.min("start")), F.unix_micros(F.max("start")) + wide).first()
+        out = spark.createDataFrame([], LIVE_OUT)
+        if lo is not None:
+            marks = spark.read.schema("hi bigint, batch bigint").parquet(f"{path}/marks").where((F.col("batch") <= batch_id) & (F.col("hi") >= lo))
+            # folders that reach into the windows that close: at most one per micro-batch of that time
+            folders = [f"{path}/rows/batch={r[0]}" for r in marks.select("batch").collect()]
+            rows = spark.read.schema(row).parquet(*folders).where((F.col("at") >= lo) & (F.col("at") < hi)) if folders else own.limit(0)
+            out = _people_of(windows, rows.select("distinct_id", "at"), wide, grain)
+        out.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+
+    use_rocksdb(spark)
+    q = (seen.unionByName(final, allowMissingColumns=True).writeStream.foreachBatch(close).option("checkpointLocation", f"{path}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def people_sketches(events: DataFrame, grain: str = "1 minute", delay: str = "1 hour", lg_k: int = sketches.LG_K) -> DataFrame:
