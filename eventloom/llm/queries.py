@@ -129,13 +129,16 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("op9_repeated_strings")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents less the bytes of repeated 400-byte strings; untouched texts are digested where they are read."""
+    """Documents less the bytes of repeated 400-byte strings; untouched texts are digested where they are read. Passages of over 50 words
+    that another document has too are counted in ``n_shared``, whatever their bytes; below 400 bytes they stay."""
     d = _table(spark, sf, "documents").select("doc_id", "text")
-    rows, texts = suffix.repeated(d, 400)
-    cut = texts.select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
-                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows, texts, shared = suffix.repeated_and_shared(d, 400, 51)
+    cut = texts.select("x1", "x2", F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.lit(0).cast("long").alias("n_shared"))
+    cut = cut.unionByName(shared, allowMissingColumns=True).groupBy(F.col("x1").alias("_x1"), F.col("x2").alias("_x2")).agg(*[F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "n_shared")])
     return rows.join(cut, (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
 
 
 def _crc_table() -> list[int]:

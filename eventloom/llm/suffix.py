@@ -14,6 +14,10 @@ string with very many occurrences is one name per pack.
 
 Texts that occur more than once are wholly repeated if long enough, and take part in the ranking once. Null texts are empty.
 Empty input gives no rows. Names have 64 bits: at 10^10 surviving positions, the expected number of false repeats is about 3.
+
+Passages are the same on words: runs of a number of words, whatever white space lies between them, that another document has too.
+Nothing is removed for them; they are counted. Marks are the sparse positions of words, and a run counts once a document however
+often the document repeats it, so a line that only one document repeats is none.
 """
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.arrays import buffers, constants, mix, slices
+from eventloom.llm.arrays import buffers, constants, mix, slices, words
 from eventloom.session import materialize
 
 PACK = 1 << 21
@@ -80,58 +84,84 @@ def sparse(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return p, n[p]
 
 
-_SPARSE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("names", T.ArrayType(T.LongType())), T.StructField("twice", T.ArrayType(T.BooleanType()))])
+_SPARSE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("names", T.ArrayType(T.LongType())), T.StructField("twice", T.ArrayType(T.BooleanType())),
+                         T.StructField("n_words", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))])
+
+
+def _distinct(p: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names of each row, how often it has them, and where each row's begin."""
+    row = np.searchsorted(own, p, "right") - 1
+    order = np.lexsort((n, row))
+    row, n = row[order], n[order]
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (n[1:] != n[:-1]))[:len(n)])
+    return n[new].view(np.int64), np.diff(np.append(new, len(n))), np.searchsorted(row[new], np.arange(1, len(own)))
 
 
-def _sparse_rows(length: int):
+def _sparse_rows(length: int, run: int):
     def rows(batches):
         for b in batches:
             data, at = buffers(b.column("text"))
-            found, twice, ends = [], [], [np.zeros(1, np.int64)]
+            found, twice, ends, n_words, marks, mark_ends = [], [], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(1, np.int64)]
             for lo, hi in slices(at):
                 own = at[lo:hi + 1] - at[lo]
-                p, n = sparse(data[at[lo]:at[hi]], own, length)
-                row = np.searchsorted(own, p, "right") - 1
-                order = np.lexsort((n, row))
-                row, n = row[order], n[order]
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (n[1:] != n[:-1]))[:len(n)])
-                found.append(n[new].view(np.int64))
-                twice.append(np.diff(np.append(new, len(n))) > 1)
-                ends.append(np.searchsorted(row[new], np.arange(1, len(own))) + ends[-1][-1])
-            places = pa.array(np.concatenate(ends).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(places, pa.array(np.concatenate(v) if v else np.zeros(0, kind))) for v, kind in ((found, np.int64), (twice, bool))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x1"), b.column("x2"), b.column("whole"), pa.array(np.diff(at)), *lists], names=_SPARSE.names)
+                n, times, end = _distinct(*sparse(data[at[lo]:at[hi]], own, length), own)
+                found.append(n)
+                twice.append(times > 1)
+                ends.append(end + ends[-1][-1])
+                if run:
+                    w, first = words(data[at[lo]:at[hi]], own, lower=False)
+                    n_words.append(np.diff(first))
+                    n, _, end = _distinct(*sparse(w, first, run), first)
+                    marks.append(n)
+                    mark_ends.append(end + mark_ends[-1][-1])
+            if not run:
+                n_words, mark_ends = [np.zeros(b.num_rows, np.int64)], [np.zeros(b.num_rows + 1, np.int64)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(e).astype(np.int32)), pa.array(np.concatenate(v) if v else np.zeros(0, kind)))
+                     for e, v, kind in ((ends, found, np.int64), (ends, twice, bool), (mark_ends, marks, np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x1"), b.column("x2"), b.column("whole"), pa.array(np.diff(at)), *lists[:2], pa.array(np.concatenate(n_words)), lists[2]], names=_SPARSE.names)
     return rows
 
 
 _PACKS = T.StructType([T.StructField("pack", T.LongType()), T.StructField("x1", T.ArrayType(T.LongType())), T.StructField("x2", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
                        T.StructField("data", T.BinaryType()), T.StructField("open", T.BinaryType())])
+_PACKS_ARROW = pa.schema([("pack", pa.int64()), ("x1", pa.list_(pa.int64())), ("x2", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary()), ("open", pa.binary())])
 
 
-def _pack_rows(length: int):
-    """Texts that have a repeated sparse name, a few MB to a row, with a bit for each string that is still open."""
+def _pack_rows(length: int, run: int):
+    """Texts that have a repeated sparse name, a few MB to a row, with a bit for each string that is still open. Those that have
+    a repeated mark are in rows of their own, without bits, as the names of their open runs."""
     def rows(batches):
-        part, made, held = TaskContext.get().partitionId() << 32, 0, []
+        part, made, held, runs = TaskContext.get().partitionId() << 32, 0, [], []
 
-        def row():
-            ends = np.cumsum([len(d) for _, _, d, _ in held])
-            return pa.RecordBatch.from_arrays([pa.array([part + made]), pa.array([[h[0] for h in held]]), pa.array([[h[1] for h in held]]), pa.array([ends]), pa.array([b"".join(h[2].tobytes() for h in held)], pa.binary()),
-                                               pa.array([np.packbits(np.concatenate([h[3] for h in held])).tobytes()], pa.binary())], schema=pa.schema([("pack", pa.int64()), ("x1", pa.list_(pa.int64())), ("x2", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary()), ("open", pa.binary())]))
+        def row(held):
+            open_ = None if held[0][3] is None else np.packbits(np.concatenate([h[3] for h in held])).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([part + made], [[h[0] for h in held]], [[h[1] for h in held]], [np.cumsum([len(h[2]) for h in held])], [b"".join(h[2].tobytes() for h in held)], [open_]), _PACKS_ARROW.types)], schema=_PACKS_ARROW)
 
         for b in batches:
             data, at = buffers(b.column("text"))
-            x1, x2, repeated = b.column("x1").to_pylist(), b.column("x2").to_pylist(), b.column("names")
+            x1, x2, repeated, marked = b.column("x1").to_pylist(), b.column("x2").to_pylist(), b.column("names"), b.column("marks")
             for i in range(b.num_rows):
                 d = data[at[i]:at[i + 1]]
-                _, low, ok = smallest(d, np.array([0, len(d)]), length)
-                open_ = np.zeros(len(d), bool)
-                open_[:len(low)] = ok & np.isin(low, repeated[i].values.to_numpy().view(np.uint64))
-                held.append((x1[i], x2[i], d, open_))
-                if sum(len(h[2]) for h in held) >= PACK:
-                    yield row()
-                    held, made = [], made + 1
-        if held:
-            yield row()
+                own = np.array([0, len(d)])
+                if len(repeated[i].values):
+                    _, low, ok = smallest(d, own, length)
+                    open_ = np.zeros(len(d), bool)
+                    open_[:len(low)] = ok & np.isin(low, repeated[i].values.to_numpy().view(np.uint64))
+                    held.append((x1[i], x2[i], d, open_))
+                    if sum(len(h[2]) for h in held) >= PACK:
+                        yield row(held)
+                        held, made = [], made + 1
+                if len(marked[i].values):
+                    w, first = words(d, own, lower=False)
+                    _, low, ok = smallest(w, first, run)
+                    runs.append((x1[i], x2[i], names(w, run)[ok & np.isin(low, marked[i].values.to_numpy().view(np.uint64))], None))
+                    if sum(len(h[2]) for h in runs) >= PACK >> 3:
+                        yield row(runs)
+                        runs, made = [], made + 1
+        for rest in (held, runs):
+            if rest:
+                yield row(rest)
+                made += 1
     return rows
 
 
@@ -141,10 +171,11 @@ def _open_names(data: np.ndarray, bits: bytes, length: int) -> tuple[np.ndarray,
 
 
 def _sent(length: int, ranges: int):
+    """The distinct names of each pack by range; a pack without bits holds the names themselves."""
     def sent(batches):
         for b in batches:
             for pack, data, bits in zip(b.column("pack").to_pylist(), b.column("data"), b.column("open").to_pylist()):
-                n = np.unique(_open_names(np.frombuffer(data.as_buffer(), np.uint8), bits, length)[1])
+                n = np.unique(np.frombuffer(data.as_buffer(), np.uint64) if bits is None else _open_names(np.frombuffer(data.as_buffer(), np.uint8), bits, length)[1])
                 of = (n >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
                 cut = np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
                 some = np.flatnonzero(np.diff(cut))
@@ -160,22 +191,26 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"pack": table.column("pack"), "range": table.column("range"), "bits": pa.array(bits, pa.binary())})
 
 
+def _again(own: np.ndarray, again: np.ndarray, met: pa.Table, ranges: int) -> np.ndarray:
+    """``again``, or met in another pack, for the sorted names of a pack."""
+    of = (own >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    edge = np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
+    for i, bits in zip(met.column("range").to_pylist(), met.column("bits").to_pylist()):
+        again[edge[i]:edge[i + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[:edge[i + 1] - edge[i]].astype(bool)
+    return again
+
+
 _SPANS = T.StructType([T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
 
 
 def _cut(length: int, ranges: int):
     def cut(packs: pa.Table, met: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in _SPANS.names}
-        answers = dict(zip(met.column("range").to_pylist(), met.column("bits").to_pylist()))
         for r in packs.to_pylist():
             data = np.frombuffer(r["data"], np.uint8)
             at, n = _open_names(data, r["open"], length)
             own, first, count = np.unique(n, return_inverse=True, return_counts=True)
-            of = (own >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            edge = np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
-            again = count > 1
-            for i, bits in answers.items():
-                again[edge[i]:edge[i + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[:edge[i + 1] - edge[i]].astype(bool)
+            again = _again(own, count > 1, met, ranges)
             steps = np.zeros(len(data) + 1, np.int64)
             hit = at[again[first]]
             np.add.at(steps, hit, 1)
@@ -194,27 +229,60 @@ def _cut(length: int, ranges: int):
     return cut
 
 
+def _count(ranges: int):
+    def count(packs: pa.Table, met: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"x1": [], "x2": [], "n_shared": []}
+        for r in packs.to_pylist():
+            own, first = np.unique(np.frombuffer(r["data"], np.uint64), return_inverse=True)
+            lists = np.split(first, r["ends"][:-1])
+            holders = np.zeros(len(own), np.int64)
+            for f in lists:
+                holders[np.unique(f)] += 1
+            again = _again(own, holders > 1, met, ranges)
+            out["x1"] += r["x1"]
+            out["x2"] += r["x2"]
+            out["n_shared"] += [int(again[f].sum()) for f in lists]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+    return count
+
+
 def repeated(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """``rows``: ``doc_id, x1, x2, whole, n_bytes`` of every document, x1 and x2 naming its text, ``whole`` its SHA-256; ``texts``: for each text with a repeated
     string, ``x1, x2, starts, ends`` (the bytes it loses) and ``kept``, the rest."""
+    return repeated_and_shared(docs, length, 0)[:2]
+
+
+def repeated_and_shared(docs: DataFrame, length: int, run: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` and ``texts`` as above; ``shared``: ``x1, x2, n_shared`` of texts, the starts of ``run`` words in a row that another document has too (0: none looked for)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), F.col("text")).alias("x2"))
-    found = materialize(d.withColumn("whole", F.sha2("text", 256)).mapInArrow(_sparse_rows(length), _SPARSE))
-    long = found.where(F.col("n_bytes") >= length)
-    texts = long.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.first("names").alias("names"), F.first("twice").alias("twice"), F.first("n_bytes").alias("n_bytes"))
+    found = materialize(d.withColumn("whole", F.sha2("text", 256)).mapInArrow(_sparse_rows(length, run), _SPARSE))
+    long = found.where((F.col("n_bytes") >= length) | (F.size("marks") > 0))
+    texts = long.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.first("names").alias("names"), F.first("twice").alias("twice"), F.first("n_bytes").alias("n_bytes"),
+                                         F.first("n_words").alias("n_words"), F.first("marks").alias("marks"))
     texts = materialize(texts)
-    at = texts.select("x1", "x2", "doc_id", "times", F.explode(F.arrays_zip("names", "twice")).alias("_z")).select("x1", "x2", "doc_id", "times", F.col("_z.names").alias("name"), F.col("_z.twice").alias("twice"))
-    twice = at.groupBy("name").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("_n")).where("_n > 1").select("name")
-    some = at.join(twice, "name", "left_semi").groupBy("x1", "x2", "doc_id").agg(F.collect_list("name").alias("names"))
-    s = some.select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("doc_id").alias("_id"), "names")
-    left = d.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2"))).select("x1", "x2", "text", "names")
-    packs = materialize(left.mapInArrow(_pack_rows(length), _PACKS))
-    ranges = max(parts, -(-(packs.select(F.sum(F.octet_length("data"))).first()[0] or 0) // RANGE))
-    sent = packs.select("pack", "data", "open").mapInArrow(_sent(length, ranges), "range long, pack long, names binary")
-    met = sent.groupBy("range").applyInArrow(_met, "pack long, range long, bits binary")
-    cut = packs.groupBy("pack").cogroup(met.groupBy("pack")).applyInArrow(_cut(length, ranges), _SPANS)
-    copies = texts.where("times > 1").select("x1", "x2", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"), F.lit(b"").alias("kept"))
+    each = F.concat(F.transform(F.arrays_zip("names", "twice"), lambda z: F.struct(z["names"].alias("name"), z["twice"].alias("twice"), F.lit(False).alias("mark"))),
+                    F.transform("marks", lambda m: F.struct(m.alias("name"), F.lit(False).alias("twice"), F.lit(True).alias("mark"))))
+    at = texts.select("x1", "x2", "doc_id", F.explode(each).alias("_z")).select("x1", "x2", "doc_id", "_z.*")
+    twice = at.groupBy("name", "mark").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("_n")).where("_n > 1").select("name", "mark")
+    some = at.join(twice, ["name", "mark"], "left_semi").groupBy("x1", "x2", "doc_id").agg(F.collect_list(F.when(~F.col("mark"), F.col("name"))).alias("names"), F.collect_list(F.when(F.col("mark"), F.col("name"))).alias("marks"))
+    s = some.select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("doc_id").alias("_id"), "names", "marks")
+    left = d.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2"))).select("x1", "x2", "text", "names", "marks")
+    both = materialize(left.mapInArrow(_pack_rows(length, run), _PACKS))
+
+    def met(packs: DataFrame, ranges: int) -> DataFrame:
+        sent = packs.select("pack", "data", "open").mapInArrow(_sent(length, ranges), "range long, pack long, names binary")
+        return sent.groupBy("range").applyInArrow(_met, "pack long, range long, bits binary").groupBy("pack")
+
+    sizes = dict(both.groupBy(F.isnull("open")).agg(F.sum(F.octet_length("data"))).collect())
+    packs, runs = both.where("open IS NOT NULL"), both.where("open IS NULL")
+    ranges = max(parts, -(-sizes.get(False, 0) // RANGE))
+    cut = packs.groupBy("pack").cogroup(met(packs, ranges)).applyInArrow(_cut(length, ranges), _SPANS)
+    copies = texts.where((F.col("times") > 1) & (F.col("n_bytes") >= length)).select("x1", "x2", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"), F.lit(b"").alias("kept"))
     single = texts.where("times = 1").select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"))
-    cut = cut.join(single, (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")), "left_semi")
-    return found.drop("names", "twice"), cut.unionByName(copies)
+    one = (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2"))
+    ranges = max(parts, -(-sizes.get(True, 0) // (8 * RANGE)))
+    shared = runs.groupBy("pack").cogroup(met(runs, ranges)).applyInArrow(_count(ranges), "x1 long, x2 long, n_shared long").join(single, one, "left_semi")
+    shared = shared.unionByName(texts.where(F.col("times") > 1).select("x1", "x2", F.greatest(F.lit(0).cast("long"), F.col("n_words") - (run - 1)).alias("n_shared")))
+    return found.drop("names", "twice", "n_words", "marks"), cut.join(single, one, "left_semi").unionByName(copies), shared
